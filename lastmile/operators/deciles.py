@@ -9,7 +9,7 @@ Two exact forms:
   * ``method="window"``: ``percent_rank() OVER (PARTITION BY group ORDER BY metric)``. Every row of
     a group is sorted in one task — fine for small groups, a single-task bottleneck when there are
     few groups (provinces) and many buyers.
-  * ``method="distributed"`` (default): works on the histogram of (group, metric value) — ties
+  * ``method="distributed"``: works on the histogram of (group, metric value) — ties
     collapse in a partial aggregate, so no value is hot — and splits each group's value range into
     slices at approximate quantiles. Rows below a value = rows in lower slices (a tiny per-slice
     count table) + rows below it inside its slice (a window over one slice). The split points only
@@ -27,6 +27,16 @@ from lastmile.operators.joins import checked_broadcast, join_null_safe
 DECILE = 9  # bucket 0.9
 SLICES = 64  # value slices per group in the distributed form
 QUANTILE_ACCURACY = 10_000
+# "auto": the window form while the largest group has at most this many rows (one task sorts it),
+# the distributed form beyond
+WINDOW_GROUP_MAX_ROWS = 1_000_000
+
+
+def choose_method(df: DataFrame, groups: list[str], metric: str, max_rows: int = WINDOW_GROUP_MAX_ROWS) -> str:
+    """Measure the largest group (one small aggregate; only a scalar reaches the driver)."""
+    sizes = df.where(F.col(metric).isNotNull()).groupBy(*groups).count()
+    biggest = sizes.agg(F.max("count")).first()[0] or 0
+    return "window" if biggest <= max_rows else "distributed"
 
 
 def _pr_from_below(below: Column, n: Column) -> Column:
@@ -79,9 +89,14 @@ def decile_threshold(
     metric: str,
     name: str,
     bucket: int = DECILE,
-    method: str = "distributed",
+    method: str = "auto",
 ) -> DataFrame:
-    """Per group, the smallest ``metric`` in decile bucket ``bucket`` (→ ``percentile``, ``name``)."""
+    """Per group, the smallest ``metric`` in decile bucket ``bucket`` (→ ``percentile``, ``name``).
+
+    ``method``: "window", "distributed" (see module doc) or "auto" (by measured largest group).
+    """
+    if method == "auto":
+        method = choose_method(df, groups, metric)
     if method == "window":
         src = df.where(F.col(metric).isNotNull())
         b = F.floor(F.percent_rank().over(Window.partitionBy(*groups).orderBy(metric)) * F.lit(10))

@@ -18,10 +18,14 @@ def shipped_gmv(t: Tables, full: bool = True) -> DataFrame:
     ``full``: Σ quantity, Σ allocated, Σ checked (``qty``) and the three price-weighted sums
     (``order_gmv``, ``allocated_gmv``, ``tot_gmv``); otherwise only ``qty`` and ``tot_gmv``.
     The report's consumers keep ``qty > 0`` inside their join condition (J9).
+
+    The line join also equates the order of both lines (a delivery line belongs to the order of its
+    order line, so no row changes): the 64-bit order key leads the sort-merge keys instead of the
+    long line id, and a hot order is still spread by the line id part of the key.
     """
     ol = t.lg_order_line
-    dl = t.lg_delivery_line
-    x = ol.join(dl, ol.id == dl.order_line_id)
+    dl = t.lg_delivery_line.withColumnRenamed("order_id", "dl_order_id")
+    x = ol.join(dl, (ol.order_id == dl.dl_order_id) & (ol.id == dl.order_line_id))
     p = F.col("price_unit")
     aggs = [F.sum("checked_quantity").alias("qty"), F.sum(p * F.col("checked_quantity")).alias("tot_gmv")]
     if full:

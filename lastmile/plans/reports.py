@@ -85,7 +85,7 @@ def _order_buyers(t: Tables, month_from: str, month_to: str, start, end, cap) ->
     return _persist(buyer_order_count(_market_fact(fact), MARKET_BUYER_KEYS + ["delivery_method"]))
 
 
-def leads_by_gmv(t: Tables, month_from: str, start, buyer: str | None = None, method: str = "distributed") -> DataFrame:
+def leads_by_gmv(t: Tables, month_from: str, start, buyer: str | None = None, method: str = "auto") -> DataFrame:
     """Non-adopter buyers whose delivered GMV (per buyer × method) is above their province's
     0.9-decile threshold; optional single buyer."""
     ab = _gmv_buyers(t, month_from, start)
@@ -98,7 +98,7 @@ def leads_by_gmv(t: Tables, month_from: str, start, buyer: str | None = None, me
     ).orderBy(F.col("gmv_per_buyer").desc_nulls_first())
 
 
-def leads_by_orders(t: Tables, month_from: str, month_to: str, start, end, cap, method: str = "distributed") -> DataFrame:
+def leads_by_orders(t: Tables, month_from: str, month_to: str, start, end, cap, method: str = "auto") -> DataFrame:
     """Non-adopter buyers whose distinct order count (per buyer × method) is above their
     province's 0.9-decile threshold."""
     ab = _order_buyers(t, month_from, month_to, start, end, cap)
@@ -111,7 +111,7 @@ def leads_by_orders(t: Tables, month_from: str, month_to: str, start, end, cap,
     ).orderBy(F.col("count_order").desc_nulls_first())
 
 
-def province_coverage_gmv(t: Tables, month_from: str, start, having_min: int | None, method: str = "distributed") -> DataFrame:
+def province_coverage_gmv(t: Tables, month_from: str, start, having_min: int | None, method: str = "auto") -> DataFrame:
     """M4 on R4: per province the buyers above the GMV threshold, adopters / non-adopters and their
     ratio, kept when adopters above it > ``having_min``."""
     ab = _gmv_buyers(t, month_from, start)
@@ -124,7 +124,7 @@ def province_coverage_gmv(t: Tables, month_from: str, start, having_min: int | N
 
 
 def province_coverage_orders(
-    t: Tables, month_from: str, month_to: str, start, end, cap, having_min: int | None, method: str = "distributed"
+    t: Tables, month_from: str, month_to: str, start, end, cap, having_min: int | None, method: str = "auto"
 ) -> DataFrame:
     """M4 on R7: as ``province_coverage_gmv`` on order counts; counts use ``>=``, HAVING uses ``>``."""
     ab = _order_buyers(t, month_from, month_to, start, end, cap)
@@ -148,7 +148,7 @@ def _region_buyers(t: Tables, month_from: str, after, sides) -> DataFrame:
 
 
 def region_coverage(
-    t: Tables, month_from: str, after, sides: dict[str, str] | None = None, method: str = "distributed",
+    t: Tables, month_from: str, after, sides: dict[str, str] | None = None, method: str = "auto",
     distinct_buyers: bool = False,
 ) -> DataFrame:
     """Per (delivery region, side) the 0.9-decile buyer GMV threshold, buyers above it split into
@@ -166,7 +166,7 @@ def region_coverage(
     return s.select(*cols).orderBy(F.col("all_buyer").desc_nulls_first())
 
 
-def region_leads(t: Tables, month_from: str, after, sides: dict[str, str] | None = None, method: str = "distributed") -> DataFrame:
+def region_leads(t: Tables, month_from: str, after, sides: dict[str, str] | None = None, method: str = "auto") -> DataFrame:
     """M5: the dormant buyer-list tail of R3 — non-adopters above their region's threshold."""
     ab = _region_buyers(t, month_from, after, sides)
     thr = decile_threshold(ab, ["province_region", "regional_seller"], "gmv_per_buyer", "gmv_percentile", method=method)
