@@ -62,5 +62,7 @@ def partition_total(
     v = F.col(value) if isinstance(value, str) else value
     if method == "window":
         return df.withColumn(name, F.sum(v).over(Window.partitionBy(*keys)))
+    # both branches read the rows; keep them once (lineage stays, so a lost executor recomputes)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     totals = df.groupBy(*keys).agg(F.sum(v).alias(name))
     return join_null_safe(df, totals, keys, "left")

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,12 +55,21 @@ def _null(type_name: str) -> Column:
     return F.lit(None).cast(type_name)
 
 
+def _keep(df: DataFrame) -> DataFrame:
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _money(col: str | Column) -> Column:
     return (F.col(col) if isinstance(col, str) else col).cast(MONEY)
 
 
 class Tables:
-    """All domain tables, built lazily from one star directory."""
+    """All domain tables, built lazily from one star directory.
+
+    The grouped bases that feed several domain tables (deliveries → delivery, task, ride, route,
+    batch, pick-up; supplier offers → inventory, price tier) are persisted once per ``Tables`` so a
+    report that joins several of them derives each base once. In production these are stored tables.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -195,13 +205,13 @@ class Tables:
     @cached_property
     def _offer_base(self) -> DataFrame:
         g = self.star.lineitem.groupBy("l_partkey", "l_suppkey").agg(F.min("l_extendedprice").alias("price"))
-        return g.select(
+        return _keep(g.select(
             F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("id"),
             F.col("l_partkey").alias("product_unit_id"),
             F.col("l_suppkey").alias("store_id"),
             _money("price").alias("unit_price"),
             ((F.col("l_partkey") + F.col("l_suppkey")) % 10 != 0).alias("is_active"),
-        )
+        ))
 
     @cached_property
     def mk_inventory(self) -> DataFrame:
@@ -229,7 +239,7 @@ class Tables:
         month = F.date_format("first_ship", "yyyy-MM")
         sr = self._supplier_region
         base = g.join(o, g.l_orderkey == o.o_orderkey, "left").join(sr, g.l_suppkey == sr.s_suppkey, "left")
-        return base.select(
+        return _keep(base.select(
             F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_suppkey").cast("string")).alias("id"),
             F.col("l_orderkey").alias("order_id"),
             F.col("l_suppkey").alias("supplier"),
@@ -243,7 +253,7 @@ class Tables:
             month.alias("ride_month"),
             F.concat_ws("-", month, F.col("n_regionkey").cast("string")).alias("batch_id"),
             F.col("n_regionkey").cast("bigint").alias("region_id"),
-        )
+        ))
 
     @cached_property
     def lg_delivery(self) -> DataFrame:
@@ -302,7 +312,7 @@ class Tables:
 
     @cached_property
     def _rides(self) -> DataFrame:
-        return self._delivery_base.select("ride_id", "supplier", "ride_month", "batch_id", "region_id").distinct()
+        return _keep(self._delivery_base.select("ride_id", "supplier", "ride_month", "batch_id", "region_id").distinct())
 
     @cached_property
     def lg_ride(self) -> DataFrame:
