@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +26,7 @@ from lastmile.operators.deciles import decile_threshold, top_decile_leads, top_d
 from lastmile.operators.deliveries import _attach_manifest, delivery_fact, shipped_gmv, with_manifest_total
 from lastmile.operators.offers import active_offers, best_offer, buyer_basket, price_gap
 from lastmile.operators.orders import order_fact
+from lastmile.session import reuse
 from lastmile.sources.domain import Tables
 
 
@@ -37,8 +37,8 @@ def money(col: str | Column, name: str | None = None) -> Column:
 
 
 def _persist(df: DataFrame) -> DataFrame:
-    """Roll-ups read twice (threshold and join, S6/J14) are kept; lineage stays for recovery."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Roll-ups read twice (threshold and join, S6/J14) are kept once (see ``session.reuse``)."""
+    return reuse(df)
 
 
 MARKET_BUYER_KEYS = ["buyer_code", "city", "province", "platform_tag", "address_latitude", "address_longitude"]

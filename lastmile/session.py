@@ -9,7 +9,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every plan in this library relies on. AQE re-plans joins from runtime sizes (so a
 # derived side is broadcast only after its measured size is under the threshold), coalesces small
@@ -51,6 +52,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or named
 
 
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep an intermediate that is read more than once (a roll-up feeding a threshold and a join).
+
+    With a checkpoint folder set on the session (the cluster's shared ``spark.checkpoint.dir``,
+    or one registered for tests), the intermediate is checkpointed there: its lineage is cut, so a
+    lost executor costs a re-read, not a recomputation of the whole fact. Without one it is
+    persisted (memory and disk; lineage kept for recovery).
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
+        checkpoint_dir(spark)
+        return df.checkpoint(eager=True)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def get_session(master: str | None = None, partitions: int | None = None, app: str = "lastmile") -> SparkSession:
     """Local/test session builder. On a cluster use the existing session and ``configure`` it."""
     cpus = os.environ.get("BENCH_CPUS", "8")
