@@ -9,15 +9,18 @@ from lastmile.functions.columns import COMPLETED, PLATFORM, in_months
 from lastmile.sources.domain import Tables
 
 
-def _adoption_rows(t: Tables, month_from: str, month_to: str | None, method: str) -> DataFrame:
+def _adoption_rows(
+    t: Tables, month_from: str, month_to: str | None, method: str, fulfilments: DataFrame | None = None
+) -> DataFrame:
     """Live completed fulfilments by ``method`` whose status changed in [month_from, month_to),
     with the buyer code and the order creation time.
 
     The filters reject NULLs of transaction, order and fulfilment, so those joins are inner;
     the buyer store stays a left join (a missing store gives a NULL code, as in the report).
     The city/province joins of the report are never read and are not planned (J19).
+    ``fulfilments`` replaces the fulfilment table (e.g. a stream of status changes).
     """
-    f = t.mk_order_fulfilment.where(
+    f = (t.mk_order_fulfilment if fulfilments is None else fulfilments).where(
         in_months("status_updated_at", month_from, month_to)
         & (F.col("status") == F.lit(COMPLETED))
         & (F.col("delivery_method") == F.lit(method))
