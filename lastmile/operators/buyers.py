@@ -42,6 +42,24 @@ def buyer_method_mix(fact: DataFrame, keys: list[str], methods=MIX_METHODS) -> D
     return fact.groupBy(*keys).agg(*aggs)
 
 
+RATIO_SCALE = 1_000_000_000  # buyer ratios are averaged as integers in units of 1e-9
+
+
+def _scaled_ratio(num: str, den: str, exact_int: bool) -> Column:
+    """A buyer's ratio in units of 1e-9: round-half-up(num / den × 1e9), or (num div den) × 1e9."""
+    if exact_int:
+        return F.expr(f"(`{num}` div `{den}`) * {RATIO_SCALE}")
+    return F.expr(f"(`{num}` * {2 * RATIO_SCALE} + `{den}`) div (2 * `{den}`)")
+
+
+def _rounded_mean_pct(total: str, count: str, digits: int) -> Column:
+    """round-half-up(total / count / 1e9, digits) × 100 with integer arithmetic, then as double."""
+    t = f"CAST(`{total}` AS DECIMAL(38,0))"
+    n = f"CAST(`{count}` AS DECIMAL(38,0))"
+    q = F.expr(f"({t} * {2 * 10 ** digits} + {n} * {RATIO_SCALE}) div ({n} * {2 * RATIO_SCALE})")
+    return q / F.lit(10 ** digits) * F.lit(100)
+
+
 def method_share(
     buyers: DataFrame, area: str, digits: int, exact_int: bool = False, methods=MIX_METHODS
 ) -> DataFrame:
@@ -50,14 +68,20 @@ def method_share(
 
     ``exact_int=False`` divides as a true ratio; ``exact_int=True`` uses integer division like the
     bigint ``/`` of the report's source database (T2).
+
+    The mean is exact and independent of summation order: each buyer's ratio is rounded half up to
+    9 decimals as an integer, the integers are summed exactly, and the rounded mean is an integer
+    division. (A double average depends on the order rows are summed in, so a value at a rounding
+    tie — e.g. 0.84375 — could round either way between runs, T11.)
     """
     aggs = [F.sum("total_order").alias("total_order")]
     for name, _ in methods:
         aggs.append(F.sum(name).alias(name))
     for name, _ in methods:
-        if exact_int:
-            r = F.expr(f"`{name}` div total_order")
-        else:
-            r = F.col(name) / F.col("total_order")
-        aggs.append((F.round(F.avg(r), digits) * F.lit(100)).alias(f"{name}_share_pct"))
-    return buyers.groupBy(area).agg(*aggs)
+        r = _scaled_ratio(name, "total_order", exact_int)
+        aggs += [F.sum(r).alias(f"__s_{name}"), F.count(r).alias(f"__n_{name}")]
+    g = buyers.groupBy(area).agg(*aggs)
+    return g.select(
+        area, "total_order", *[name for name, _ in methods],
+        *[_rounded_mean_pct(f"__s_{name}", f"__n_{name}", digits).alias(f"{name}_share_pct") for name, _ in methods],
+    )

@@ -473,7 +473,7 @@ def _x2(t):
     e = t.star.events.select("ts", "value")
     x = e.select(C.local_day("ts").alias("local_day"), C.local_month("ts").alias("local_month"), "value")
     return x.groupBy("local_day", "local_month").agg(
-        F.count(F.lit(1)).alias("n_event"), F.round(F.sum("value"), 6).alias("value_sum"))
+        F.count(F.lit(1)).alias("n_event"), money(F.sum(F.col("value").cast("decimal(18,2)")), "value_sum"))
 
 
 @query("having_filter")

@@ -72,3 +72,13 @@ def test_order_date_filter_reaches_scan(spark):
         if hasattr(df._sc._jvm, "PythonSQLUtils") else text
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThan(o_orderdate" in formatted
     assert "BroadcastHashJoin" in formatted
+
+
+def test_reports_write_to_parquet(spark, tmp_path):
+    # Report outputs have unique names, so the caller can write them as tables
+    for name in ("method_mix", "cod_escrow_logistics", "price_benchmark"):
+        df = entry.queries()[name](spark, SMOKE_DIR)
+        assert len(set(df.columns)) == len(df.columns)
+        df.write.mode("overwrite").parquet(str(tmp_path / name))
+        assert spark.read.parquet(str(tmp_path / name)).count() == df.count()
+    spark.catalog.clearCache()
