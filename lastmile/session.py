@@ -78,6 +78,8 @@ def get_session(master: str | None = None, partitions: int | None = None, app: s
         .config("spark.sql.shuffle.partitions", str(partitions or int(cpus)))
         .config("spark.driver.memory", os.environ.get("LASTMILE_DRIVER_MEMORY", "16g"))
         .config("spark.sql.session.timeZone", "UTC")
+        # local runs only: remove checkpoint files once their DataFrames are garbage
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -413,9 +413,10 @@ class Tables:
 
     @cached_property
     def lg_delivery_tag(self) -> DataFrame:
-        flags = self.star.lineitem.select("l_returnflag").distinct()
+        # tags in use, from the (persisted) delivery base rather than another lineitem scan
+        flags = self._delivery_base.select("delivery_tag_id").distinct()
         return flags.select(
-            F.col("l_returnflag").alias("id"), _case(F.col("l_returnflag"), DELIVERY_TAG_STATUS).alias("status")
+            F.col("delivery_tag_id").alias("id"), _case(F.col("delivery_tag_id"), DELIVERY_TAG_STATUS).alias("status")
         )
 
 
