@@ -116,9 +116,9 @@ def in_months(ts: str | Column, month_from: str, month_to: str | None = None) ->
     exactly when ts < 2021-03-01 00:00, so the range selects the same rows and reaches the scan.
     """
     c = _c(ts)
-    cond = c >= F.lit(month_start(month_from)).cast("timestamp_ntz")
+    cond = c >= ts_literal(month_start(month_from))
     if month_to is not None:
-        cond = cond & (c < F.lit(month_start(month_to)).cast("timestamp_ntz"))
+        cond = cond & (c < ts_literal(month_start(month_to)))
     return cond
 
 
@@ -128,7 +128,8 @@ def ts_literal(value: str | dt.date | dt.datetime) -> Column:
         value = dt.datetime.strptime(value, "%Y%m%d")
     elif isinstance(value, dt.date) and not isinstance(value, dt.datetime):
         value = dt.datetime(value.year, value.month, value.day)
-    return F.lit(value).cast("timestamp_ntz")
+    # from text: a Python datetime literal would pass through the process and session time zones
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def date_literal(value: str | dt.date) -> Column:
