@@ -9,7 +9,7 @@ from lastmile.functions.columns import COMPLETED, PLATFORM, in_months
 from lastmile.sources.domain import Tables
 
 
-def _adoption_rows(
+def adoption_rows(
     t: Tables, month_from: str, month_to: str | None, method: str, fulfilments: DataFrame | None = None
 ) -> DataFrame:
     """Live completed fulfilments by ``method`` whose status changed in [month_from, month_to),
@@ -37,10 +37,10 @@ def _adoption_rows(
 
 def adopter_cohort(t: Tables, month_from: str, month_to: str | None = None, method: str = PLATFORM) -> DataFrame:
     """Distinct buyer codes with a live completed ``method`` fulfilment in [from, to) (to optional)."""
-    return _adoption_rows(t, month_from, month_to, method).select("unique_id").distinct()
+    return adoption_rows(t, month_from, month_to, method).select("unique_id").distinct()
 
 
 def first_use_cohort(t: Tables, month_from: str, month_to: str | None = None, method: str = PLATFORM) -> DataFrame:
     """Adopters with their first qualifying order time (``order_date`` = min created_at)."""
-    rows = _adoption_rows(t, month_from, month_to, method)
+    rows = adoption_rows(t, month_from, month_to, method)
     return rows.groupBy("unique_id").agg(F.min("created_at").alias("order_date"))

@@ -47,10 +47,10 @@ def manifest_link(t: Tables) -> DataFrame:
     Returns delivery_id, order_id, ride_id, pickup_id, manifest_no (one row per delivery × task × match).
     """
     d = t.lg_delivery.select(F.col("id").alias("delivery_id"), "order_id", "pickup_address_id")
-    return _attach_manifest(d, t).select("delivery_id", "order_id", "ride_id", "pickup_id", "manifest_no")
+    return attach_manifest(d, t).select("delivery_id", "order_id", "ride_id", "pickup_id", "manifest_no")
 
 
-def _pickup_manifests(t: Tables) -> DataFrame:
+def pickup_manifests(t: Tables) -> DataFrame:
     """Pick-up tasks with their pick-up (report: ``task LEFT JOIN pickup WHERE pickup_id IS NOT NULL``)."""
     tk = t.lg_task.where(F.col("pickup_id").isNotNull()).select(F.col("ride_id").alias("tp_ride_id"), "pickup_id")
     p = t.lg_pickup.select(
@@ -61,11 +61,11 @@ def _pickup_manifests(t: Tables) -> DataFrame:
     )
 
 
-def _attach_manifest(d: DataFrame, t: Tables) -> DataFrame:
+def attach_manifest(d: DataFrame, t: Tables) -> DataFrame:
     """Left join a delivery-keyed frame (delivery_id, pickup_address_id, ...) to its task and manifest."""
     tk = t.lg_task.select(F.col("delivery_id").alias("tk_delivery_id"), "ride_id", "driver_id")
     x = d.join(tk, d.delivery_id == tk.tk_delivery_id, "left")
-    tp = _pickup_manifests(t)
+    tp = pickup_manifests(t)
     x = x.join(
         tp, (x.ride_id == tp.tp_ride_id) & (x.pickup_address_id == tp.tp_pickup_address_id), "left"
     )

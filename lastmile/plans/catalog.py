@@ -163,29 +163,29 @@ def _d7(t):
     return f.withColumn("tot_gmv", money("tot_gmv"))
 
 
-def _region_buyers(t):
-    return R._region_buyers(t, P.OPEN_ADOPTION_FROM, P.DELIVERIES_AFTER, None)
+def region_buyers(t):
+    return R.region_buyers(t, P.OPEN_ADOPTION_FROM, P.DELIVERIES_AFTER, None)
 
 
 @query("buyer_gmv")
 def _d8(t):
-    return _region_buyers(t).withColumn("gmv_per_buyer", money("gmv_per_buyer"))
+    return region_buyers(t).withColumn("gmv_per_buyer", money("gmv_per_buyer"))
 
 
 @query("buyer_gmv_by_method")
 def _d8m(t):
-    return R._gmv_buyers(t, P.OPEN_ADOPTION_FROM, P.ORDERS_AFTER).withColumn("gmv_per_buyer", money("gmv_per_buyer"))
+    return R.gmv_buyers(t, P.OPEN_ADOPTION_FROM, P.ORDERS_AFTER).withColumn("gmv_per_buyer", money("gmv_per_buyer"))
 
 
 @query("buyer_order_count")
 def _d9(t):
-    return R._order_buyers(t, P.ADOPTION_FROM, P.ADOPTION_TO, P.ORDERS_AFTER, P.ORDERS_BEFORE, P.VALUE_CAP)
+    return R.order_buyers(t, P.ADOPTION_FROM, P.ADOPTION_TO, P.ORDERS_AFTER, P.ORDERS_BEFORE, P.VALUE_CAP)
 
 
 def _mix_buyers(t):
     cohort = CO.adopter_cohort(t, P.ADOPTION_FROM, P.ADOPTION_TO)
     fact = O.order_fact(t, P.ORDERS_AFTER, P.ORDERS_BEFORE, P.VALUE_CAP, cohort=cohort, cohort_how="inner")
-    return B.buyer_method_mix(R._market_fact(fact), R.MARKET_BUYER_KEYS)
+    return B.buyer_method_mix(R.market_fact(fact), R.MARKET_BUYER_KEYS)
 
 
 @query("buyer_method_mix")
@@ -195,21 +195,21 @@ def _d10(t):
 
 @query("decile_threshold_gmv")
 def _d11g(t):
-    ab = R._gmv_buyers(t, P.OPEN_ADOPTION_FROM, P.ORDERS_AFTER)
+    ab = R.gmv_buyers(t, P.OPEN_ADOPTION_FROM, P.ORDERS_AFTER)
     thr = D.decile_threshold(ab, ["province"], "gmv_per_buyer", "gmv_percentile")
     return thr.withColumn("gmv_percentile", money("gmv_percentile"))
 
 
 @query("decile_threshold_orders")
 def _d11o(t):
-    ab = R._order_buyers(t, P.ADOPTION_FROM, P.ADOPTION_TO, P.ORDERS_AFTER, P.ORDERS_BEFORE, P.VALUE_CAP)
+    ab = R.order_buyers(t, P.ADOPTION_FROM, P.ADOPTION_TO, P.ORDERS_AFTER, P.ORDERS_BEFORE, P.VALUE_CAP)
     return D.decile_threshold(ab, ["province"], "count_order", "order_percentile")
 
 
 @query("top_decile_summary")
 def _d12(t):
     """D12 on the GMV buyers per province, no HAVING, with the distinct buyer count (M7)."""
-    ab = R._gmv_buyers(t, P.OPEN_ADOPTION_FROM, P.ORDERS_AFTER)
+    ab = R.gmv_buyers(t, P.OPEN_ADOPTION_FROM, P.ORDERS_AFTER)
     thr = D.decile_threshold(ab, ["province"], "gmv_per_buyer", "gmv_percentile")
     s = D.top_decile_summary(ab, thr, ["province"], ["province"], "gmv_per_buyer", "gmv_percentile",
                              distinct_buyers=True)
@@ -232,7 +232,7 @@ def _d13(t):
 @query("top_decile_leads_anti")
 def _d13a(t):
     """D13 by GMV as an anti-join on the cohort."""
-    ab = R._gmv_buyers(t, P.OPEN_ADOPTION_FROM, P.ORDERS_AFTER)
+    ab = R.gmv_buyers(t, P.OPEN_ADOPTION_FROM, P.ORDERS_AFTER)
     thr = D.decile_threshold(ab, ["province"], "gmv_per_buyer", "gmv_percentile")
     leads = D.top_decile_leads_anti(ab, thr, ["province"], "gmv_per_buyer", "gmv_percentile",
                                     CO.adopter_cohort(t, P.OPEN_ADOPTION_FROM))
@@ -248,7 +248,7 @@ def _d14(t):
     """D14 over every buyer (cohort as tag), 4 digits."""
     cohort = CO.adopter_cohort(t, P.ADOPTION_FROM, P.ADOPTION_TO)
     fact = O.order_fact(t, P.ORDERS_AFTER, P.ORDERS_BEFORE, P.VALUE_CAP, cohort=cohort, cohort_how="left")
-    buyers = B.buyer_method_mix(R._market_fact(fact), R.MARKET_BUYER_KEYS)
+    buyers = B.buyer_method_mix(R.market_fact(fact), R.MARKET_BUYER_KEYS)
     return B.method_share(buyers, "province", 4)
 
 
@@ -438,7 +438,7 @@ def _j11(t):
 def _j10(t):
     d = t.lg_delivery.select(F.col("id").alias("delivery_id"), "pickup_address_id")
     tk = t.lg_task.where(F.col("delivery_id").isNotNull()).select(F.col("delivery_id").alias("tk_d"), "ride_id")
-    tp = DL._pickup_manifests(t)
+    tp = DL.pickup_manifests(t)
     x = d.join(tk, d.delivery_id == tk.tk_d).join(
         tp, (F.col("ride_id") == tp.tp_ride_id) & (F.col("pickup_address_id") == tp.tp_pickup_address_id))
     return x.select("delivery_id", "ride_id", "manifest_no")
@@ -492,7 +492,7 @@ def _a6(t):
 
 @query("percent_rank_window")
 def _w1(t):
-    ab = R._gmv_buyers(t, P.OPEN_ADOPTION_FROM, P.ORDERS_AFTER)
+    ab = R.gmv_buyers(t, P.OPEN_ADOPTION_FROM, P.ORDERS_AFTER)
     pr = D.percent_rank(ab, ["province"], "gmv_per_buyer", method="distributed")
     return pr.select("buyer_code", "province", "delivery_method", money("gmv_per_buyer"), "pct_rank",
                      (F.floor(F.col("pct_rank") * 10) / 10).alias("percentile"))
@@ -509,6 +509,6 @@ def _w4(t):
 
 @query("mixed_sort")
 def _o3(t):
-    ab = R._gmv_buyers(t, P.OPEN_ADOPTION_FROM, P.ORDERS_AFTER)
+    ab = R.gmv_buyers(t, P.OPEN_ADOPTION_FROM, P.ORDERS_AFTER)
     return ab.select("buyer_code", "delivery_method", money("gmv_per_buyer")).orderBy(
         F.col("buyer_code").asc(), F.col("delivery_method").asc(), F.col("gmv_per_buyer").desc_nulls_first())

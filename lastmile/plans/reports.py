@@ -23,7 +23,7 @@ from lastmile.functions.columns import (
 from lastmile.operators.buyers import buyer_gmv, buyer_method_mix, buyer_order_count, method_share
 from lastmile.operators.cohorts import adopter_cohort, first_use_cohort
 from lastmile.operators.deciles import decile_threshold, top_decile_leads, top_decile_summary
-from lastmile.operators.deliveries import _attach_manifest, delivery_fact, shipped_gmv, with_manifest_total
+from lastmile.operators.deliveries import attach_manifest, delivery_fact, shipped_gmv, with_manifest_total
 from lastmile.operators.offers import active_offers, best_offer, buyer_basket, price_gap
 from lastmile.operators.orders import order_fact
 from lastmile.session import reuse
@@ -44,7 +44,8 @@ def _persist(df: DataFrame) -> DataFrame:
 MARKET_BUYER_KEYS = ["buyer_code", "city", "province", "platform_tag", "address_latitude", "address_longitude"]
 
 
-def _market_fact(fact: DataFrame) -> DataFrame:
+def market_fact(fact: DataFrame) -> DataFrame:
+    """The order fact with the buyer code named as the reports' buyer roll-ups name it."""
     return fact.withColumnRenamed("unique_id", "buyer_code")
 
 
@@ -67,28 +68,30 @@ def method_mix(
         fact = order_fact(t, start, end, cap, cohort=first_use_cohort(t, month_from, month_to), cohort_how="since")
     else:
         fact = order_fact(t, start, end, cap, cohort=adopter_cohort(t, month_from, month_to), cohort_how="inner")
-    buyers = buyer_method_mix(_market_fact(fact), MARKET_BUYER_KEYS)
+    buyers = buyer_method_mix(market_fact(fact), MARKET_BUYER_KEYS)
     share = method_share(buyers, "province", digits, exact_int=exact_int)
     return share.orderBy(F.col("total_order").desc_nulls_first())
 
 
 # ----------------------------------------------------------------------------- R4 / R7 leads, M4 summaries
-def _gmv_buyers(t: Tables, month_from: str, start) -> DataFrame:
+def gmv_buyers(t: Tables, month_from: str, start) -> DataFrame:
+    """R4's buyer roll-up: delivered GMV per buyer × area × cohort tag × method (kept for reuse)."""
     cohort = adopter_cohort(t, month_from)
     fact = order_fact(t, start, None, None, cohort=cohort, cohort_how="left")
-    return _persist(buyer_gmv(_market_fact(fact), MARKET_BUYER_KEYS + ["delivery_method"], "GMV_final"))
+    return _persist(buyer_gmv(market_fact(fact), MARKET_BUYER_KEYS + ["delivery_method"], "GMV_final"))
 
 
-def _order_buyers(t: Tables, month_from: str, month_to: str, start, end, cap) -> DataFrame:
+def order_buyers(t: Tables, month_from: str, month_to: str, start, end, cap) -> DataFrame:
+    """R7's buyer roll-up: distinct orders per buyer × area × cohort tag × method (kept for reuse)."""
     cohort = adopter_cohort(t, month_from, month_to)
     fact = order_fact(t, start, end, cap, cohort=cohort, cohort_how="left")
-    return _persist(buyer_order_count(_market_fact(fact), MARKET_BUYER_KEYS + ["delivery_method"]))
+    return _persist(buyer_order_count(market_fact(fact), MARKET_BUYER_KEYS + ["delivery_method"]))
 
 
 def leads_by_gmv(t: Tables, month_from: str, start, buyer: str | None = None, method: str = "auto") -> DataFrame:
     """Non-adopter buyers whose delivered GMV (per buyer × method) is above their province's
     0.9-decile threshold; optional single buyer."""
-    ab = _gmv_buyers(t, month_from, start)
+    ab = gmv_buyers(t, month_from, start)
     thr = decile_threshold(ab, ["province"], "gmv_per_buyer", "gmv_percentile", method=method)
     leads = top_decile_leads(ab, thr, ["province"], "gmv_per_buyer", "gmv_percentile", buyer=buyer)
     return leads.select(
@@ -101,7 +104,7 @@ def leads_by_gmv(t: Tables, month_from: str, start, buyer: str | None = None, me
 def leads_by_orders(t: Tables, month_from: str, month_to: str, start, end, cap, method: str = "auto") -> DataFrame:
     """Non-adopter buyers whose distinct order count (per buyer × method) is above their
     province's 0.9-decile threshold."""
-    ab = _order_buyers(t, month_from, month_to, start, end, cap)
+    ab = order_buyers(t, month_from, month_to, start, end, cap)
     thr = decile_threshold(ab, ["province"], "count_order", "order_percentile", method=method)
     leads = top_decile_leads(ab, thr, ["province"], "count_order", "order_percentile")
     return leads.select(
@@ -114,7 +117,7 @@ def leads_by_orders(t: Tables, month_from: str, month_to: str, start, end, cap,
 def province_coverage_gmv(t: Tables, month_from: str, start, having_min: int | None, method: str = "auto") -> DataFrame:
     """M4 on R4: per province the buyers above the GMV threshold, adopters / non-adopters and their
     ratio, kept when adopters above it > ``having_min``."""
-    ab = _gmv_buyers(t, month_from, start)
+    ab = gmv_buyers(t, month_from, start)
     thr = decile_threshold(ab, ["province"], "gmv_per_buyer", "gmv_percentile", method=method)
     s = top_decile_summary(ab, thr, ["province"], ["province"], "gmv_per_buyer", "gmv_percentile", having_min=having_min)
     return s.select(
@@ -127,7 +130,7 @@ def province_coverage_orders(
     t: Tables, month_from: str, month_to: str, start, end, cap, having_min: int | None, method: str = "auto"
 ) -> DataFrame:
     """M4 on R7: as ``province_coverage_gmv`` on order counts; counts use ``>=``, HAVING uses ``>``."""
-    ab = _order_buyers(t, month_from, month_to, start, end, cap)
+    ab = order_buyers(t, month_from, month_to, start, end, cap)
     thr = decile_threshold(ab, ["province"], "count_order", "order_percentile", method=method)
     s = top_decile_summary(
         ab, thr, ["province"], ["province"], "count_order", "order_percentile", inclusive=True, having_min=having_min
@@ -142,7 +145,8 @@ def province_coverage_orders(
 REGION_BUYER_KEYS = ["buyer_code", "city", "province_region", "regional_seller", "platform_tag", "lat", "lng"]
 
 
-def _region_buyers(t: Tables, month_from: str, after, sides) -> DataFrame:
+def region_buyers(t: Tables, month_from: str, after, sides) -> DataFrame:
+    """R3's buyer roll-up: shipped GMV per buyer × city × delivery region × side × tag (kept for reuse)."""
     fact = delivery_fact(t, after, cohort=adopter_cohort(t, month_from), sides=sides)
     return _persist(buyer_gmv(fact, REGION_BUYER_KEYS, "tot_gmv"))
 
@@ -153,7 +157,7 @@ def region_coverage(
 ) -> DataFrame:
     """Per (delivery region, side) the 0.9-decile buyer GMV threshold, buyers above it split into
     adopters / non-adopters, and non-adopters per adopter × 100."""
-    ab = _region_buyers(t, month_from, after, sides)
+    ab = region_buyers(t, month_from, after, sides)
     thr = decile_threshold(ab, ["province_region", "regional_seller"], "gmv_per_buyer", "gmv_percentile", method=method)
     s = top_decile_summary(
         ab, thr, ["province_region"], ["province_region", "regional_seller"], "gmv_per_buyer", "gmv_percentile",
@@ -168,7 +172,7 @@ def region_coverage(
 
 def region_leads(t: Tables, month_from: str, after, sides: dict[str, str] | None = None, method: str = "auto") -> DataFrame:
     """M5: the dormant buyer-list tail of R3 — non-adopters above their region's threshold."""
-    ab = _region_buyers(t, month_from, after, sides)
+    ab = region_buyers(t, month_from, after, sides)
     thr = decile_threshold(ab, ["province_region", "regional_seller"], "gmv_per_buyer", "gmv_percentile", method=method)
     leads = top_decile_leads(ab, thr, ["province_region"], "gmv_per_buyer", "gmv_percentile")
     return leads.select(
@@ -224,7 +228,7 @@ def cod_escrow(
         F.col("id").alias("da_id"), "buyer_code", "line1", F.col("city").alias("buyer_city"), "district", "village"
     )
     x = x.join(da, x.delivery_address_id == da.da_id, "left")
-    x = _attach_manifest(x, t)
+    x = attach_manifest(x, t)
     dr = t.lg_driver.select(F.col("id").alias("dr_id"), "vendor_name", "user_id", "fleet_id")
     x = x.join(dr, x.driver_id == dr.dr_id, "left")
     u = t.lg_user.select(F.col("id").alias("u_id"), F.col("name").alias("driver_name"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lastmile.functions.columns import PLATFORM
-from lastmile.operators.cohorts import _adoption_rows
+from lastmile.operators.cohorts import adoption_rows
 from lastmile.session import checkpoint_dir
 from lastmile.sources.domain import Tables
 
@@ -33,7 +33,7 @@ def adopter_stream(
     changes: DataFrame, t: Tables, month_from: str, month_to: str | None = None, method: str = PLATFORM
 ) -> DataFrame:
     """D1 on a stream: each buyer code is emitted once, the first time it qualifies (append mode)."""
-    rows = _adoption_rows(t, month_from, month_to, method, fulfilments=changes)
+    rows = adoption_rows(t, month_from, month_to, method, fulfilments=changes)
     return rows.select("unique_id").dropDuplicates(["unique_id"])
 
 
@@ -41,7 +41,7 @@ def first_use_stream(
     changes: DataFrame, t: Tables, month_from: str, month_to: str | None = None, method: str = PLATFORM
 ) -> DataFrame:
     """D2 on a stream: per buyer the earliest qualifying order time so far (update/complete mode)."""
-    rows = _adoption_rows(t, month_from, month_to, method, fulfilments=changes)
+    rows = adoption_rows(t, month_from, month_to, method, fulfilments=changes)
     return rows.groupBy("unique_id").agg(F.min("created_at").alias("order_date"))
 
 
