@@ -13,7 +13,8 @@ Mapping (star -> domain):
   order_unit, order_line, delivery_line <- lineitem (one row per line)
   buyer store, delivery_address <- customer;  seller store, pickup_address, driver/user/fleet <- supplier
   inventory, price_tier <- lineitem grouped by (part, supplier);  product tables <- part
-  delivery <- lineitem grouped by (order, supplier); ride/pickup = (supplier, month of first shipment)
+  delivery <- lineitem grouped by (order, supplier); ride/pickup = (supplier, month of first shipment),
+  manifest number "supplier-yyyy-MM"
   address_area <- nation (city) and region (province); batch = (ride month, supplier region)
 """
 
@@ -41,6 +42,8 @@ FULFILMENT_METHODS = {"A": "PLATFORM", "N": "SELF_PICKUP", "R": "STORE_COURIER"}
 FULFILMENT_STATUS = {"F": "COMPLETED", "O": "OPEN", "P": "PARTIAL"}
 PAYMENT_DETAIL = {"1": "BANK_TRANSFER_A", "2": "BANK_TRANSFER_B", "3": "VIRTUAL_ACCOUNT_A", "4": None, "5": "CARD"}
 DELIVERY_TAG_STATUS = {"A": "accepted", "N": "pending", "R": "returned"}
+RIDE_ID_SPAN = 1_000_000  # ride id = supplier * 1e6 + yyyymm
+BATCH_ID_SPAN = 1_000  # batch id = yyyymm * 1000 + region
 
 
 def _case(col: Column, mapping: dict) -> Column:
@@ -237,6 +240,7 @@ class Tables:
         )
         o = self.star.orders.select("o_orderkey", "o_orderstatus", "o_custkey", "o_orderdate")
         month = F.date_format("first_ship", "yyyy-MM")
+        yyyymm = (F.year("first_ship") * 100 + F.month("first_ship")).cast("bigint")
         sr = self._supplier_region
         base = g.join(o, g.l_orderkey == o.o_orderkey, "left").join(sr, g.l_suppkey == sr.s_suppkey, "left")
         return _keep(base.select(
@@ -249,9 +253,11 @@ class Tables:
             ),
             F.col("o_custkey").alias("delivery_address_id"),
             F.col("tag").alias("delivery_tag_id"),
-            F.concat_ws("-", F.col("l_suppkey").cast("string"), month).alias("ride_id"),
+            # 64-bit surrogate ids: ride = (supplier, month), batch = (month, region)
+            (F.col("l_suppkey") * RIDE_ID_SPAN + yyyymm).alias("ride_id"),
+            F.concat_ws("-", F.col("l_suppkey").cast("string"), month).alias("manifest_no"),
             month.alias("ride_month"),
-            F.concat_ws("-", month, F.col("n_regionkey").cast("string")).alias("batch_id"),
+            (yyyymm * BATCH_ID_SPAN + F.col("n_regionkey")).alias("batch_id"),
             F.col("n_regionkey").cast("bigint").alias("region_id"),
         ))
 
@@ -312,7 +318,9 @@ class Tables:
 
     @cached_property
     def _rides(self) -> DataFrame:
-        return _keep(self._delivery_base.select("ride_id", "supplier", "ride_month", "batch_id", "region_id").distinct())
+        return _keep(
+            self._delivery_base.select("ride_id", "manifest_no", "supplier", "ride_month", "batch_id", "region_id").distinct()
+        )
 
     @cached_property
     def lg_ride(self) -> DataFrame:
@@ -342,7 +350,7 @@ class Tables:
         drop_off = self._delivery_base.select(
             F.col("id").alias("delivery_id"),
             "ride_id",
-            _null("string").alias("pickup_id"),
+            _null("bigint").alias("pickup_id"),
             F.col("supplier").alias("driver_id"),
         )
         pick_up = self._rides.select(
@@ -356,7 +364,7 @@ class Tables:
     @cached_property
     def lg_pickup(self) -> DataFrame:
         return self._rides.select(
-            F.col("ride_id").alias("id"), F.col("supplier").alias("pickup_address_id"), F.col("ride_id").alias("rpb_number")
+            F.col("ride_id").alias("id"), F.col("supplier").alias("pickup_address_id"), F.col("manifest_no").alias("rpb_number")
         )
 
     @cached_property
