@@ -27,6 +27,7 @@ from lastmile.sources.domain import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
+_PLANS: dict[str, Callable] = {}
 
 
 def query(name: str):
@@ -38,6 +39,7 @@ def query(name: str):
         run.__name__ = name
         run.__doc__ = fn.__doc__
         _REGISTRY[name] = run
+        _PLANS[name] = fn
         return fn
 
     return deco
@@ -47,6 +49,11 @@ def queries() -> dict[str, Query]:
     return dict(_REGISTRY)
 
 
+def plans() -> dict[str, Callable]:
+    """The same queries as functions of a ``Tables``-like object (e.g. ``StoredTables``)."""
+    return dict(_PLANS)
+
+
 # ============================================================================ reports R1–R9
 @query("cod_escrow_finance")
 def _r1(t):
