@@ -16,11 +16,16 @@ from lastmile.sources.domain import Tables
 
 # order-keyed tables and their order key
 BUCKET_KEYS = {
+    "mk_transaction": "id",
+    "mk_payment": "transaction_id",
     "mk_order": "id",
     "mk_order_fulfilment": "order_id",
     "mk_order_unit": "order_id",
+    "lg_order": "id",
+    "lg_delivery": "order_id",
     "lg_order_line": "order_id",
     "lg_delivery_line": "order_id",
+    "lg_provider_order_mappings": "order_id",
 }
 
 DOMAIN_TABLES = tuple(n for n in dir(Tables) if n.startswith(("mk_", "lg_")))
