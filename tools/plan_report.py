@@ -77,9 +77,13 @@ def summarise(name: str, df) -> list[str]:
 
 def main(argv: list[str]) -> None:
     sf_dir = argv[1] if len(argv) > 1 and argv[1].startswith("/") else "/root/testdata/sf0.1"
-    names = [a for a in argv[1:] if not a.startswith("/")] or HEADLINE
-    from lastmile.plans.catalog import queries
-    from lastmile.session import get_session
+    names = [a for a in argv[1:] if not a.startswith(("/", "--"))] or HEADLINE
+    import uuid
+
+    from lastmile.plans.catalog import plans, queries
+    from lastmile.session import checkpoint_dir, get_session
+    from lastmile.sources.domain import Tables
+    from lastmile.sources.stored import StoredTables, save_domain
 
     spark = get_session()
     print(f"# Executed plans ({sf_dir}, local mode, after AQE)\n")
@@ -93,11 +97,20 @@ def main(argv: list[str]) -> None:
           "read a checkpointed roll-up, so the threshold and the lead join do not recompute the fact. Filters on "
           "fulfilment months and batch dates apply to tables the fixture derives by aggregation, so they run "
           "after that aggregate rather than in a scan.\n")
-    for name in names:
-        df = queries()[name](spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()
-        print("\n".join(summarise(name, df)))
-        spark.catalog.clearCache()
+    sections = [("From the star tables (each query derives its domain tables)", lambda n: queries()[n](spark, sf_dir))]
+    if "--stored" in argv:
+        prefix = f"plans_{uuid.uuid4().hex[:8]}"
+        save_domain(Tables(spark, sf_dir), prefix, f"{checkpoint_dir(spark).rstrip('/')}/{prefix}", 8)
+        stored = StoredTables(spark, prefix, sf_dir)
+        sections.append(("On stored domain tables (order-keyed tables bucketed by order id, 8 buckets)",
+                         lambda n: plans()[n](stored)))
+    for title, build in sections:
+        print(f"## {title}\n")
+        for name in names:
+            df = build(name)
+            df.write.format("noop").mode("overwrite").save()
+            print("\n".join(summarise(name, df)))
+            spark.catalog.clearCache()
 
 
 if __name__ == "__main__":
