@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lastmile.functions.columns import ratio, true_flag_text
+from lastmile.functions.columns import ratio, tenth_bucket, true_flag_text
 from lastmile.operators.joins import checked_broadcast, join_null_safe
 
 DECILE = 9  # bucket 0.9
@@ -99,10 +99,10 @@ def decile_threshold(
         method = choose_method(df, groups, metric)
     if method == "window":
         src = df.where(F.col(metric).isNotNull())
-        b = F.floor(F.percent_rank().over(Window.partitionBy(*groups).orderBy(metric)) * F.lit(10))
+        b = tenth_bucket(F.percent_rank().over(Window.partitionBy(*groups).orderBy(metric)))
         y = src.select(*groups, metric, b.alias("__b"))
     elif method == "distributed":
-        y = ranked_values(df, groups, metric).select(*groups, metric, F.floor(F.col("pct_rank") * F.lit(10)).alias("__b"))
+        y = ranked_values(df, groups, metric).select(*groups, metric, tenth_bucket("pct_rank").alias("__b"))
     else:
         raise ValueError(f"method={method!r}")
     thr = y.where(F.col("__b") == F.lit(bucket)).groupBy(*groups).agg(F.min(metric).alias(name))

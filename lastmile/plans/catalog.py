@@ -502,7 +502,7 @@ def _w1(t):
     ab = R.gmv_buyers(t, P.OPEN_ADOPTION_FROM, P.ORDERS_AFTER)
     pr = D.percent_rank(ab, ["province"], "gmv_per_buyer", method="distributed")
     return pr.select("buyer_code", "province", "delivery_method", money("gmv_per_buyer"), "pct_rank",
-                     (F.floor(F.col("pct_rank") * 10) / 10).alias("percentile"))
+                     (C.tenth_bucket("pct_rank") / 10).alias("percentile"))
 
 
 @query("partition_total_window")

@@ -18,7 +18,6 @@ from lastmile.functions.columns import (
     cod_tax_split,
     is_cod,
     region_side,
-    true_flag_text,
 )
 from lastmile.operators.buyers import buyer_gmv, buyer_method_mix, buyer_order_count, method_share
 from lastmile.operators.cohorts import adopter_cohort, first_use_cohort
