@@ -54,7 +54,7 @@ def main() -> None:
     timed(spark, lambda: qs["method_mix"](spark, sf_dir))  # warm-up
 
     prefix = f"bench_{uuid.uuid4().hex[:8]}"
-    location = f"{checkpoint_dir(spark).rstrip('/')}/{prefix}"
+    location = f"{checkpoint_dir(spark, local_fallback=True).rstrip('/')}/{prefix}"
     t0 = time.perf_counter()
     save_domain(Tables(spark, sf_dir), prefix, location, cpus)
     materialize = time.perf_counter() - t0

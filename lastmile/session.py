@@ -36,10 +36,12 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
+def checkpoint_dir(spark: SparkSession, local_fallback: bool = False) -> str:
+    """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir`` or the context's).
 
-    Only when the session has none (local tests) a scratch folder is created and registered.
+    The library never invents one on a cluster: without a configured folder this raises, unless a
+    local caller (tests, the bench, local tools) asks for ``local_fallback``, which registers a
+    scratch folder for that local session.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,6 +49,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not local_fallback:
+            raise RuntimeError("no checkpoint folder: set spark.checkpoint.dir to a shared location")
         named = tempfile.mkdtemp(prefix="lastmile-ckpt-")
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir() or named

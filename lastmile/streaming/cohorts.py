@@ -45,9 +45,13 @@ def first_use_stream(
     return rows.groupBy("unique_id").agg(F.min("created_at").alias("order_date"))
 
 
-def start(df: DataFrame, name: str, output_mode: str = "append", sink: str = "memory", path: str | None = None) -> StreamingQuery:
-    """Start ``df`` with its checkpoint under ``<checkpoint dir>/streams/<name>``."""
-    location = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/streams/{name}"
+def start(
+    df: DataFrame, name: str, output_mode: str = "append", sink: str = "memory", path: str | None = None,
+    checkpoint_location: str | None = None,
+) -> StreamingQuery:
+    """Start ``df``; its checkpoint goes to ``checkpoint_location`` or, by default, under the
+    session's shared checkpoint folder (``<spark.checkpoint.dir>/streams/<name>``)."""
+    location = checkpoint_location or f"{checkpoint_dir(df.sparkSession).rstrip('/')}/streams/{name}"
     writer = df.writeStream.queryName(name).outputMode(output_mode).option("checkpointLocation", location)
     writer = writer.format(sink)
     return writer.start(path) if path else writer.start()

@@ -15,7 +15,7 @@ def spark():
     from lastmile.session import checkpoint_dir, get_session
 
     s = get_session(master="local[*]", partitions=8, app="lastmile-tests")
-    checkpoint_dir(s)
+    checkpoint_dir(s, local_fallback=True)
     yield s
     s.stop()
 

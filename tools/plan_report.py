@@ -100,7 +100,7 @@ def main(argv: list[str]) -> None:
     sections = [("From the star tables (each query derives its domain tables)", lambda n: queries()[n](spark, sf_dir))]
     if "--stored" in argv:
         prefix = f"plans_{uuid.uuid4().hex[:8]}"
-        save_domain(Tables(spark, sf_dir), prefix, f"{checkpoint_dir(spark).rstrip('/')}/{prefix}", 8)
+        save_domain(Tables(spark, sf_dir), prefix, f"{checkpoint_dir(spark, local_fallback=True).rstrip('/')}/{prefix}", 8)
         stored = StoredTables(spark, prefix, sf_dir)
         sections.append(("On stored domain tables (order-keyed tables bucketed by order id, 8 buckets)",
                          lambda n: plans()[n](stored)))
