@@ -91,3 +91,33 @@ def test_offers_price_gap(tables):
     assert gap[("B", 2)] is None  # no offer
     assert gap[("C", 1)] is None  # zero paid price (T12)
     assert gap[("D", 1)] == (4.0 - 8.0) / 4.0  # offer above paid price -> negative
+
+
+def test_escrow_report_parameters(spark):
+    # M6: delivery date, tag status and delivery status narrow the lines; the manifest total is
+    # taken over the narrowed lines (the filters sit in the report's WHERE, before the window)
+    import datetime as dt
+
+    from lastmile.plans import reports as R
+    from lastmile.sources.domain import Tables
+
+    from conftest import SMOKE_DIR
+
+    t = Tables(spark, SMOKE_DIR)
+    full = R.cod_escrow(t, "finance").collect()
+    day = full[0]["delivery_date"]
+    by_day = R.cod_escrow(t, "finance", delivery_date=day).collect()
+    assert by_day and {r["delivery_date"] for r in by_day} == {day}
+    assert len(by_day) == sum(1 for r in full if r["delivery_date"] == day)
+    returned = R.cod_escrow(t, "finance", tag_status="returned").collect()
+    assert returned and {r["delivery_tag_status"] for r in returned} == {"returned"}
+    opened = R.cod_escrow(t, "finance", delivery_status="open").collect()
+    assert opened and {r["delivery_status"] for r in opened} == {"open"}
+    for r in by_day:  # totals over the narrowed lines: at least the distinct lines (duplicates add, T7)
+        same = [x["line_total"] for x in by_day if x["manifest_no"] == r["manifest_no"] and x["line_total"] is not None]
+        if same:
+            assert r["manifest_total"] >= sum(same) - 1e-6
+        else:
+            assert r["manifest_total"] is None
+    assert isinstance(day, dt.date)
+    spark.catalog.clearCache()
