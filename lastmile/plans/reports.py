@@ -32,7 +32,8 @@ from lastmile.sources.domain import Tables
 def money(col: str | Column, name: str | None = None) -> Column:
     """Final projection of a decimal amount as double."""
     c = F.col(col) if isinstance(col, str) else col
-    return c.cast("double").alias(name or (col if isinstance(col, str) else None))
+    alias = name or (col if isinstance(col, str) else None)
+    return c.cast("double").alias(alias) if alias else c.cast("double")
 
 
 def _persist(df: DataFrame) -> DataFrame:
