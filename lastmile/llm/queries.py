@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lastmile.llm.language_id import op9_language_id
 from lastmile.llm.mixing import op3_mixing
+from lastmile.llm.packing import op4_packing
+from lastmile.llm.quality import op7_quality_rules
 from lastmile.llm.sharding import op2_sharding
+from lastmile.llm.token_counts import op10_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sharding": op2_sharding,
         "op3_mixing": op3_mixing,
+        "op4_packing": op4_packing,
+        "op7_quality_rules": op7_quality_rules,
+        "op9_language_id": op9_language_id,
+        "op10_token_counts": op10_token_counts,
     }
 
 
