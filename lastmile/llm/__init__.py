@@ -1 +1,8 @@
 """Training-data operators: deduplication, sharding, mixing, packing, search, filtering and counting."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,19 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lastmile.llm.language_id import op9_language_id
+from lastmile.llm.minhash import op6_minhash_dedup
 from lastmile.llm.mixing import op3_mixing
 from lastmile.llm.packing import op4_packing
 from lastmile.llm.quality import op7_quality_rules
 from lastmile.llm.sharding import op2_sharding
+from lastmile.llm.substring_dedup import op1_substring_dedup
 from lastmile.llm.token_counts import op10_token_counts
+from lastmile.llm.toxicity import op8_toxicity
+from lastmile.llm.vector_search import op5_vector_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_sharding": op2_sharding,
         "op3_mixing": op3_mixing,
         "op4_packing": op4_packing,
+        "op5_vector_search": op5_vector_search,
+        "op6_minhash_dedup": op6_minhash_dedup,
         "op7_quality_rules": op7_quality_rules,
+        "op8_toxicity": op8_toxicity,
         "op9_language_id": op9_language_id,
         "op10_token_counts": op10_token_counts,
     }
