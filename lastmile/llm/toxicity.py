@@ -29,8 +29,9 @@ MOST_TRAINING = 20_000
 FOLDS = 3
 MIN_DOCUMENTS = 5
 MOST_WORDS = 50_000
-REGULARISATION = 1e-4
-MOST_STEPS = 50
+REGULARISATION = 1e-4  # on the raw 0/1 features, so rare words are held down more than frequent ones
+TRAINING_PARTS = 8
+MOST_STEPS = 40
 THRESHOLD = 0.5
 
 
@@ -46,7 +47,7 @@ def fraction(key: Column, seed: int) -> Column:
 def fit(rows: DataFrame, label: str, before: list[str]):
     """Model of one category over ``words_of`` and the probabilities of the categories before it."""
     inputs = with_inputs(rows.where(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double")), before)
-    return LogisticRegression(featuresCol="_inputs", labelCol=label, regParam=REGULARISATION, maxIter=MOST_STEPS).fit(inputs)
+    return LogisticRegression(featuresCol="_inputs", labelCol=label, regParam=REGULARISATION, maxIter=MOST_STEPS, standardization=False).fit(inputs)
 
 
 def with_inputs(rows: DataFrame, before: list[str]) -> DataFrame:
@@ -62,7 +63,7 @@ def train(labelled: DataFrame, chain: tuple[str, ...] = CHAIN):
     """(word model, one model per category) from rows doc_id, words and the categories."""
     words = CountVectorizer(inputCol="words", outputCol="_words", binary=True, minDF=MIN_DOCUMENTS, vocabSize=MOST_WORDS).fit(labelled)
     fold = F.floor(fraction(F.col("doc_id"), 1) * FOLDS).cast("int")
-    rows = cut(words.transform(labelled).withColumn("fold", fold).select("doc_id", "fold", "_words", *chain))
+    rows = cut(words.transform(labelled).withColumn("fold", fold).select("doc_id", "fold", "_words", *chain).coalesce(TRAINING_PARTS))
     models, before = [], []
     for place, category in enumerate(chain):
         models.append(fit(rows, category, before))

@@ -119,16 +119,17 @@ def stacked(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def listed(vectors: DataFrame, graph, norm: float, most: int, ratio: float, is_query: bool) -> DataFrame:
+def listed(vectors: DataFrame, centroids, norm: float, most: int, ratio: float, is_query: bool) -> DataFrame:
     """(list, vec_id, vector): a row for each list that a vector is put into, or that a query reads."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = CentroidGraph(centroids.value)
         for whole in batches:
             for k in range(0, len(whole), 512):
                 batch = whole.slice(k, 512)
                 points = stacked(batch.column(1))
                 points = np.hstack([points, np.zeros((len(points), 1))]) if is_query else lifted(points, norm)
-                near, far = graph.value.search(points, most)
+                near, far = graph.search(points, most)
                 row, col = np.nonzero((far <= far[:, :1] * ratio + 1e-12) & np.isfinite(far))
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
@@ -176,10 +177,10 @@ def nearest(table_of: DataFrame, is_query: Column, key: str = "vec_id", vector:
     sample = np.array([r["vector"] for r in rows.where(drawn < MOST_SAMPLE / count).select("vector").collect()]).reshape(-1, sizes["size"])
     lists = max(1, min(count // LIST_SIZE, len(sample) // SAMPLE_PER_LIST))
     centroids = bisect(lifted(sample, norm), lists, np.random.default_rng(5)) if len(sample) else np.zeros((1, sizes["size"] + 1))
-    graph = table_of.sparkSession.sparkContext.broadcast(CentroidGraph(centroids))
+    shared = table_of.sparkSession.sparkContext.broadcast(centroids)
 
-    postings = listed(rows, graph, norm, MOST_COPIES, COPY_RATIO, False)
-    readers = listed(rows.where("is_query"), graph, norm, MOST_LISTS, READ_RATIO, True)
+    postings = listed(rows, shared, norm, MOST_COPIES, COPY_RATIO, False)
+    readers = listed(rows.where("is_query"), shared, norm, MOST_LISTS, READ_RATIO, True)
     parts = lambda df, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
     postings, readers = cut(postings), cut(readers)
     blocks = cut(parts(postings, "vector_blocks").join(parts(readers, "query_blocks"), "list"))
