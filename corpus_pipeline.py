@@ -9,18 +9,51 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lastmile.llm.common import shared_folder, table
+from lastmile.llm.minhash import drop_near_duplicates
 from lastmile.llm.mixing import take
+from lastmile.llm.packing import pack_documents
+from lastmile.llm.quality import judge
+from lastmile.llm.substring_dedup import remove_repeats
+
+
+def with_length(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are distributed like their language."""
+    return judge(docs).where("_quality.kept").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return drop_near_duplicates(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that stand elsewhere too; n_chars is counted anew."""
+    return with_length(remove_repeats(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat and cut documents so that every source contributes its target of words."""
-    return take(docs)
+    """Documents repeated and cut so that every source gives its target of words; n_chars is counted anew."""
+    return with_length(take(docs))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, each with its sequence and its place there."""
+    return pack_documents(docs)
 
 
 STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
     ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
 ]
 
 #: The near-duplicate, substring and packing stages are not expressible in SQL; tests hold them against brute force.
