@@ -25,7 +25,11 @@ def with_length(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are distributed like their language."""
-    return judge(docs).where("_quality.kept").select(*docs.columns)
+    # observed first: a filter right on the verdict would be pushed below the columns it is made of, and
+    # the arrays that its lambdas look into would be made again for every element
+    kept = F.col("_quality.kept")
+    judged = judge(docs).observe("quality_rules", F.count(F.lit(1)).alias("seen"), F.count_if(kept).alias("kept"))
+    return judged.where(kept).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
