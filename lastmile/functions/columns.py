@@ -82,10 +82,10 @@ def cod_fee(payment_type: str | Column, fee: str | Column) -> Column:
 
 
 def cod_tax_split(fee: str | Column) -> tuple[Column, Column]:
-    """M1: (tax base, VAT) of a VAT-inclusive fee: base = fee / 1.1, VAT = base * 0.1, each rounded
-    to cents (half up) from the unrounded decimal base."""
+    """M1: (tax base, VAT) of a VAT-inclusive fee: base = fee / 1.1, VAT = base * 0.1, as unrounded
+    decimals; a caller that needs cents rounds them."""
     base = _c(fee) / F.lit(VAT_DIVISOR).cast("decimal(2,1)")
-    return F.round(base, 2), F.round(base * F.lit(VAT_RATE).cast("decimal(2,1)"), 2)
+    return base, base * F.lit(VAT_RATE).cast("decimal(2,1)")
 
 
 def local_time(ts: str | Column, tz: str = LOCAL_TZ) -> Column:

@@ -6,14 +6,13 @@ metric whose bucket is 0.9. ``percent_rank = (rank − 1) / (n − 1)`` (0 for n
 is in bucket 1.0 unless tied, and groups with no rank in [0.9, 1) give no threshold (T5).
 
 Two exact forms:
-  * ``method="window"``: ``percent_rank() OVER (PARTITION BY group ORDER BY metric)``. Every row of
-    a group is sorted in one task — fine for small groups, a single-task bottleneck when there are
-    few groups (provinces) and many buyers.
-  * ``method="distributed"``: works on the histogram of (group, metric value) — ties
+  * ``method="distributed"``, the default everywhere: works on the histogram of (group, metric value) — ties
     collapse in a partial aggregate, so no value is hot — and splits each group's value range into
     slices at approximate quantiles. Rows below a value = rows in lower slices (a tiny per-slice
     count table) + rows below it inside its slice (a window over one slice). The split points only
     balance the work; the counts, and so the ranks, are exact.
+  * ``method="window"``, for tests: ``percent_rank() OVER (PARTITION BY group ORDER BY metric)``. Every row of
+    a group is sorted in one task.
 """
 
 from __future__ import annotations
@@ -22,21 +21,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lastmile.functions.columns import ratio, tenth_bucket, true_flag_text
-from lastmile.operators.joins import checked_broadcast, join_null_safe
+from lastmile.operators.joins import join_null_safe
 
 DECILE = 9  # bucket 0.9
-SLICES = 64  # value slices per group in the distributed form
 QUANTILE_ACCURACY = 10_000
-# "auto": the window form while the largest group has at most this many rows (one task sorts it),
-# the distributed form beyond
-WINDOW_GROUP_MAX_ROWS = 1_000_000
-
-
-def choose_method(df: DataFrame, groups: list[str], metric: str, max_rows: int = WINDOW_GROUP_MAX_ROWS) -> str:
-    """Measure the largest group (one small aggregate; only a scalar reaches the driver)."""
-    sizes = df.where(F.col(metric).isNotNull()).groupBy(*groups).count()
-    biggest = sizes.agg(F.max("count")).first()[0] or 0
-    return "window" if biggest <= max_rows else "distributed"
 
 
 def _pr_from_below(below: Column, n: Column) -> Column:
@@ -44,19 +32,19 @@ def _pr_from_below(below: Column, n: Column) -> Column:
     return F.when(n > F.lit(1), below.cast("double") / (n - F.lit(1)).cast("double")).otherwise(F.lit(0.0))
 
 
-def ranked_values(df: DataFrame, groups: list[str], metric: str, slices: int = SLICES) -> DataFrame:
+def ranked_values(df: DataFrame, groups: list[str], metric: str, slices: int | None = None) -> DataFrame:
     """Distinct (groups, metric) values with ``cnt`` rows each and exact ``pct_rank``.
 
-    Rows with a NULL metric are left out (the reports filter them before ranking).
+    Rows with a NULL metric are left out (the reports filter them before ranking). A group's values are
+    cut into ``slices`` parts, by default as many as the session has shuffle partitions.
     """
+    slices = slices or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     hist = df.where(F.col(metric).isNotNull()).groupBy(*groups, metric).agg(F.count(F.lit(1)).alias("__cnt"))
     probs = [i / slices for i in range(1, slices)]
     cuts = hist.groupBy(*groups).agg(
         F.percentile_approx(metric, probs, QUANTILE_ACCURACY).alias("__cuts"),
         F.sum("__cnt").alias("__n"),
     )
-    # one row per group: the bound is the number of groups, measured before broadcasting
-    cuts = checked_broadcast(cuts)
     sliced = join_null_safe(hist, cuts, groups).withColumn(
         "__slice", F.size(F.filter("__cuts", lambda c: c < F.col(metric)))
     )
@@ -66,7 +54,6 @@ def ranked_values(df: DataFrame, groups: list[str], metric: str, slices: int = S
         "__slice",
         (F.sum("__scnt").over(Window.partitionBy(*groups).orderBy("__slice")) - F.col("__scnt")).alias("__off"),
     )
-    offsets = checked_broadcast(offsets)
     in_slice = Window.partitionBy(*groups, "__slice").orderBy(metric).rowsBetween(Window.unboundedPreceding, -1)
     x = sliced.withColumn("__below_in", F.coalesce(F.sum("__cnt").over(in_slice), F.lit(0)))
     x = join_null_safe(x, offsets, groups + ["__slice"])
@@ -74,7 +61,7 @@ def ranked_values(df: DataFrame, groups: list[str], metric: str, slices: int = S
     return x.select(*groups, metric, F.col("__cnt").alias("cnt"), _pr_from_below(below, F.col("__n")).alias("pct_rank"))
 
 
-def percent_rank(df: DataFrame, groups: list[str], metric: str, name: str = "pct_rank", method: str = "window") -> DataFrame:
+def percent_rank(df: DataFrame, groups: list[str], metric: str, name: str = "pct_rank", method: str = "distributed") -> DataFrame:
     """Per-row ``percent_rank() OVER (PARTITION BY groups ORDER BY metric)`` for non-NULL metrics."""
     src = df.where(F.col(metric).isNotNull())
     if method == "window":
@@ -89,14 +76,12 @@ def decile_threshold(
     metric: str,
     name: str,
     bucket: int = DECILE,
-    method: str = "auto",
+    method: str = "distributed",
 ) -> DataFrame:
     """Per group, the smallest ``metric`` in decile bucket ``bucket`` (→ ``percentile``, ``name``).
 
-    ``method``: "window", "distributed" (see module doc) or "auto" (by measured largest group).
+    ``method``: "distributed", or "window" for tests (see module doc).
     """
-    if method == "auto":
-        method = choose_method(df, groups, metric)
     if method == "window":
         src = df.where(F.col(metric).isNotNull())
         b = tenth_bucket(F.percent_rank().over(Window.partitionBy(*groups).orderBy(metric)))
@@ -129,9 +114,9 @@ def top_decile_summary(
     ``inclusive`` compares with ``>=`` (order-count report) instead of ``>``; the HAVING filter
     (adopters above the threshold > ``having_min``) has its own comparison (T16). Zero adopters
     give a NULL ratio (T12). ``distinct_buyers`` adds the distinct buyer count (M7).
-    The threshold has one row per group; it is broadcast after its row count is checked.
+    The threshold has one row per group; adaptive execution broadcasts it by its measured size.
     """
-    thr_b = checked_broadcast(thr.select(*join_keys, "percentile", thr_col))
+    thr_b = thr.select(*join_keys, "percentile", thr_col)
     j = buyers.join(thr_b, on=join_keys, how="inner")
     m, th = F.col(metric), F.col(thr_col)
     above = m >= th if inclusive else m > th
@@ -170,7 +155,7 @@ def top_decile_leads(
 ) -> DataFrame:
     """Buyers above their group's threshold (``>``) and without the cohort tag, with the text
     flag ``is_platform_user`` ('False' for every kept row); highest metric first."""
-    thr_b = checked_broadcast(thr.select(*join_keys, "percentile", thr_col))
+    thr_b = thr.select(*join_keys, "percentile", thr_col)
     cond = (F.col(metric) > F.col(thr_col)) & F.col(tag).isNull()
     if buyer is not None:
         cond = cond & (F.col(buyer_col) == F.lit(buyer))
@@ -188,7 +173,7 @@ def top_decile_leads_anti(
     buyer_col: str = "buyer_code",
 ) -> DataFrame:
     """D13 as an anti-join: above the threshold and not in the cohort (equal to the tag-NULL test)."""
-    thr_b = checked_broadcast(thr.select(*join_keys, "percentile", thr_col))
+    thr_b = thr.select(*join_keys, "percentile", thr_col)
     j = buyers.join(thr_b, on=join_keys, how="inner").where(F.col(metric) > F.col(thr_col))
     c = cohort.select(F.col("unique_id").alias("__cid"))
     j = j.join(c, j[buyer_col] == c["__cid"], "left_anti")

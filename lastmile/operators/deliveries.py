@@ -7,25 +7,25 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lastmile.functions.columns import STAR_REGION_SIDES, date_literal, is_false, region_side
+from lastmile.functions.columns import date_literal, is_false, region_side
 from lastmile.operators.joins import partition_total
 from lastmile.sources.domain import Tables
 
 
-def shipped_gmv(t: Tables, full: bool = True) -> DataFrame:
+def shipped_gmv(t: Tables, full: bool = True, orders: DataFrame | None = None) -> DataFrame:
     """D6 per logistics order: order line ⨝ delivery line, summed per order.
 
     ``full``: Σ quantity, Σ allocated, Σ checked (``qty``) and the three price-weighted sums
     (``order_gmv``, ``allocated_gmv``, ``tot_gmv``); otherwise only ``qty`` and ``tot_gmv``.
     The report's consumers keep ``qty > 0`` inside their join condition (J9).
 
-    The line join also equates the order of both lines (a delivery line belongs to the order of its
-    order line, so no row changes): the 64-bit order key leads the sort-merge keys instead of the
-    long line id, and a hot order is still spread by the line id part of the key.
+    ``orders`` (column ``order_id``) keeps the lines of these orders only, before they are joined and summed.
     """
     ol = t.lg_order_line
-    dl = t.lg_delivery_line.withColumnRenamed("order_id", "dl_order_id")
-    x = ol.join(dl, (ol.order_id == dl.dl_order_id) & (ol.id == dl.order_line_id))
+    if orders is not None:
+        ol = ol.join(orders, "order_id", "left_semi")
+    dl = t.lg_delivery_line.select("order_line_id", "quantity", "allocated_quantity", "checked_quantity")
+    x = ol.join(dl, ol.id == dl.order_line_id)
     p = F.col("price_unit")
     aggs = [F.sum("checked_quantity").alias("qty"), F.sum(p * F.col("checked_quantity")).alias("tot_gmv")]
     if full:
@@ -115,7 +115,7 @@ def delivery_fact(
     x = x.join(td, x.r_id == td.td_ride_id).join(d, F.col("delivery_id") == d.d_id).join(o, F.col("order_id") == o.o_id)
     da = t.lg_delivery_address.select(F.col("id").alias("da_id"), "buyer_code", "lat", "lng", "city", "province")
     x = x.join(da, x.delivery_address_id == da.da_id, "left")
-    ol = shipped_gmv(t, full=False).where(F.col("qty") > 0).select(
+    ol = shipped_gmv(t, full=False, orders=x.select("order_id")).where(F.col("qty") > 0).select(
         F.col("order_id").alias("ol_order_id"), F.col("tot_gmv")
     )
     x = x.join(ol, x.order_id == ol.ol_order_id, "left")
@@ -137,5 +137,5 @@ def delivery_fact(
         "city",
         "province_region",
         "province",
-        region_side("province_region", sides if sides is not None else STAR_REGION_SIDES).alias("regional_seller"),
+        region_side("province_region", sides).alias("regional_seller"),
     )

@@ -2,33 +2,14 @@
 
 Broadcast policy: dimension tables (area, fee group, region, ...) are left to Spark's own
 size-based choice (``autoBroadcastJoinThreshold`` on file statistics, and AQE re-planning on the
-measured size of each materialised shuffle stage). Derived sides that are small by construction
-(one row per group) are broadcast only through ``checked_broadcast``, which measures the row count
-first and falls back to a shuffle join (AQE splits hot keys) beyond the bound.
+measured size of each materialised shuffle stage), and so are derived sides of one row per group.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Largest side broadcast on a measured row count (rows of a few narrow columns).
-BROADCAST_MAX_ROWS = 200_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Persist ``df``, count it, and mark it for broadcast only when the count is within ``max_rows``.
-
-    The persisted copy is reused by the join, so the count costs one pass over an already small
-    result. Persist (not a local checkpoint) keeps the lineage: a lost executor recomputes it.
-    """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if df.count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def null_safe_on(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Equality on several keys where NULL matches NULL (SQL ``IS NOT DISTINCT FROM``)."""
     cond = None
@@ -62,7 +43,5 @@ def partition_total(
     v = F.col(value) if isinstance(value, str) else value
     if method == "window":
         return df.withColumn(name, F.sum(v).over(Window.partitionBy(*keys)))
-    # both branches read the rows; keep them once (lineage stays, so a lost executor recomputes)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     totals = df.groupBy(*keys).agg(F.sum(v).alias(name))
     return join_null_safe(df, totals, keys, "left")

@@ -19,9 +19,14 @@ from lastmile.functions.columns import (
 from lastmile.sources.domain import Tables
 
 
-def _fulfilment_counts(t: Tables, platform: str = PLATFORM) -> DataFrame:
+def _of_orders(rows: DataFrame, orders: DataFrame | None) -> DataFrame:
+    """The rows of the given orders (column ``order_id``); all without them."""
+    return rows if orders is None else rows.join(orders, "order_id", "left_semi")
+
+
+def _fulfilment_counts(t: Tables, platform: str = PLATFORM, orders: DataFrame | None = None) -> DataFrame:
     """Per order: number of fulfilment rows, and how many of them use the platform fleet."""
-    f = t.mk_order_fulfilment
+    f = _of_orders(t.mk_order_fulfilment, orders)
     return f.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("n_fulfilment"),
         F.count_if(F.col("delivery_method") == F.lit(platform)).alias("n_platform"),
@@ -34,7 +39,8 @@ def _fanout(n: Column) -> Column:
 
 
 def order_gmv(
-    t: Tables, fanout: bool = True, with_fees: bool = False, method_aware: bool = False, platform: str = PLATFORM
+    t: Tables, fanout: bool = True, with_fees: bool = False, method_aware: bool = False, platform: str = PLATFORM,
+    orders: DataFrame | None = None,
 ) -> DataFrame:
     """D3 per order: ``GMV_order`` = Σ price × ordered qty, ``GMV_final`` = Σ price × delivered qty.
 
@@ -46,8 +52,9 @@ def order_gmv(
 
     ``with_fees`` adds the seller fee sums (M2); ``method_aware`` adds ``GMV_final_seller`` (M3):
     per joined fulfilment row, picked − returned when it is a platform delivery, else delivered.
+    ``orders`` (column ``order_id``) keeps these orders only, before anything is summed.
     """
-    ou = t.mk_order_unit
+    ou = _of_orders(t.mk_order_unit, orders)
     price = F.col("unit_price")
     aggs = [
         F.sum(price * F.col("ordered_quantity")).alias("s_order"),
@@ -76,7 +83,7 @@ def order_gmv(
             out.append(F.col("s_final").alias("GMV_final_seller"))
         return per_order.select(*out)
 
-    counts = _fulfilment_counts(t, platform)
+    counts = _fulfilment_counts(t, platform, orders)
     j = per_order.join(counts, "order_id", "left")
     m = _fanout(F.col("n_fulfilment"))
     out = [F.col("order_id"), (F.col("s_order") * m).alias("GMV_order"), (F.col("s_final") * m).alias("GMV_final")]
@@ -96,13 +103,13 @@ def order_gmv(
     return j.select(*out)
 
 
-def order_item_gmv(t: Tables, fanout: bool = True) -> DataFrame:
+def order_item_gmv(t: Tables, fanout: bool = True, orders: DataFrame | None = None) -> DataFrame:
     """GMV at grain (order, product unit, product name, unit of measure, unit price).
 
     Same fulfilment fan-out as D3, applied as a per-order multiplier after grouping the units.
     The product lookups are left joins (a unit without product keeps NULL names).
     """
-    ou = t.mk_order_unit
+    ou = _of_orders(t.mk_order_unit, orders)
     pu = t.mk_product_unit
     pv = t.mk_product_variant.select(F.col("id").alias("pv_id"), F.col("name").alias("product"))
     uom = t.mk_unit_of_measurement.select(F.col("id").alias("uom_id"), "long_name")
@@ -122,7 +129,7 @@ def order_item_gmv(t: Tables, fanout: bool = True) -> DataFrame:
             "order_id", "product_unit_id", "product", "long_name", "unit_price",
             F.col("s_order").alias("GMV_order"), F.col("s_final").alias("GMV_final"),
         )
-    counts = _fulfilment_counts(t).select("order_id", "n_fulfilment")
+    counts = _fulfilment_counts(t, orders=orders).select("order_id", "n_fulfilment")
     m = _fanout(F.col("n_fulfilment"))
     return g.join(counts, "order_id", "left").select(
         "order_id", "product_unit_id", "product", "long_name", "unit_price",
@@ -140,6 +147,20 @@ def with_area(df: DataFrame, t: Tables, city_id: str, city: str = "city", provin
     return out.drop("__city_id", "__parent", "__prov_id")
 
 
+def _wanted_buyers(cohort: DataFrame | None, buyers: list[str] | DataFrame | None) -> list:
+    """Filters of a frame with ``unique_id`` to the buyers that can be in the fact."""
+    filters = []
+    if isinstance(buyers, DataFrame):
+        listed = buyers.select("unique_id")
+        filters.append(lambda df: df.join(listed, "unique_id", "left_semi"))
+    elif buyers is not None:
+        filters.append(lambda df: df.where(F.col("unique_id").isin(list(buyers))))
+    if cohort is not None:
+        members = cohort.select("unique_id")
+        filters.append(lambda df: df.join(members, "unique_id", "left_semi"))
+    return filters
+
+
 def order_fact(
     t: Tables,
     start: str | dt.datetime | None,
@@ -183,7 +204,18 @@ def order_fact(
     f = t.mk_order_fulfilment.where(F.col("status") == F.lit(status)).select(
         F.col("order_id").alias("f_order_id"), F.col("status").alias("fulfilment_status"), "delivery_method"
     )
-    gmv = order_gmv(t) if grain == "order" else order_item_gmv(t)
+    # a join cannot be pushed below an aggregate: the orders in question are found first, and only their
+    # units and fulfilments are summed
+    ids = o.join(f, o.order_id == f.f_order_id, "left_semi")
+    only = _wanted_buyers(cohort if cohort_how != "left" else None, buyers)
+    if only:
+        of_buyer = t.mk_buyer_store.select(F.col("id").alias("w_id"), "unique_id")
+        for wanted in only:
+            of_buyer = wanted(of_buyer)
+        of_transaction = tr.join(of_buyer, tr.buyer_store_id == F.col("w_id"), "left_semi")
+        ids = ids.join(of_transaction, ids.transaction_id == of_transaction.t_id, "left_semi")
+    ids = ids.select("order_id")
+    gmv = order_gmv(t, orders=ids) if grain == "order" else order_item_gmv(t, orders=ids)
     gmv = gmv.withColumnRenamed("order_id", "g_order_id")
     if cap is not None:
         cap_lit = F.lit(cap)

@@ -70,7 +70,7 @@ def _r2(t):
 @query("region_coverage")
 def _r3(t):
     """Top-decile buyer coverage per delivery region."""
-    return R.region_coverage(t, P.OPEN_ADOPTION_FROM, P.DELIVERIES_AFTER)
+    return R.region_coverage(t, P.OPEN_ADOPTION_FROM, P.DELIVERIES_AFTER, sides=C.STAR_REGION_SIDES)
 
 
 @query("leads_by_gmv")
@@ -110,6 +110,24 @@ def _r9(t):
     return R.method_mix(t, P.ADOPTION_FROM, P.ADOPTION_TO, P.ORDERS_AFTER, P.ORDERS_BEFORE, P.VALUE_CAP, digits=2)
 
 
+@query("buyer_orders_selected")
+def _r8_selected(t):
+    """R8 in its narrow form: the orders of the selected buyers."""
+    return R.buyer_orders(t, P.ORDERS_AFTER, P.ORDERS_BEFORE, P.VALUE_CAP, buyers=P.SELECTED_BUYERS)
+
+
+@query("price_benchmark_buyer")
+def _r6_buyer(t):
+    """R6 in its narrow form: one buyer's basket against the offers of sixteen sellers."""
+    return R.price_benchmark(t, P.ORDERS_AFTER, P.ORDERS_BEFORE, P.VALUE_CAP, buyer=P.SELECTED_BUYERS[0], sellers=P.SELECTED_SELLERS)
+
+
+@query("leads_by_gmv_buyer")
+def _r4_buyer(t):
+    """R4 for one buyer: the thresholds are those of all buyers."""
+    return R.leads_by_gmv(t, P.OPEN_ADOPTION_FROM, P.ORDERS_AFTER, buyer=P.SELECTED_LEAD)
+
+
 # ============================================================================ domain operators D1–D25
 @query("adopter_cohort")
 def _d1(t):
@@ -166,12 +184,12 @@ def _d6(t):
 
 @query("delivery_fact")
 def _d7(t):
-    f = DL.delivery_fact(t, P.DELIVERIES_AFTER, cohort=CO.adopter_cohort(t, P.OPEN_ADOPTION_FROM))
+    f = DL.delivery_fact(t, P.DELIVERIES_AFTER, cohort=CO.adopter_cohort(t, P.OPEN_ADOPTION_FROM), sides=C.STAR_REGION_SIDES)
     return f.withColumn("tot_gmv", money("tot_gmv"))
 
 
 def region_buyers(t):
-    return R.region_buyers(t, P.OPEN_ADOPTION_FROM, P.DELIVERIES_AFTER, None)
+    return R.region_buyers(t, P.OPEN_ADOPTION_FROM, P.DELIVERIES_AFTER, C.STAR_REGION_SIDES)
 
 
 @query("buyer_gmv")
@@ -226,14 +244,13 @@ def _d12(t):
 @query("top_decile_summary_having")
 def _d12h(t):
     """D12 with HAVING, thresholds from the literal window form (checks window = distributed)."""
-    return R.province_coverage_gmv(t, P.OPEN_ADOPTION_FROM, P.ORDERS_AFTER, P.HAVING_MIN_GMV, method="window")
+    return R.province_coverage_gmv(t, P.OPEN_ADOPTION_FROM, P.ORDERS_AFTER, P.HAVING_MIN_GMV)
 
 
 @query("top_decile_leads")
 def _d13(t):
     """D13 by order count with window thresholds."""
-    return R.leads_by_orders(t, P.ADOPTION_FROM, P.ADOPTION_TO, P.ORDERS_AFTER, P.ORDERS_BEFORE, P.VALUE_CAP,
-                             method="window")
+    return R.leads_by_orders(t, P.ADOPTION_FROM, P.ADOPTION_TO, P.ORDERS_AFTER, P.ORDERS_BEFORE, P.VALUE_CAP)
 
 
 @query("top_decile_leads_anti")
@@ -347,7 +364,7 @@ def _m1(t):
     o = t.lg_order
     fee = C.cod_fee("payment_type", "delivery_fee_value")
     base, vat = C.cod_tax_split(fee)
-    return o.select("id", money(fee, "cod_fee"), money(base, "fee_base"), money(vat, "fee_vat"))
+    return o.select("id", money(fee, "cod_fee"), money(F.round(base, 2), "fee_base"), money(F.round(vat, 2), "fee_vat"))
 
 
 @query("seller_fees")
@@ -375,7 +392,7 @@ def _m4o(t):
 
 @query("region_leads")
 def _m5(t):
-    return R.region_leads(t, P.OPEN_ADOPTION_FROM, P.DELIVERIES_AFTER)
+    return R.region_leads(t, P.OPEN_ADOPTION_FROM, P.DELIVERIES_AFTER, sides=C.STAR_REGION_SIDES)
 
 
 @query("manifest_search")
@@ -386,7 +403,7 @@ def _m6(t):
 @query("cod_escrow_detailed")
 def _m8(t):
     """R1 with the descriptive columns (M8) and the fee tax split (M1)."""
-    return R.cod_escrow(t, "finance", detailed=True, with_tax=True)
+    return R.cod_escrow(t, "finance", detailed=True, with_tax=True, sides=C.STAR_REGION_SIDES)
 
 
 # ============================================================================ primitives (§2.D–§2.J)
@@ -510,7 +527,7 @@ def _w4(t):
     d = t.lg_delivery.select(F.col("id").alias("delivery_id"), "order_id", "batch_id")
     ol = DL.shipped_gmv(t, full=False).select(F.col("order_id").alias("ol_order_id"), "tot_gmv")
     x = d.join(ol, d.order_id == ol.ol_order_id, "left").select("delivery_id", "batch_id", "tot_gmv")
-    x = partition_total(x, ["batch_id"], "tot_gmv", "batch_total", method="window")
+    x = partition_total(x, ["batch_id"], "tot_gmv", "batch_total")
     return x.select("delivery_id", "batch_id", money("tot_gmv"), money("batch_total"))
 
 

@@ -17,3 +17,6 @@ DELIVERIES_AFTER = "19960101"  # batch delivery date > this
 HAVING_MIN_GMV = 10  # province summary: adopters above threshold > this (GMV report)
 HAVING_MIN_ORDERS = 2  # same for the order-count report (10 leaves no province at sf0.01)
 MANIFEST_SEARCH = "-1997-0"  # manifest number contains this text (case-insensitive)
+SELECTED_BUYERS = [f"Customer#{n:09d}" for n in (7, 61, 100)]  # narrow form of R8; the first one for R6
+SELECTED_SELLERS = [f"Supplier#{n:09d}" for n in range(1, 17)]  # narrow form of R6
+SELECTED_LEAD = "Customer#000000006"  # narrow form of R4

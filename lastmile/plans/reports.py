@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lastmile.functions.columns import (
-    STAR_REGION_SIDES,
     cod_fee,
     cod_tax_split,
     is_cod,
@@ -88,7 +87,7 @@ def order_buyers(t: Tables, month_from: str, month_to: str, start, end, cap) ->
     return _persist(buyer_order_count(market_fact(fact), MARKET_BUYER_KEYS + ["delivery_method"]))
 
 
-def leads_by_gmv(t: Tables, month_from: str, start, buyer: str | None = None, method: str = "auto") -> DataFrame:
+def leads_by_gmv(t: Tables, month_from: str, start, buyer: str | None = None, method: str = "distributed") -> DataFrame:
     """Non-adopter buyers whose delivered GMV (per buyer × method) is above their province's
     0.9-decile threshold; optional single buyer."""
     ab = gmv_buyers(t, month_from, start)
@@ -101,7 +100,7 @@ def leads_by_gmv(t: Tables, month_from: str, start, buyer: str | None = None, me
     ).orderBy(F.col("gmv_per_buyer").desc_nulls_first())
 
 
-def leads_by_orders(t: Tables, month_from: str, month_to: str, start, end, cap, method: str = "auto") -> DataFrame:
+def leads_by_orders(t: Tables, month_from: str, month_to: str, start, end, cap, method: str = "distributed") -> DataFrame:
     """Non-adopter buyers whose distinct order count (per buyer × method) is above their
     province's 0.9-decile threshold."""
     ab = order_buyers(t, month_from, month_to, start, end, cap)
@@ -114,7 +113,7 @@ def leads_by_orders(t: Tables, month_from: str, month_to: str, start, end, cap,
     ).orderBy(F.col("count_order").desc_nulls_first())
 
 
-def province_coverage_gmv(t: Tables, month_from: str, start, having_min: int | None, method: str = "auto") -> DataFrame:
+def province_coverage_gmv(t: Tables, month_from: str, start, having_min: int | None, method: str = "distributed") -> DataFrame:
     """M4 on R4: per province the buyers above the GMV threshold, adopters / non-adopters and their
     ratio, kept when adopters above it > ``having_min``."""
     ab = gmv_buyers(t, month_from, start)
@@ -127,7 +126,7 @@ def province_coverage_gmv(t: Tables, month_from: str, start, having_min: int | N
 
 
 def province_coverage_orders(
-    t: Tables, month_from: str, month_to: str, start, end, cap, having_min: int | None, method: str = "auto"
+    t: Tables, month_from: str, month_to: str, start, end, cap, having_min: int | None, method: str = "distributed"
 ) -> DataFrame:
     """M4 on R7: as ``province_coverage_gmv`` on order counts; counts use ``>=``, HAVING uses ``>``."""
     ab = order_buyers(t, month_from, month_to, start, end, cap)
@@ -152,7 +151,7 @@ def region_buyers(t: Tables, month_from: str, after, sides) -> DataFrame:
 
 
 def region_coverage(
-    t: Tables, month_from: str, after, sides: dict[str, str] | None = None, method: str = "auto",
+    t: Tables, month_from: str, after, sides: dict[str, str] | None = None, method: str = "distributed",
     distinct_buyers: bool = False,
 ) -> DataFrame:
     """Per (delivery region, side) the 0.9-decile buyer GMV threshold, buyers above it split into
@@ -170,7 +169,7 @@ def region_coverage(
     return s.select(*cols).orderBy(F.col("all_buyer").desc_nulls_first())
 
 
-def region_leads(t: Tables, month_from: str, after, sides: dict[str, str] | None = None, method: str = "auto") -> DataFrame:
+def region_leads(t: Tables, month_from: str, after, sides: dict[str, str] | None = None, method: str = "distributed") -> DataFrame:
     """M5: the dormant buyer-list tail of R3 — non-adopters above their region's threshold."""
     ab = region_buyers(t, month_from, after, sides)
     thr = decile_threshold(ab, ["province_region", "regional_seller"], "gmv_per_buyer", "gmv_percentile", method=method)
@@ -220,7 +219,8 @@ def cod_escrow(
     if delivery_date is not None:
         o = o.where(F.to_date("delivery_date") == F.lit(delivery_date))
     x = d.join(o, d.order_id == o.o_id)
-    ol = shipped_gmv(t).where(F.col("qty") > 0).select(F.col("order_id").alias("ol_order_id"), "order_gmv", "tot_gmv")
+    # lines of the kept orders only
+    ol = shipped_gmv(t, orders=x.select("order_id")).where(F.col("qty") > 0).select(F.col("order_id").alias("ol_order_id"), "order_gmv", "tot_gmv")
     x = x.join(ol, x.order_id == ol.ol_order_id, "left")
     pa = t.lg_pickup_address.select(F.col("id").alias("pa_id"), "seller_code", F.col("name").alias("seller_name"))
     x = x.join(pa, x.pickup_address_id == pa.pa_id, "left")
@@ -259,7 +259,7 @@ def cod_escrow(
     if detailed:
         cols += [
             F.col("store_name").alias("buyer_name"), F.col("line1").alias("buyer_address"), "buyer_city", "district",
-            "village", "buyer_area", region_side("buyer_area", sides if sides is not None else STAR_REGION_SIDES).alias("buyer_side"),
+            "village", "buyer_area", region_side("buyer_area", sides).alias("buyer_side"),
             "seller_name",
         ]
     cols += [F.col("seller_code"), F.col("vendor_name").alias("vendor"), F.col("license_plate"), F.col("driver_name")]
@@ -268,7 +268,7 @@ def cod_escrow(
     cols += [F.col("tot_gmv").alias("shipped_gmv"), fee.alias("cod_fee")]
     if with_tax:
         base, vat = cod_tax_split(fee)
-        cols += [base.alias("fee_base"), vat.alias("fee_vat")]
+        cols += [F.round(base, 2).alias("fee_base"), F.round(vat, 2).alias("fee_vat")]
     cols.append((F.col("tot_gmv") + fee).alias("line_total"))
     lines = x.select(*cols)
     lines = with_manifest_total(lines, "manifest_no", "line_total", "manifest_total", dedupe_first=dedupe_first,

@@ -46,7 +46,7 @@ def first_use_stream(
 
 
 def start(
-    df: DataFrame, name: str, output_mode: str = "append", sink: str = "memory", path: str | None = None,
+    df: DataFrame, name: str, output_mode: str, sink: str, path: str | None = None,
     checkpoint_location: str | None = None,
 ) -> StreamingQuery:
     """Start ``df``; its checkpoint goes to ``checkpoint_location`` or, by default, under the

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lastmile.operators.joins import checked_broadcast
 
 from conftest import SMOKE_DIR
 
@@ -23,13 +22,3 @@ def test_reports_do_not_depend_on_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
         spark.catalog.clearCache()
-
-
-def test_checked_broadcast_falls_back_above_bound(spark):
-    big = spark.range(0, 5000).withColumn("g", F.col("id") % 50)
-    small = spark.range(0, 50).withColumnRenamed("id", "g").withColumn("w", F.col("g") * 2)
-    hinted = big.join(checked_broadcast(small, max_rows=100), "g")
-    plain = big.join(checked_broadcast(small, max_rows=10), "g")
-    assert "ResolvedHint" in hinted._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in plain._jdf.queryExecution().analyzed().toString()
-    assert _rows(hinted) == _rows(plain)

@@ -20,8 +20,8 @@ def test_stream_cohorts_match_batch(spark):
         f.where(F.col("order_id") % 3 == part).write.mode("append").parquet(src)
     changes = read_fulfilment_changes(spark, src, files_per_trigger=2)
 
-    q1 = start(adopter_stream(changes, t, "1997-01", "1998-01"), "adopters_test")
-    q2 = start(first_use_stream(changes, t, "1997-01", "1998-01"), "first_use_test", output_mode="complete")
+    q1 = start(adopter_stream(changes, t, "1997-01", "1998-01"), "adopters_test", "append", "memory")
+    q2 = start(first_use_stream(changes, t, "1997-01", "1998-01"), "first_use_test", "complete", "memory")
     try:
         q1.processAllAvailable()
         q2.processAllAvailable()
