@@ -10,51 +10,59 @@ same as under the full order, since a range is bounded by the suffixes that diff
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 
-DEPTH = 64
+DEPTH = 48
+PROBE = 8
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first ``depth`` symbols, by prefix doubling."""
-    rank = text.astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    sorted_by = 1
+    """Suffixes in the order of their first ``depth`` symbols or more, by prefix doubling from three symbols on."""
+    padded = np.concatenate((text.astype(np.int64) + 1, [0, 0]))
+    base = int(padded.max()) + 1
+    if base >= 1 << 20:
+        raise ValueError("too many symbols for one index")
+    rank = (padded[:-2] * base + padded[1:-1]) * base + padded[2:]
+    sorted_by = 3
     while True:
+        order = np.argsort(rank)
         ordered = rank[order]
         fresh = np.empty(len(text), np.int64)
         fresh[order] = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1])))
         if sorted_by >= depth or fresh[order[-1]] == len(text) - 1:
             return order
         after = np.zeros(len(text), np.int64)
-        after[:-sorted_by] = fresh[sorted_by:] + 1 if sorted_by < len(text) else 0
+        after[:-sorted_by] = fresh[sorted_by:] + 1
         rank = fresh * (len(text) + 1) + after
-        order = np.argsort(rank, kind="stable")
         sorted_by *= 2
 
 
 def code_lengths(counts: np.ndarray) -> np.ndarray:
-    """Huffman code lengths; a symbol that does not occur gets 0."""
-    heap = [(int(n), k) for k, n in enumerate(counts) if n]
+    """Huffman code lengths; a symbol that does not occur gets 0. Leaves and inner nodes come in rising order of weight."""
     lengths = np.zeros(len(counts), np.int64)
-    if len(heap) == 1:
-        lengths[heap[0][1]] = 1
+    used = np.flatnonzero(counts)
+    used = used[np.argsort(counts[used], kind="stable")]
+    if len(used) == 1:
+        lengths[used] = 1
         return lengths
-    heapq.heapify(heap)
-    up: dict[int, int] = {}
-    node = len(counts)
-    while len(heap) > 1:
-        a, b = heapq.heappop(heap), heapq.heappop(heap)
-        up[a[1]] = up[b[1]] = node
-        heapq.heappush(heap, (a[0] + b[0], node))
-        node += 1
-    depth = {node - 1: 0}
-    for k in sorted(up, reverse=True):
-        depth[k] = depth[up[k]] + 1
-        if k < len(counts):
-            lengths[k] = depth[k]
+    many = len(used)
+    weight = counts[used].tolist()
+    up = [0] * (2 * many - 1)
+    leaf, inner = 0, many
+    for node in range(many, 2 * many - 1):
+        total = 0
+        for _ in range(2):
+            if leaf < many and (inner >= node or weight[leaf] <= weight[inner]):
+                pick, leaf = leaf, leaf + 1
+            else:
+                pick, inner = inner, inner + 1
+            up[pick] = node
+            total += weight[pick]
+        weight.append(total)
+    depth = [0] * (2 * many - 1)
+    for node in range(2 * many - 3, -1, -1):
+        depth[node] = depth[up[node]] + 1
+    lengths[used] = depth[:many]
     return lengths
 
 
@@ -132,9 +140,10 @@ class Wavelet:
             if not many:
                 break
             s = sorted_symbol[:many]
-            ones = self.levels[level].ones(self.starts[level][s] + at[:, :many]) - self.ones[level][s]
+            here = at[:, :many]
+            ones = self.levels[level].ones(self.starts[level][s] + here) - self.ones[level][s]
             bit = (sorted_code[:many] >> (sorted_length[:many] - level - 1)) & 1
-            at[:, :many] = np.where(bit == 1, ones, at[:, :many] - ones)
+            np.copyto(here, np.where(bit == 1, ones, here - ones))
         out = np.empty_like(at)
         out[:, order] = at
         return out
@@ -163,32 +172,44 @@ def matched(index: FMIndex, stream: np.ndarray, start: np.ndarray, end: np.ndarr
 
     Pattern k is ``stream[start[k]:end[k]]``; a negative symbol is unknown to the index. Its matching statistics
     are found from the right: a match is extended to the left as far as it occurs often enough; then the right
-    end moves to the next place from which a match of ``least`` symbols is still open.
+    end moves to the next place from which a match of ``least`` symbols is still open. Where a match stopped short,
+    the few symbols from the stopping place on are tried first: mostly they do not occur either, and
+    then no match over that place is left.
     """
-    if least > DEPTH:
-        raise ValueError(f"the index sorts by {DEPTH} symbols only")
+    if not PROBE < least <= DEPTH:
+        raise ValueError(f"matches must be longer than {PROBE} and at most {DEPTH} symbols long")
     change = np.zeros(len(stream) + 1, np.int64)
     active = np.flatnonzero(end - start >= least)
     lower, right, need = start[active], end[active], need[active]
     left = right.copy()
+    floor = lower.copy()  # how far the current match may go
+    resume = np.full(len(active), -1)  # while trying a stopping place: where to go on if it holds
     ranges = np.vstack([np.zeros(len(active), np.int64), np.full(len(active), index.size)])
     while len(lower):
         symbol = stream[left - 1]
         known = symbol >= 0
-        after = index.step(np.where(known, symbol, 0), ranges)
-        more = known & (index.count(after) >= need)
+        ranges = index.step(np.where(known, symbol, 0), ranges)
+        more = known & (index.count(ranges) >= need)
         left = left - more
-        ranges = after
-        stop = ~more | (left == lower) | (right - left == DEPTH)
-        if stop.any():
-            at = np.flatnonzero(stop)
-            long_enough = at[right[at] - left[at] >= least]
-            np.add.at(change, left[long_enough], 1)
-            np.add.at(change, right[long_enough], -1)
-            right[at] = np.minimum(right[at] - 1, left[at] + least - 1)
-            left[at] = right[at]
-            ranges[0, at], ranges[1, at] = 0, index.size
-            open_still = right - lower >= least
-            if not open_still.all():
-                lower, right, left, need, ranges = lower[open_still], right[open_still], left[open_still], need[open_still], ranges[:, open_still]
+        stop = ~more | (left == floor) | (right - left == DEPTH)
+        if not stop.any():
+            continue
+        at = np.flatnonzero(stop)
+        trying, held = resume[at] >= 0, more[at]
+        length = right[at] - left[at]
+        enough = at[~trying & (length >= least)]
+        np.add.at(change, left[enough], 1)
+        np.add.at(change, right[enough], -1)
+        # a stop short of a match at left - 1 is tried from there on, unless next to nothing is between
+        try_it = ~trying & ~held & (length < least) & (length > PROBE)
+        onward = np.minimum(right[at] - 1, left[at] + least - 1)
+        after_try = np.where(held, resume[at], floor[at] + PROBE - 1)
+        resume[at] = np.where(try_it, right[at] - 1, -1)
+        floor[at] = np.where(try_it, left[at] - 1, lower[at])
+        right[at] = np.where(trying, after_try, np.where(try_it, left[at] - 1 + PROBE, onward))
+        left[at] = right[at]
+        ranges[0, at], ranges[1, at] = 0, index.size
+        open_still = (right - lower >= least) | (resume >= 0)
+        if not open_still.all():
+            lower, right, left, need, floor, resume, ranges = (x[..., open_still] for x in (lower, right, left, need, floor, resume, ranges))
     return np.cumsum(change[:-1]) > 0

@@ -40,7 +40,7 @@ from lastmile.llm.word_hashes import WordHashes, runs
 
 WINDOW = 35
 ANCHOR = 8
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 1_500_000
 BLOCK_SEGMENTS = 20_000  # different segments of one anchor that are indexed together
 NO_ID = -(2**63)
 
@@ -136,37 +136,33 @@ def segment_words(rows: DataFrame, window: int) -> DataFrame:
 
 def search(group: pd.DataFrame, window: int) -> pd.DataFrame:
     """Spans of the asked segments of one shard that occur elsewhere, from an index of its held segments."""
-    held = group[group["held"]]
+    group = group.sort_values("held", ascending=False, kind="stable")
+    held, asked = group["held"].to_numpy(bool), group["asked"].to_numpy(bool)
     numbers: dict[bytes, int] = {}
-    text, weight = [], []
-    for words, n in zip(held["words"], held["weight"], strict=True):
-        part = [numbers.setdefault(w, len(numbers) + 1) for w in words.split()]
-        text += part
-        text.append(0)
-        weight.append((len(part) + 1, n))
-    sizes, of = np.array(weight, np.int64).reshape(-1, 2).T
-    asked = group[group["asked"]]
     stream, ends = [], []
-    for words in asked["words"]:
-        stream += [numbers.get(w, -1) for w in words.split()]
-        ends.append(len(stream))
-    if not text or not stream:
+    for words, is_held in zip(group["words"], held.tolist(), strict=True):
+        if is_held:
+            stream += [numbers.setdefault(w, len(numbers) + 1) for w in words.split()]
+        else:
+            stream += [numbers.get(w, -1) for w in words.split()]
+        stream.append(0)
+        ends.append(len(stream) - 1)
+    stream, end = np.array(stream, np.int32), np.array(ends, np.int64)
+    start = np.concatenate(([0], end[:-1] + 1))
+    many = int(held.sum())
+    if not many or not asked.any():
         return pd.DataFrame({"anchor": [], "content": [], "low": [], "high": []})
-    end = np.array(ends, np.int64)
-    start = np.concatenate(([0], end[:-1]))
-    index = FMIndex(np.array(text, np.int32), len(numbers) + 1, np.repeat(of, sizes))
-    need = np.where(asked["held"].to_numpy(), 2, 1)
-    hit = matched(index, np.array(stream, np.int32), start, end, need, window)
-    # a run of hits ends where a segment does
-    edge = np.zeros(len(hit) + 1, bool)
-    edge[start] = True
-    low = np.flatnonzero(hit & (edge[:-1] | ~np.concatenate(([False], hit[:-1]))))
-    high = np.flatnonzero(hit & (np.append(edge[1:-1], True) | ~np.append(hit[1:], False))) + 1
+    sizes = (end - start + 1)[:many]
+    index = FMIndex(stream[: sizes.sum()], len(numbers) + 1, np.repeat(group["weight"].to_numpy(np.int64)[:many], sizes))
+    hit = matched(index, stream, start[asked], end[asked], np.where(held[asked], 2, 1), window)
+    # segments are parted by a symbol of their own, so no run of hits crosses from one into the next
+    low = np.flatnonzero(hit & ~np.concatenate(([False], hit[:-1])))
+    high = np.flatnonzero(hit & ~np.append(hit[1:], False)) + 1
     of_segment = np.searchsorted(end, low, "right")
     return pd.DataFrame(
         {
-            "anchor": asked["anchor"].to_numpy()[of_segment],
-            "content": asked["content"].to_numpy()[of_segment],
+            "anchor": group["anchor"].to_numpy()[of_segment],
+            "content": group["content"].to_numpy()[of_segment],
             "low": low - start[of_segment],
             "high": high - start[of_segment],
         }
@@ -192,7 +188,7 @@ def dealt(pieces: DataFrame, shards: int) -> DataFrame:
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, block: int = BLOCK_SEGMENTS) -> DataFrame:
     """(id, crc, spans): per row of ``keyed`` with a repeat the spans of its words that go."""
     rows = keyed(docs, key, text)
-    found = segments(rows, window)
+    found = cut(segments(rows, window))
     often = found.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1")
     again = cut(found.drop("copies").join(often, "anchor"))
     words = again.agg(F.sum(F.col("windows") + F.lit(window - 1))).first()[0] or 0
@@ -214,7 +210,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
 
 def gone(spans: list[dict] | None, n: int) -> np.ndarray:
     out = np.zeros(n, bool)
-    for span in spans or ():
+    for span in () if spans is None else spans:
         out[span["low"] : span["high"]] = True
     return out
 
@@ -249,15 +245,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     def shorter(bodies: pd.Series, all_spans: pd.Series) -> pd.Series:
         out = []
         for body, spans in zip(bodies, all_spans, strict=True):
-            words = WORD.findall(body.encode())
+            words = WORD.findall(body.encode()) if body is not None else []
             away = gone(spans, len(words)).tolist()
             out.append(b"".join(w for w, x in zip(words, away, strict=True) if not x).strip().decode())
-        return pd.Series(out)
+        return pd.Series(out, dtype=object)
 
     spans = repeats(docs, key, text, window).select(F.col("id").alias("_id"), F.col("crc").alias("_crc"), F.col("spans").alias("_spans"))
     of_row = docs.withColumn("_id", F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))).withColumn("_crc", F.coalesce(F.xxhash64(text), F.lit(0)))
     joined = of_row.join(spans, ["_id", "_crc"], "left")
-    return joined.withColumn(text, F.when(F.col("_spans").isNotNull(), shorter(text, "_spans")).otherwise(F.col(text))).select(*docs.columns)
+    return joined.withColumn(text, F.when(F.col("_spans").isNotNull(), shorter(F.when(F.col("_spans").isNotNull(), F.col(text)), "_spans")).otherwise(F.col(text))).select(*docs.columns)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
