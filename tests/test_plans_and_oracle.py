@@ -8,11 +8,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from lastmile.plans import catalog
 from tools.oracle_check import STAR, rows
 
 from conftest import SMOKE_DIR
 
-NAMES = sorted(entry.queries())
+NAMES = sorted(catalog.queries())
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +27,7 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(NAMES) <= set(entry.oracle_sql()) <= set(entry.queries())
     assert len(NAMES) >= 60
 
 
