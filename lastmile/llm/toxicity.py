@@ -6,7 +6,7 @@ that an earlier one gives to its own training rows, so these are out-of-fold: ea
 model of the other folds. Unlabelled documents get them from the models of all folds.
 
 The models are fitted on ``MOST_TRAINING`` labelled documents at most (an even sample by hash of the id), on
-the words of at least ``MIN_DOCUMENTS`` of them, ``MOST_WORDS`` at most. Every document is scored.
+the words and beginnings of words of at least ``MIN_DOCUMENTS`` of them, ``MOST_WORDS`` at most. Every document is scored.
 
 Defined cases: a null, empty or blank text has no words and gets the probability of an empty document;
 repeated labels of an id count once (the largest); labels null or of unknown ids are not learned from; with no
@@ -29,10 +29,11 @@ MOST_TRAINING = 20_000
 FOLDS = 3
 MIN_DOCUMENTS = 5
 MOST_WORDS = 50_000
-REGULARISATION = 1e-4  # on the raw 0/1 features, so rare words are held down more than frequent ones
-TRAINING_PARTS = 8
-MOST_STEPS = 40
-THRESHOLD = 0.5
+REGULARISATION = 1e-4  # on the sum of absolute weights: most words get none
+TRAINING_PARTS = 2  # every step of a fit is a job; more parts of a bounded sample only add tasks
+MOST_STEPS = 30
+THRESHOLD = 0.4
+BEGINNINGS = (4, 5)  # letters of a word that are a feature of their own
 
 
 def bare_words(text: Column) -> Column:
@@ -40,6 +41,13 @@ def bare_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def word_features(text: Column) -> Column:
+    """The distinct words of a text and their beginnings, which stand for a word's inflected and compound forms."""
+    found = F.array_distinct(bare_words(text))
+    starts = [F.transform(F.filter(found, lambda w, n=n: F.char_length(w) > n), lambda w, n=n: F.concat(F.lit("^"), F.left(w, F.lit(n)))) for n in BEGINNINGS]
+    return F.array_distinct(F.concat(found, *starts))
+
+
 def fraction(key: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11) / F.lit(float(1 << 53))
 
@@ -47,7 +55,7 @@ def fraction(key: Column, seed: int) -> Column:
 def fit(rows: DataFrame, label: str, before: list[str]):
     """Model of one category over ``words_of`` and the probabilities of the categories before it."""
     inputs = with_inputs(rows.where(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double")), before)
-    return LogisticRegression(featuresCol="_inputs", labelCol=label, regParam=REGULARISATION, maxIter=MOST_STEPS, standardization=False).fit(inputs)
+    return LogisticRegression(featuresCol="_inputs", labelCol=label, regParam=REGULARISATION, elasticNetParam=1.0, maxIter=MOST_STEPS, standardization=False).fit(inputs)
 
 
 def with_inputs(rows: DataFrame, before: list[str]) -> DataFrame:
@@ -89,13 +97,13 @@ def score(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN) ->
     rows = docs.select("doc_id", "text")
     share = MOST_TRAINING / max(known.count(), 1)
     sample = known.where(fraction(F.col("doc_id"), 2) < share)
-    labelled = cut(rows.join(sample, "doc_id").select("doc_id", bare_words(F.col("text")).alias("words"), *chain))
+    labelled = cut(rows.join(sample, "doc_id").select("doc_id", word_features(F.col("text")).alias("words"), *chain))
     names = [f"p_{c}" for c in chain]
     usable = labelled.agg(*[F.count(c).alias(c) for c in chain], F.max(F.size("words")).alias("words")).first()
     if not all(usable[c] for c in chain) or not usable["words"]:
         return rows.select("doc_id", *[F.lit(0.0).alias(n) for n in names], F.lit(False).alias("toxic"))
     words, models = train(labelled, chain)
-    scored = words.transform(rows.select("doc_id", bare_words(F.col("text")).alias("words"))).drop("words")
+    scored = words.transform(rows.select("doc_id", word_features(F.col("text")).alias("words"))).drop("words")
     before: list[str] = []
     for name, model in zip(names, models, strict=True):
         scored = predicted(scored, model, before, name)
