@@ -1,17 +1,18 @@
 """Near-duplicate groups by b-bit MinHash.
 
-1. Every document is signed: 128 minima over its distinct five-word shingles. Four minima in a row make a
-   band; of each minimum only its lowest bits are kept, packed into eight longs. Two documents at the
-   threshold share none of the 32 bands once in 200,000 times, more similar ones yet more rarely.
+1. Every document is signed: 512 minima over its distinct five-word shingles. The first 128, four at a time, make
+   32 bands; of each minimum only the lowest four bits are kept, packed into longs. Two documents at the
+   threshold share none of the bands once in 200,000 times, more similar ones yet more rarely.
 2. Documents with equal shingle sets (by 128-bit digest) are one class, its smallest id stands for it.
 3. Candidates are classes in one bucket (equal band). Their similarity is estimated from the count of equal
-   low bits, corrected for those equal by chance; far below the threshold the pair is dropped (five standard
-   deviations). What is left is confirmed on the full shingle sets of the texts.
-4. A bucket is not paired out. First each member is tried against the bucket's smallest (one pair per
-   member), and the confirmed links are joined into components. A bucket whose members lie in one
-   component has nothing more to give. In the others, members of different components are compared
-   by their packed bits, in blocks of bounded size, and pairs above the cut are confirmed too. So
-   no link between different components of a bucket is left out, whatever its size.
+   low bits, corrected for those equal by chance; far below the threshold the pair is dropped (four and a half
+   standard deviations). What is left is confirmed on the full shingle sets of the texts.
+4. A bucket is not paired out. First each class is tried against the smallest member of all its buckets (one
+   pair per class), and the confirmed links are joined into components. A bucket whose members lie in one
+   component has nothing more to give. In the others each member is tried against the bucket's smallest, and
+   in those still divided, members of different components are compared by their packed bits and, above the
+   cut, by their sets, in blocks of bounded size. So no link between different
+   components of a bucket is left out, whatever its size.
 
 Defined cases: a null or blank text has an empty set and is linked with nothing; fewer than five words
 make one shingle; rows of one id are one document; rows without an id are linked through equal sets only
@@ -35,12 +36,13 @@ from lastmile.llm.word_hashes import WordHashes, runs, scrambled
 
 SHINGLE = 5
 PERCENT = 75
-MINIMA = 128
+MINIMA = 512
+BANDS = 32
 ROWS = 4
 BITS = 4
-MARGIN = 0.2  # an estimate this far below the threshold is five standard deviations off
+MARGIN = 0.09  # an estimate this far below the threshold is four and a half standard deviations off
 BLOCK = 512  # members of a bucket compared at once
-BLOCK_OF_SHINGLES = 2048
+BLOCK_OF_SHINGLES = 256
 
 SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>"
 
@@ -71,7 +73,6 @@ def sign(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         by, plus = multipliers()
-        bands = MINIMA // ROWS
         place = (np.uint64(BITS) * np.arange(64 // BITS, dtype=np.uint64))[None, :]
         for batch in batches:
             size, digest, band, bits = [], [], [], []
@@ -85,8 +86,8 @@ def sign(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                     continue
                 digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 low = minima(found, by, plus).astype(np.uint64)
-                grouped = low.reshape(bands, ROWS)
-                mixed = np.arange(1, bands + 1, dtype=np.uint64)
+                grouped = low[: BANDS * ROWS].reshape(BANDS, ROWS)
+                mixed = np.arange(1, BANDS + 1, dtype=np.uint64)
                 for k in range(ROWS):
                     mixed = scrambled(mixed * np.uint64(0x9E3779B97F4A7C15) + grouped[:, k])
                 band.append(mixed.view(np.int64))
@@ -147,60 +148,103 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(similar, "a long, b long")
 
 
+def near(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The pairs whose packed bits let them be similar enough."""
+    both = pairs.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("bits_a")), "a").join(
+        bits.select(F.col("id").alias("b"), F.col("bits").alias("bits_b")), "b"
+    )
+    return both.where(estimate(F.col("bits_a"), F.col("bits_b")) >= PERCENT / 100 - MARGIN).select("a", "b")
+
+
+def open_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of the buckets that lie in more than one component, with their own and their first's component."""
+    labelled = members.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "id").alias("of_first"))
+    return labelled.join(mixed.where(F.col("low") != F.col("high")).select("bucket", "of_first"), "bucket")
+
+
+def sets_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, shingles) of the given ids."""
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            found = [shingles(body, hashes).view(np.int64) for body in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    return texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(cut_up, "id long, shingles array<long>")
+
+
+def across(members: DataFrame, bits: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of one bucket and different components that are similar enough.
+
+    A bucket's members are dealt into blocks, and each pair of blocks is joined on its own, so no task holds more
+    than two blocks of a bucket. Pairs are compared by packed bits first, by their full sets where those allow
+    it, all inside the join: only links come out of it, not the pairs of a large group.
+    """
+    placed = (
+        members.join(bits, "id")
+        .join(sets.dropDuplicates(["id"]), "id")
+        .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    )
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+
+    def side(name: str, own: str, other: str) -> DataFrame:
+        kept = [F.col(c).alias(f"{c}_{name}") for c in ("component", "bits", "shingles")]
+        return placed.select("bucket", F.col("block").alias(own), every.alias(other), F.col("id").alias(name), *kept)
+
+    left, right = side("a", "i", "j"), side("b", "j", "i")
+    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    similar = both * (100 + PERCENT) >= (F.size("shingles_a") + F.size("shingles_b")) * PERCENT
+    apart = F.col("component_a") > F.col("component_b")
+    close = estimate(F.col("bits_a"), F.col("bits_b")) >= PERCENT / 100 - MARGIN
+    return left.join(right, ["bucket", "i", "j"]).where(apart & close & similar).select("a", "b").distinct()
+
+
+def without(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs that were not tried in either order."""
+    turned = tried.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return pairs.join(tried.unionByName(turned), ["a", "b"], "left_anti")
+
+
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     signed = cut(sign(docs, key, text))
-    classes = signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    classes = cut(classes)
-    heads = signed.join(classes, "digest", "left_semi").join(
-        classes.where(F.col("rep").isNotNull()).select(F.col("digest"), F.col("rep").alias("doc_id")), ["digest", "doc_id"]
-    )
-    heads = cut(heads.select(F.col("doc_id").alias("id"), "bands", "bits").dropDuplicates(["id", "bits"]))
+    classes = cut(signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    reps = classes.where(F.col("rep").isNotNull()).select("digest", F.col("rep").alias("doc_id"))
+    heads = cut(signed.join(reps, ["digest", "doc_id"]).select(F.col("doc_id").alias("id"), "bands", "bits").dropDuplicates(["id", "bits"]))
+    bits = heads.select("id", "bits")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    near = PERCENT / 100 - MARGIN
 
     members = heads.select("id", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
     shared = cut(members.join(buckets.where(F.col("first") != F.col("last")), "bucket").select("bucket", "id", "first", "n"))
-    bits = heads.select("id", "bits")
-    stars = shared.where(F.col("id") != F.col("first")).select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    close = (
-        stars.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("bits_a")), "a")
-        .join(bits.select(F.col("id").alias("b"), F.col("bits").alias("bits_b")), "b")
-        .where(estimate(F.col("bits_a"), F.col("bits_b")) >= near)
-        .select("a", "b")
-    )
-    links = cut(confirm(cut(close.distinct()), texts))
+
+    # 1: each member against the smallest of all first members of its buckets
+    tried = cut(shared.where(F.col("id") != F.col("first")).groupBy(F.col("id").alias("a")).agg(F.min("first").alias("b")))
+    links = cut(confirm(near(tried, bits), texts))
     found = cut(components(links))
 
-    labelled = (
-        shared.where(F.col("n") > 2)
-        .join(found.select(F.col("node").alias("id"), "component"), "id", "left")
-        .withColumn("component", F.coalesce("component", "id"))
-    )
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    open_members = labelled.join(mixed.where(F.col("low") != F.col("high")).select("bucket"), "bucket", "left_semi").join(bits, "id")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = open_members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = placed.select("bucket", F.col("block").alias("i"), every.alias("j"), F.col("id").alias("a"), F.col("component").alias("of_a"), F.col("bits").alias("bits_a"))
-    right = placed.select("bucket", every.alias("i"), F.col("block").alias("j"), F.col("id").alias("b"), F.col("component").alias("of_b"), F.col("bits").alias("bits_b"))
-    across = (
-        left.join(right, ["bucket", "i", "j"])
-        .where((F.col("of_a") > F.col("of_b")) & (estimate(F.col("bits_a"), F.col("bits_b")) >= near))
-        .select("a", "b")
-        .distinct()
-    )
-    more = cut(across.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
+    # 2: where a bucket is still divided, its members against its first
+    divided = cut(open_buckets(shared, found))
+    more = divided.where(F.col("component") != F.col("of_first")).select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
+    more = cut(near(without(more, tried), bits))
+    if not more.isEmpty():
+        links = cut(links.unionByName(confirm(more, texts)))
+        found = cut(components(links))
+
+    # 3: where it still is, members of different components against each other
+    divided = cut(open_buckets(divided.where(F.col("n") > 2).select("bucket", "id", "first", "n"), found))
+    more = cut(across(divided, bits, cut(sets_of(divided.select("id").distinct(), texts))))
     if not more.isEmpty():
         found = cut(components(links.unionByName(confirm(more, texts))))
 
     rows = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     rows = rows.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    )
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
