@@ -66,6 +66,10 @@ def code_lengths(counts: np.ndarray) -> np.ndarray:
     return lengths
 
 
+#: Masks of the bits below a place of a word.
+BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class Bits:
     """A bit vector with the number of ones before any place."""
 
@@ -78,8 +82,7 @@ class Bits:
 
     def ones(self, place: np.ndarray) -> np.ndarray:
         word = place >> 6
-        below = (np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[word] + np.bitwise_count(self.words[word] & below).astype(np.int64)
+        return self.before[word] + np.bitwise_count(self.words[word] & BELOW[place & 63])
 
 
 class Wavelet:
@@ -95,7 +98,8 @@ class Wavelet:
             last = int(length[k])
             code[k] = value
             value += 1
-        self.length, self.code = length, code
+        # a byte of length lets the sort by it be a radix sort
+        self.length, self.code, self.deepest = length.astype(np.uint8), code, np.uint8(length.max())
         self.levels: list[Bits] = []
         self.starts: list[np.ndarray] = []  # by level and symbol: where its node begins, and the ones before that
         self.ones: list[np.ndarray] = []
@@ -109,7 +113,7 @@ class Wavelet:
             start = np.zeros(symbols, np.int64)
             start[here] = np.searchsorted(prefix, code[here] >> (length[here] - level), "left")
             ones = np.zeros(symbols, np.int64)
-            ones[here] = bits.ones(start[here])
+            ones[here] = bits.ones(start[here].astype(np.int32))
             self.levels.append(bits)
             self.starts.append(start.astype(np.int32))
             self.ones.append(ones.astype(np.int32))
@@ -132,9 +136,10 @@ class Wavelet:
 
     def rank(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
         """How often ``symbol[k]`` stands before ``place[:, k]``, for each row of places."""
-        order = np.argsort(-self.length[symbol], kind="stable")
+        order = np.argsort(self.deepest - self.length[symbol], kind="stable")
         sorted_symbol, at = symbol[order], place[:, order]
         sorted_length, sorted_code = self.length[sorted_symbol], self.code[sorted_symbol]
+        sorted_length = sorted_length.astype(np.int64)
         still = np.searchsorted(-sorted_length, -np.arange(len(self.levels)), "left")
         for level, many in enumerate(still):
             if not many:
@@ -142,8 +147,8 @@ class Wavelet:
             s = sorted_symbol[:many]
             here = at[:, :many]
             ones = self.levels[level].ones(self.starts[level][s] + here) - self.ones[level][s]
-            bit = (sorted_code[:many] >> (sorted_length[:many] - level - 1)) & 1
-            np.copyto(here, np.where(bit == 1, ones, here - ones))
+            bit = (sorted_code[:many] >> (sorted_length[:many] - level - 1)) & 1 == 1
+            np.copyto(here, np.where(bit, ones, here - ones))
         out = np.empty_like(at)
         out[:, order] = at
         return out
@@ -155,13 +160,19 @@ class FMIndex:
     def __init__(self, text: np.ndarray, symbols: int, weight: np.ndarray):
         order = suffix_order(text, DEPTH)
         self.size = len(text)
-        self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=symbols))))
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=symbols)))).astype(np.int32)
         self.tree = Wavelet(text[order - 1], symbols)
         self.weight = np.concatenate(([0], np.cumsum(weight[order])))
 
     def step(self, symbol: np.ndarray, ranges: np.ndarray) -> np.ndarray:
-        """Ranges of the patterns with one more symbol in front."""
-        return self.first[symbol] + self.tree.rank(symbol, ranges)
+        """Ranges of the patterns with one more symbol in front; an empty pattern has the range of all suffixes."""
+        out = np.empty_like(ranges)
+        fresh = ranges[1] - ranges[0] == self.size
+        out[0], out[1] = self.first[symbol], self.first[symbol + 1]
+        if not fresh.all():
+            old = np.flatnonzero(~fresh)
+            out[:, old] = self.first[symbol[old]] + self.tree.rank(symbol[old], ranges[:, old])
+        return out
 
     def count(self, ranges: np.ndarray) -> np.ndarray:
         return self.weight[ranges[1]] - self.weight[ranges[0]]
@@ -184,7 +195,7 @@ def matched(index: FMIndex, stream: np.ndarray, start: np.ndarray, end: np.ndarr
     left = right.copy()
     floor = lower.copy()  # how far the current match may go
     resume = np.full(len(active), -1)  # while trying a stopping place: where to go on if it holds
-    ranges = np.vstack([np.zeros(len(active), np.int64), np.full(len(active), index.size)])
+    ranges = np.vstack([np.zeros(len(active), np.int32), np.full(len(active), index.size, np.int32)])
     while len(lower):
         symbol = stream[left - 1]
         known = symbol >= 0
