@@ -140,21 +140,26 @@ def listed(vectors: DataFrame, centroids, norm: float, most: int, ratio: float,
 
 
 def compare(lists: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    """The best of a block of a list for each query of a block of its readers."""
+    """The best ids of a block of a list, each with its best row, for each query of a block of its readers."""
     out = {"query_id": [], "vec_id": [], "score": []}
     if len(lists) and len(queries):
+        lists = lists.sort_values("vec_id", kind="stable")
         vectors, ids = np.stack(lists["vector"].to_numpy()), lists["vec_id"].to_numpy()
+        of_id = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
         for k in range(0, len(queries), 256):
             part = queries.iloc[k : k + 256]
             wanted = np.stack(part["vector"].to_numpy())
             rough = wanted @ vectors.T
             for query, vector, scores in zip(part["vec_id"].to_numpy(), wanted, rough, strict=True):
                 scores[ids == query] = -np.inf
-                least = np.partition(scores, -NEIGHBOURS)[-NEIGHBOURS] if len(scores) > NEIGHBOURS else -np.inf
+                per_id = np.maximum.reduceat(scores, of_id)
+                least = np.partition(per_id, -NEIGHBOURS)[-NEIGHBOURS] if len(per_id) > NEIGHBOURS else -np.inf
                 # a product of matrices may round equal vectors unequally: the order is settled by sums of one fixed order
                 at = np.flatnonzero((scores >= least - 1e-9 * abs(least)) & np.isfinite(scores)) if np.isfinite(least) else np.flatnonzero(np.isfinite(scores))
                 exact = (vectors[at] * vector).sum(axis=1)
-                best = np.lexsort((ids[at], -exact))[:NEIGHBOURS]
+                best = np.lexsort((ids[at], -exact))
+                first = np.sort(np.unique(ids[at[best]], return_index=True)[1])  # of an id its best row
+                best = best[first][:NEIGHBOURS]
                 out["query_id"] += [query] * len(best)
                 out["vec_id"] += ids[at[best]].tolist()
                 out["score"] += exact[best].tolist()

@@ -46,3 +46,20 @@ def test_unusable_vectors_take_no_part(spark):
     assert {k: sorted(v) for k, v in got.items()} == {0: [(1, 20, 9.0), (2, 1, 4.0)], 20: [(1, 0, 9.0), (2, 1, 9.0)]}
     assert V.nearest(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 20 == 0).count() == 0
     assert V.nearest(spark.createDataFrame(rows[2:7], SCHEMA), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_repeated_rows_take_no_places(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.normal(size=8).astype(np.float32).tolist(), 0) for k in range(30)]
+    near = [(1, (np.array(rows[0][1]) * (2 + k / 100)).tolist(), 0) for k in range(25)]  # one id, other vectors
+    want = exact(rows + near, 20)
+    for k, found in want.items():
+        most = {}
+        for j, s in exact(rows + near, 20, most=99)[k]:
+            most.setdefault(j, s)
+        want[k] = list(most)[:20]
+    got = {}
+    for r in V.nearest(spark.createDataFrame((rows + near) * 2, SCHEMA), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert {k: [x[1] for x in sorted(v)] for k, v in got.items()} == want
+    assert all(len(v) == 20 for v in want.values())
