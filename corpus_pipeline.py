@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lastmile.llm.common import shared_folder, table
-from lastmile.llm.minhash import drop_near_duplicates
+from lastmile.llm.minhash import one_of_each_group
 from lastmile.llm.mixing import take
 from lastmile.llm.packing import pack_documents
 from lastmile.llm.quality import judge
@@ -33,8 +33,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return drop_near_duplicates(docs)
+    """One row of each group of near copies, rows that repeat an id and rows without one among them."""
+    return one_of_each_group(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -253,5 +253,18 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     return docs.join(dropped, docs[key].cast("long") == dropped["_dropped"], "left_anti")
 
 
+def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group: the smallest id, rows without an id last.
+
+    Every row is a document of its own, whatever its id, so rows that repeat an id and rows without one are
+    linked like others. The rows are checkpointed with their number: it has to be the same in all joins.
+    """
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    groups = link(rows, "_row", text).select(F.col("doc_id").alias("_row"), "component_id")
+    place = F.struct(F.col(key).isNull().alias("no_id"), F.col(key).cast("long").alias("id"), F.col("_row").alias("row"))
+    first = rows.select("_row", place.alias("place")).join(groups, "_row").groupBy("component_id").agg(F.min("place").alias("place"))
+    return rows.join(first.select(F.col("place.row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"))
