@@ -164,15 +164,16 @@ def open_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def sets_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, shingles) of the given ids."""
+    """(id, digest, shingles) of the texts of the given ids."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             found = [shingles(body, hashes).view(np.int64) for body in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "shingles"])
+            digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["id", "digest", "shingles"])
 
-    return texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(cut_up, "id long, shingles array<long>")
+    return texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(cut_up, "id long, digest binary, shingles array<long>")
 
 
 def across(members: DataFrame, bits: DataFrame, sets: DataFrame) -> DataFrame:
@@ -180,11 +181,13 @@ def across(members: DataFrame, bits: DataFrame, sets: DataFrame) -> DataFrame:
 
     A bucket's members are dealt into blocks, and each pair of blocks is joined on its own, so no task holds more
     than two blocks of a bucket. Pairs are compared by packed bits first, by their full sets where those allow
-    it, all inside the join: only links come out of it, not the pairs of a large group.
+    it, all inside the join: only links come out of it, not the pairs of a large group. Bits and sets go by
+    (id, digest), so each text of an id is compared with its own.
     """
     placed = (
-        members.join(bits, "id")
-        .join(sets.dropDuplicates(["id"]), "id")
+        members.distinct()
+        .join(bits, "id")
+        .join(sets.dropDuplicates(["id", "digest"]), ["id", "digest"])
         .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     )
@@ -213,8 +216,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     signed = cut(sign(docs, key, text))
     classes = cut(signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep")))
     reps = classes.where(F.col("rep").isNotNull()).select("digest", F.col("rep").alias("doc_id"))
-    heads = cut(signed.join(reps, ["digest", "doc_id"]).select(F.col("doc_id").alias("id"), "bands", "bits").dropDuplicates(["id", "bits"]))
-    bits = heads.select("id", "bits")
+    heads = cut(signed.join(reps, ["digest", "doc_id"]).select(F.col("doc_id").alias("id"), "digest", "bands", "bits").dropDuplicates(["id", "digest"]))
+    bits = heads.select("id", "digest", "bits")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
 
     members = heads.select("id", F.explode("bands").alias("bucket"))

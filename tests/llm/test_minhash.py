@@ -76,3 +76,13 @@ def test_edge_cases(edge_docs, no_docs):
     left = Counter(r["doc_id"] for r in kept.collect())
     assert left[4] == 1 and not left[5] and not left[6] and left[None] == 2
     assert M.link(no_docs).count() == 0
+
+
+def test_every_text_of_an_id_is_compared_in_a_divided_bucket(spark):
+    a, b = [[f"{c}{k}" for k in range(100)] for c in "ab"]
+    texts = [(10, a), (10, b), (20, [*a[:99], "x"]), (30, [*b[:99], "y"])]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts], "doc_id long, text string")
+    bits = M.sign(docs).selectExpr("doc_id AS id", "digest", "bits")
+    sets = M.sets_of(bits.select("id").distinct(), docs.withColumnRenamed("doc_id", "id"))
+    members = spark.createDataFrame([(1, k, 3, k) for k in (10, 20, 30)], "bucket long, id long, n long, component long")
+    assert sorted(map(tuple, M.across(members, bits, sets).collect())) == [(20, 10), (30, 10)]
