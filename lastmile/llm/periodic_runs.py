@@ -23,7 +23,7 @@ gives no rows; further columns pass through ``collapse_runs``, whatever their na
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,7 @@ from lastmile.llm.word_hashes import WordHashes, runs as gram_hashes, scrambled
 LEAST = 6  # words of a run
 TIMES = 4  # periods of a run
 GRAM = 4
+SLICE = 300_000  # words of the documents that are looked at together
 STILL_WORTH = 0.9  # parts are cut again while that leaves at most this share
 
 RUN = T.StructType([T.StructField(name, T.LongType(), False) for name in ("start", "length", "period")])
@@ -155,18 +156,28 @@ def runs_within(hashes: np.ndarray, keep: np.ndarray, least: int, times: int) ->
     return found
 
 
-def find_runs(bodies: list[str | None], hashes: WordHashes, least: int = LEAST, times: int = TIMES) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """Words and runs of each text of a batch."""
-    cut_up = [body.encode().split() if body else [] for body in bodies]
+def find_runs(bodies: Iterable[str | None], hashes: WordHashes, least: int = LEAST, times: int = TIMES) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Words and runs of each text; the texts are taken some at a time."""
+    held: list[list[bytes]] = []
+    size = 0
+    for body in bodies:
+        held.append(body.encode().split() if body else [])
+        size += len(held[-1])
+        if size >= SLICE:
+            yield from runs_of_some(held, hashes, least, times)
+            held, size = [], 0
+    yield from runs_of_some(held, hashes, least, times)
+
+
+def runs_of_some(cut_up: list[list[bytes]], hashes: WordHashes, least: int, times: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
     sizes = np.array([len(x) for x in cut_up], np.int64)
     bound = np.concatenate(([0], np.cumsum(sizes)))
     of = np.concatenate([hashes.of(x) for x in cut_up]) if cut_up else np.empty(0, np.uint64)
     gram = gram_of(least, times)
     keep = repetitive(of, np.repeat(np.arange(len(sizes)), sizes), gram, least) if gram and len(of) else np.ones(len(of), bool)
-    some = np.add.reduceat(np.append(keep, False), bound[:-1]) if len(sizes) else sizes
     for k, found in enumerate(cut_up):
         here = slice(bound[k], bound[k + 1])
-        yield found, runs_within(of[here], keep[here], least, times) if len(found) and some[k] else np.empty((0, 3), np.int64)
+        yield found, runs_within(of[here], keep[here], least, times) if keep[here].any() else np.empty((0, 3), np.int64)
 
 
 def collapsed(found: list[bytes], spans: np.ndarray) -> str:
@@ -187,7 +198,7 @@ def periodic_runs(text: Column, least: int = LEAST, times: int = TIMES) -> Colum
         hashes = WordHashes()
         for batch in batches:
             n_words, texts, spans = [], [], []
-            for found, part in find_runs(batch.to_pylist(), hashes, least, times):
+            for found, part in find_runs((x.as_py() for x in batch), hashes, least, times):
                 n_words.append(len(found))
                 texts.append(collapsed(found, part))
                 spans.append(part)
