@@ -25,9 +25,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -103,7 +103,7 @@ class PieceEncoder:
         self.bytes = [self._bytes(k) for k in range(self.model.get_piece_size())]
         self.sizes = np.array([len(x) for x in self.bytes], np.int64)
         self.by_word = not any(b" " in piece.lstrip(b" ") for piece in self.bytes)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes | None] = {}
 
     def _bytes(self, k: int) -> bytes:
         """The bytes of an id; none for those that stand for no text."""
@@ -113,23 +113,25 @@ class PieceEncoder:
             return b""
         return self.model.id_to_piece(k).replace("▁", " ").encode()
 
-    def _exact(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text; none where they do not give its bytes back."""
+    def _exact(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of each text, 32 bits each; None where they do not give its bytes back."""
         found = self.model.encode(texts, num_threads=1)
-        return [ids if b"".join(map(self.bytes.__getitem__, ids)) == b" " + x.encode() else [] for x, ids in zip(texts, found, strict=True)]
+        raw = map(str.encode, texts)
+        return [array("i", ids).tobytes() if b"".join(map(self.bytes.__getitem__, ids)) == b" " + x else None for x, ids in zip(raw, found, strict=True)]
 
     def exact(self, texts: list[str]) -> Iterator[np.ndarray | None]:
         """Ids of each text; None where they do not give its bytes back."""
-        parts = [x.split(" ") if self.by_word and len(x) <= SLICE and not SPACES.search(x) else None for x in texts]
-        fresh = {w for part in parts if part for w in part} - self.known.keys()
+        parts = [x.split(" ") if self.by_word and len(x) <= SLICE and not SPACES.search(x) else [] for x in texts]
+        words = set().union(*parts)
+        fresh = words.difference(self.known)
         if len(self.known) + len(fresh) > REMEMBERED:
             self.known.clear()
-            fresh = {w for part in parts if part for w in part}
-        fresh = sorted(fresh)
+            fresh = words
+        fresh = sorted(fresh)  # words with one beginning follow each other, which the encoder is faster at
         self.known.update(zip(fresh, self._exact(fresh), strict=True))
         for text, part in zip(texts, parts, strict=True):
             found = list(map(self.known.__getitem__, part)) if part else self._exact([text])
-            yield np.fromiter(chain.from_iterable(found), np.int64) if all(found) else None
+            yield None if None in found else np.frombuffer(b"".join(found), np.int32).astype(np.int64)
 
 
 def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[list[int]], list[list[int]]]:
@@ -138,28 +140,26 @@ def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[list[int]], list[l
     Both arrays rise and end with the same value. Every element of a stretch closes a group.
     """
     size = len(ends_a)
+    ends_a, ends_b = [*ends_a, -1], [*ends_b, -2]  # two ends that differ close both
     first_a, first_b, lengths, loose_a, loose_b = [], [], [], [], []
     i = j = 0
     while i < size:
-        n, step = 0, 1
-        while i + n < size and ends_a[i + n : i + n + step] == ends_b[j + n : j + n + step]:
-            n += step
-            step += step
-        if i + n >= size:
-            n = size - i
-        else:
+        if ends_a[i] == ends_b[j]:
+            first, shift = i, j - i
+            step = 1
+            while ends_a[i : i + step] == ends_b[i + shift : i + shift + step]:
+                i += step
+                step += step
             while step > 1:
                 step >>= 1
-                if ends_a[i + n : i + n + step] == ends_b[j + n : j + n + step]:
-                    n += step
-        if n:
-            first_a.append(i)
+                if ends_a[i : i + step] == ends_b[i + shift : i + shift + step]:
+                    i += step
+            first_a.append(first)
             first_b.append(j)
-            lengths.append(n)
-            i += n
-            j += n
-            if i >= size:
+            lengths.append(i - first)
+            if i == size:
                 break
+            j = i + shift
         a, b = ends_a[i], ends_b[j]
         while a != b:
             loose_a.append(i)
