@@ -42,46 +42,43 @@ def buyer_method_mix(fact: DataFrame, keys: list[str], methods=MIX_METHODS) -> D
     return fact.groupBy(*keys).agg(*aggs)
 
 
-RATIO_SCALE = 1_000_000_000  # buyer ratios are averaged as integers in units of 1e-9
-
-
-def _scaled_ratio(num: str, den: str, exact_int: bool) -> Column:
-    """A buyer's ratio in units of 1e-9: round-half-up(num / den × 1e9), or (num div den) × 1e9."""
-    if exact_int:
-        return F.expr(f"(`{num}` div `{den}`) * {RATIO_SCALE}")
-    return F.expr(f"(`{num}` * {2 * RATIO_SCALE} + `{den}`) div (2 * `{den}`)")
-
-
-def _rounded_mean_pct(total: str, count: str, digits: int) -> Column:
-    """round-half-up(total / count / 1e9, digits) × 100 with integer arithmetic, then as double."""
-    t = f"CAST(`{total}` AS DECIMAL(38,0))"
-    n = f"CAST(`{count}` AS DECIMAL(38,0))"
-    q = F.expr(f"({t} * {2 * 10 ** digits} + {n} * {RATIO_SCALE}) div ({n} * {2 * RATIO_SCALE})")
-    return q / F.lit(10 ** digits) * F.lit(100)
+MEAN_SCALE = 18  # decimals of a mean before it is rounded: those of a quotient of decimal(27,7) and decimal(10,0)
+GUARD = 14  # of which so many count: the rest only absorbs the last place of each division
 
 
 def method_share(
     buyers: DataFrame, area: str, digits: int, exact_int: bool = False, methods=MIX_METHODS
 ) -> DataFrame:
     """Per area Σ orders, Σ method rows, and the mean over buyers of (method rows / orders),
-    rounded to ``digits`` and × 100 (``<method>_share_pct``; the report repeated the sum names, T9).
+    rounded half up to ``digits`` and × 100 (``<method>_share_pct``; the report repeated the sum names, T9).
 
     ``exact_int=False`` divides as a true ratio; ``exact_int=True`` uses integer division like the
     bigint ``/`` of the report's source database (T2).
 
-    The mean is exact and independent of summation order: each buyer's ratio is rounded half up to
-    9 decimals as an integer, the integers are summed exactly, and the rounded mean is an integer
-    division. (A double average depends on the order rows are summed in, so a value at a rounding
-    tie — e.g. 0.84375 — could round either way between runs, T11.)
+    Buyers of one area with equally many orders share a denominator: their numerators are summed as integers and
+    divided once, so the mean is a sum of a few exact quotients (one for each number of orders) in decimal,
+    whatever order rows come in (T11). A buyer without orders has no ratio and does not count in the mean.
     """
-    aggs = [F.sum("total_order").alias("total_order")]
-    for name, _ in methods:
-        aggs.append(F.sum(name).alias(name))
-    for name, _ in methods:
-        r = _scaled_ratio(name, "total_order", exact_int)
-        aggs += [F.sum(r).alias(f"__s_{name}"), F.count(r).alias(f"__n_{name}")]
-    g = buyers.groupBy(area).agg(*aggs)
-    return g.select(
-        area, "total_order", *[name for name, _ in methods],
-        *[_rounded_mean_pct(f"__s_{name}", f"__n_{name}", digits).alias(f"{name}_share_pct") for name, _ in methods],
+    named = [name for name, _ in methods]
+    top = [F.expr(f"`{n}` div total_order") if exact_int else F.col(n) for n in named]
+    per_count = buyers.groupBy(area, "total_order").agg(
+        F.count(F.lit(1)).alias("__buyers"),
+        *[F.sum(n).alias(n) for n in named],
+        *[F.sum(c).cast("decimal(27,7)").alias(f"__top_{n}") for n, c in zip(named, top, strict=True)],
+        # a buyer counts where the numerator is known
+        *[F.count(c).alias(f"__known_{n}") for n, c in zip(named, top, strict=True)],
     )
+    under = F.lit(1) if exact_int else F.when(F.col("total_order") != 0, F.col("total_order"))
+    some = F.col("total_order") != 0
+    per_area = per_count.groupBy(area).agg(
+        F.sum(F.col("total_order") * F.col("__buyers")).alias("total_order"),
+        *[F.sum(n).alias(n) for n in named],
+        *[F.sum((F.col(f"__top_{n}") / under.cast("decimal(10,0)")).cast(f"decimal(38,{MEAN_SCALE})")).alias(f"__sum_{n}") for n in named],
+        *[F.sum(F.when(some, F.col(f"__known_{n}"))).alias(f"__n_{n}") for n in named],
+    )
+
+    def percent(name: str) -> Column:
+        mean = F.expr(f"try_divide(`__sum_{name}`, CAST(`__n_{name}` AS DECIMAL(19,0)))").cast(f"decimal(38,{MEAN_SCALE})")
+        return F.round(F.round(mean, GUARD), digits).cast("double") * F.lit(100)
+
+    return per_area.select(area, "total_order", *named, *[percent(n).alias(f"{n}_share_pct") for n in named])

@@ -5,14 +5,17 @@ Threshold semantics (reports F3/F4/F7): per group, over rows with a non-NULL met
 metric whose bucket is 0.9. ``percent_rank = (rank − 1) / (n − 1)`` (0 for n = 1), so the maximum
 is in bucket 1.0 unless tied, and groups with no rank in [0.9, 1) give no threshold (T5).
 
-Two exact forms:
-  * ``method="distributed"``, the default everywhere: works on the histogram of (group, metric value) — ties
-    collapse in a partial aggregate, so no value is hot — and splits each group's value range into
-    slices at approximate quantiles. Rows below a value = rows in lower slices (a tiny per-slice
-    count table) + rows below it inside its slice (a window over one slice). The split points only
-    balance the work; the counts, and so the ranks, are exact.
+Exact forms of the threshold:
+  * ``method="bracket"``, the default everywhere: a quantile sketch per group (map-side partial sketches) gives a
+    value surely not above the threshold and one surely not below it, since its rank error is bounded. What
+    lies below the bracket is only counted; the values inside, a few ten-thousandths of the group, are
+    ranked. The sketch never decides a rank, so the result is exact.
   * ``method="window"``, for tests: ``percent_rank() OVER (PARTITION BY group ORDER BY metric)``. Every row of
     a group is sorted in one task.
+
+The rank of every value (W1, W2) works on the histogram of (group, metric value), so no value is hot, and splits
+each group's value range into slices at approximate quantiles. Rows below a value = rows in lower slices (a
+tiny per-slice count table) + rows below it inside its slice (a window over one slice).
 """
 
 from __future__ import annotations
@@ -70,24 +73,54 @@ def percent_rank(df: DataFrame, groups: list[str], metric: str, name: str = "pct
     return join_null_safe(src, ranks, groups + [metric], "inner")
 
 
+def bracketed_values(df: DataFrame, groups: list[str], metric: str, rank: float, accuracy: int = QUANTILE_ACCURACY) -> DataFrame:
+    """(groups, metric, pct_rank) of the values that can be the smallest of at least percent rank ``rank``.
+
+    The sketch's rank error is n / ``accuracy``. Its values two errors to either side of the rank bound the bracket:
+    the value before the bracket has fewer than ``rank`` × (n − 1) rows below it, the one after it more.
+    Comparisons with the bounds are in double, as the sketch's values are; the cast keeps the order. Below the
+    bracket rows are counted, above it the smallest value is kept: it is a candidate too.
+    """
+    src = df.where(F.col(metric).isNotNull()).select(*groups, F.col(metric))
+    margin = 2 / accuracy
+    probs = [max(rank - margin, 0.0), min(rank + margin, 1.0)]
+    value = F.col(metric).cast("double")
+    sketch = src.groupBy(*groups).agg(F.percentile_approx(value, probs, accuracy).alias("__bounds"), F.count(F.lit(1)).alias("__n"))
+    sketch = sketch.select(*groups, F.col("__bounds")[0].alias("__low"), F.col("__bounds")[1].alias("__high"), "__n")
+    zone = F.when(value < F.col("__low"), 0).when(value <= F.col("__high"), 1).otherwise(2)
+    zoned = join_null_safe(src, sketch, groups).withColumn("__zone", zone)
+    inside = F.when(F.col("__zone") == 1, F.col(metric))
+    counted = zoned.groupBy(*groups, "__zone", inside.alias("__inside")).agg(
+        F.count(F.lit(1)).alias("__cnt"), F.min(metric).alias("__least"), F.first("__n").alias("__n")
+    )
+    before = Window.partitionBy(*groups).orderBy("__zone", "__inside").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("__cnt").over(before), F.lit(0))
+    return counted.withColumn("pct_rank", _pr_from_below(below, F.col("__n"))).where(F.col("__zone") > 0).select(
+        *groups, F.col("__least").alias(metric), "pct_rank"
+    )
+
+
 def decile_threshold(
     df: DataFrame,
     groups: list[str],
     metric: str,
     name: str,
     bucket: int = DECILE,
-    method: str = "distributed",
+    method: str = "bracket",
+    accuracy: int = QUANTILE_ACCURACY,
 ) -> DataFrame:
     """Per group, the smallest ``metric`` in decile bucket ``bucket`` (→ ``percentile``, ``name``).
 
-    ``method``: "distributed", or "window" for tests (see module doc).
+    ``method``: "bracket", or "window" for tests (see module doc). ``accuracy`` of the sketch sets the width
+    of the bracket, not the result.
     """
     if method == "window":
         src = df.where(F.col(metric).isNotNull())
         b = tenth_bucket(F.percent_rank().over(Window.partitionBy(*groups).orderBy(metric)))
         y = src.select(*groups, metric, b.alias("__b"))
-    elif method == "distributed":
-        y = ranked_values(df, groups, metric).select(*groups, metric, tenth_bucket("pct_rank").alias("__b"))
+    elif method == "bracket":
+        ranked = bracketed_values(df, groups, metric, bucket / 10, accuracy)
+        y = ranked.select(*groups, metric, tenth_bucket("pct_rank").alias("__b"))
     else:
         raise ValueError(f"method={method!r}")
     thr = y.where(F.col("__b") == F.lit(bucket)).groupBy(*groups).agg(F.min(metric).alias(name))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lastmile.functions.columns import date_literal, is_false, region_side
 from lastmile.operators.joins import partition_total
 from lastmile.sources.domain import Tables
+from lastmile.sources.stored import MONTH, in_order_months
 
 
 def shipped_gmv(t: Tables, full: bool = True, orders: DataFrame | None = None) -> DataFrame:
@@ -19,13 +20,16 @@ def shipped_gmv(t: Tables, full: bool = True, orders: DataFrame | None = None) -
     (``order_gmv``, ``allocated_gmv``, ``tot_gmv``); otherwise only ``qty`` and ``tot_gmv``.
     The report's consumers keep ``qty > 0`` inside their join condition (J9).
 
-    ``orders`` (column ``order_id``) keeps the lines of these orders only, before they are joined and summed.
+    ``orders`` (column ``order_id``) keeps the lines of these orders only, before they are joined and summed. With
+    the orders' month (``MONTH``) on both sides, partitions of other months are not read.
     """
     ol = t.lg_order_line
     if orders is not None:
-        ol = ol.join(orders, "order_id", "left_semi")
-    dl = t.lg_delivery_line.select("order_line_id", "quantity", "allocated_quantity", "checked_quantity")
-    x = ol.join(dl, ol.id == dl.order_line_id)
+        ol = ol.join(orders, [c for c in ("order_id", MONTH) if c in ol.columns and c in orders.columns], "left_semi")
+    by_month = [MONTH] if MONTH in ol.columns and MONTH in t.lg_delivery_line.columns else []
+    dl = t.lg_delivery_line.select("order_line_id", "quantity", "allocated_quantity", "checked_quantity", *by_month)
+    # both lines of an order lie in its month, so the month only saves reading
+    x = ol.withColumnRenamed("id", "order_line_id").join(dl, ["order_line_id", *by_month])
     p = F.col("price_unit")
     aggs = [F.sum("checked_quantity").alias("qty"), F.sum(p * F.col("checked_quantity")).alias("tot_gmv")]
     if full:
@@ -115,7 +119,8 @@ def delivery_fact(
     x = x.join(td, x.r_id == td.td_ride_id).join(d, F.col("delivery_id") == d.d_id).join(o, F.col("order_id") == o.o_id)
     da = t.lg_delivery_address.select(F.col("id").alias("da_id"), "buyer_code", "lat", "lng", "city", "province")
     x = x.join(da, x.delivery_address_id == da.da_id, "left")
-    ol = shipped_gmv(t, full=False, orders=x.select("order_id")).where(F.col("qty") > 0).select(
+    # the filter on the order prunes its lines; the chain of rides is planned once
+    ol = shipped_gmv(t, full=False, orders=o.select(F.col("o_id").alias("order_id"))).where(F.col("qty") > 0).select(
         F.col("order_id").alias("ol_order_id"), F.col("tot_gmv")
     )
     x = x.join(ol, x.order_id == ol.ol_order_id, "left")

@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lastmile.session import reuse
+
+
 def null_safe_on(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Equality on several keys where NULL matches NULL (SQL ``IS NOT DISTINCT FROM``)."""
     cond = None
@@ -30,18 +33,32 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return out.drop(*[f"__r_{k}" for k in keys])
 
 
+HEAVY_SHARE = 0.001  # a key with more than this share of all rows is heavy; so there are fewer than a thousand
+
+
 def partition_total(
-    df: DataFrame, keys: list[str], value: str | Column, name: str, method: str = "aggregate"
+    df: DataFrame, keys: list[str], value: str | Column, name: str, method: str = "aggregate", heavy: float = HEAVY_SHARE
 ) -> DataFrame:
     """``SUM(value) OVER (PARTITION BY keys)`` added as column ``name``.
 
-    ``method="aggregate"`` (default, scale form): partial+final hash aggregate per key, joined back
-    null-safely. The aggregate combines map-side, and a key holding a third of all rows becomes a
-    skewed join partition that AQE splits — unlike the window, which sorts that whole key in one
-    task. ``method="window"`` is the literal window for parity checks.
+    ``method="aggregate"`` (default, scale form): partial+final hash aggregate per key, which combines map-side, joined
+    back null-safely. The totals also count their rows. Keys with more than the share ``heavy`` of all rows, of which
+    there are fewer than 1 / ``heavy``, are broadcast and joined where their rows are; those rows then take
+    no part in the shuffled join, for which they are dealt out by a hash of the row. So a key with a third of all
+    rows is never sorted or joined in one task, whatever the size at which adaptive execution splits partitions.
+    ``method="window"`` is the literal window for parity checks; it sorts a whole key in one task.
     """
     v = F.col(value) if isinstance(value, str) else value
     if method == "window":
         return df.withColumn(name, F.sum(v).over(Window.partitionBy(*keys)))
-    totals = df.groupBy(*keys).agg(F.sum(v).alias(name))
-    return join_null_safe(df, totals, keys, "left")
+    df = reuse(df)  # read for the totals, their number of rows and the result; a report's lines are a long chain of joins
+    totals = df.groupBy(*keys).agg(F.sum(v).alias(name), F.count(F.lit(1)).alias("__rows"))
+    all_rows = totals.agg(F.sum("__rows")).scalar()
+    large = totals.where(F.col("__rows") > F.lit(heavy) * all_rows).select(*keys, F.col(name).alias("__heavy"), F.lit(True).alias("__is_heavy"))
+    marked = join_null_safe(df, F.broadcast(large), keys, "left")
+    dealt = marked.withColumn("__deal", F.when(F.col("__is_heavy"), 1 + F.pmod(F.xxhash64(*df.columns), F.lit(1 << 31))).otherwise(0))
+    # 0, but no literal: a literal would be taken out of the join's keys and the heavy rows not be dealt out
+    light = totals.select(*keys, name, F.least("__rows", F.lit(0)).alias("__deal"))
+    joined = join_null_safe(dealt, light, [*keys, "__deal"], "left")
+    total = F.when(F.col("__is_heavy"), F.col("__heavy")).otherwise(F.col(name))
+    return joined.select(*df.columns, total.alias(name))

@@ -16,17 +16,22 @@ from lastmile.functions.columns import (
     payment_bucket,
     ts_literal,
 )
+from lastmile.session import reuse
 from lastmile.sources.domain import Tables
+from lastmile.sources.stored import in_order_months, order_months
 
+Months = tuple[str | None, str | None]
 
-def _of_orders(rows: DataFrame, orders: DataFrame | None) -> DataFrame:
-    """The rows of the given orders (column ``order_id``); all without them."""
+
+def _of_orders(rows: DataFrame, orders: DataFrame | None, months: Months = (None, None)) -> DataFrame:
+    """The rows of the given orders (column ``order_id``), all without them, out of the months' partitions."""
+    rows = in_order_months(rows, months)
     return rows if orders is None else rows.join(orders, "order_id", "left_semi")
 
 
-def _fulfilment_counts(t: Tables, platform: str = PLATFORM, orders: DataFrame | None = None) -> DataFrame:
+def _fulfilment_counts(t: Tables, platform: str = PLATFORM, orders: DataFrame | None = None, months: Months = (None, None)) -> DataFrame:
     """Per order: number of fulfilment rows, and how many of them use the platform fleet."""
-    f = _of_orders(t.mk_order_fulfilment, orders)
+    f = _of_orders(t.mk_order_fulfilment, orders, months)
     return f.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("n_fulfilment"),
         F.count_if(F.col("delivery_method") == F.lit(platform)).alias("n_platform"),
@@ -40,7 +45,7 @@ def _fanout(n: Column) -> Column:
 
 def order_gmv(
     t: Tables, fanout: bool = True, with_fees: bool = False, method_aware: bool = False, platform: str = PLATFORM,
-    orders: DataFrame | None = None,
+    orders: DataFrame | None = None, months: Months = (None, None),
 ) -> DataFrame:
     """D3 per order: ``GMV_order`` = Σ price × ordered qty, ``GMV_final`` = Σ price × delivered qty.
 
@@ -52,9 +57,10 @@ def order_gmv(
 
     ``with_fees`` adds the seller fee sums (M2); ``method_aware`` adds ``GMV_final_seller`` (M3):
     per joined fulfilment row, picked − returned when it is a platform delivery, else delivered.
-    ``orders`` (column ``order_id``) keeps these orders only, before anything is summed.
+    ``orders`` (column ``order_id``) keeps these orders only, before anything is summed; ``months`` reads only
+    the partitions of orders of these months where the tables are stored by month.
     """
-    ou = _of_orders(t.mk_order_unit, orders)
+    ou = _of_orders(t.mk_order_unit, orders, months)
     price = F.col("unit_price")
     aggs = [
         F.sum(price * F.col("ordered_quantity")).alias("s_order"),
@@ -83,7 +89,7 @@ def order_gmv(
             out.append(F.col("s_final").alias("GMV_final_seller"))
         return per_order.select(*out)
 
-    counts = _fulfilment_counts(t, platform, orders)
+    counts = _fulfilment_counts(t, platform, orders, months)
     j = per_order.join(counts, "order_id", "left")
     m = _fanout(F.col("n_fulfilment"))
     out = [F.col("order_id"), (F.col("s_order") * m).alias("GMV_order"), (F.col("s_final") * m).alias("GMV_final")]
@@ -103,13 +109,13 @@ def order_gmv(
     return j.select(*out)
 
 
-def order_item_gmv(t: Tables, fanout: bool = True, orders: DataFrame | None = None) -> DataFrame:
+def order_item_gmv(t: Tables, fanout: bool = True, orders: DataFrame | None = None, months: Months = (None, None)) -> DataFrame:
     """GMV at grain (order, product unit, product name, unit of measure, unit price).
 
     Same fulfilment fan-out as D3, applied as a per-order multiplier after grouping the units.
     The product lookups are left joins (a unit without product keeps NULL names).
     """
-    ou = _of_orders(t.mk_order_unit, orders)
+    ou = _of_orders(t.mk_order_unit, orders, months)
     pu = t.mk_product_unit
     pv = t.mk_product_variant.select(F.col("id").alias("pv_id"), F.col("name").alias("product"))
     uom = t.mk_unit_of_measurement.select(F.col("id").alias("uom_id"), "long_name")
@@ -129,7 +135,7 @@ def order_item_gmv(t: Tables, fanout: bool = True, orders: DataFrame | None = No
             "order_id", "product_unit_id", "product", "long_name", "unit_price",
             F.col("s_order").alias("GMV_order"), F.col("s_final").alias("GMV_final"),
         )
-    counts = _fulfilment_counts(t, orders=orders).select("order_id", "n_fulfilment")
+    counts = _fulfilment_counts(t, orders=orders, months=months).select("order_id", "n_fulfilment")
     m = _fanout(F.col("n_fulfilment"))
     return g.join(counts, "order_id", "left").select(
         "order_id", "product_unit_id", "product", "long_name", "unit_price",
@@ -147,18 +153,16 @@ def with_area(df: DataFrame, t: Tables, city_id: str, city: str = "city", provin
     return out.drop("__city_id", "__parent", "__prov_id")
 
 
-def _wanted_buyers(cohort: DataFrame | None, buyers: list[str] | DataFrame | None) -> list:
-    """Filters of a frame with ``unique_id`` to the buyers that can be in the fact."""
-    filters = []
+def _of_buyers(orders: DataFrame, t: Tables, buyers: list[str] | DataFrame, months: Months) -> DataFrame:
+    """The orders of the listed buyers, kept once: units, fulfilments and the fact itself are joined to them."""
+    store = t.mk_buyer_store.select(F.col("id").alias("w_id"), "unique_id")
     if isinstance(buyers, DataFrame):
-        listed = buyers.select("unique_id")
-        filters.append(lambda df: df.join(listed, "unique_id", "left_semi"))
-    elif buyers is not None:
-        filters.append(lambda df: df.where(F.col("unique_id").isin(list(buyers))))
-    if cohort is not None:
-        members = cohort.select("unique_id")
-        filters.append(lambda df: df.join(members, "unique_id", "left_semi"))
-    return filters
+        store = store.join(buyers.select("unique_id"), "unique_id", "left_semi")
+    else:
+        store = store.where(F.col("unique_id").isin(list(buyers)))
+    tr = in_order_months(t.mk_transaction, months).select(F.col("id").alias("w_t_id"), "buyer_store_id")
+    bought = tr.join(store, tr.buyer_store_id == F.col("w_id"), "left_semi")
+    return reuse(orders.join(bought, orders.transaction_id == bought.w_t_id, "left_semi"))
 
 
 def order_fact(
@@ -193,34 +197,30 @@ def order_fact(
     ``grain="item"`` uses the order-item GMV (D4), so the cap applies per item group (T18).
     ``buyers`` keeps the listed buyer codes (P12; a DataFrame of ``unique_id`` joins as a semi-join).
     """
-    tr = t.mk_transaction.select(F.col("id").alias("t_id"), "buyer_store_id")
-    o = t.mk_order.select(
+    months = order_months(start, end)
+    tr = in_order_months(t.mk_transaction, months).select(F.col("id").alias("t_id"), "buyer_store_id")
+    o = in_order_months(t.mk_order, months).select(
         F.col("id").alias("order_id"), F.col("transaction_id"), F.col("created_at"), F.col("seller_store_id")
     )
     if start is not None:
         o = o.where(F.col("created_at") > ts_literal(start))
     if end is not None:
         o = o.where(F.col("created_at") < ts_literal(end))
-    f = t.mk_order_fulfilment.where(F.col("status") == F.lit(status)).select(
+    f = in_order_months(t.mk_order_fulfilment, months).where(F.col("status") == F.lit(status)).select(
         F.col("order_id").alias("f_order_id"), F.col("status").alias("fulfilment_status"), "delivery_method"
     )
-    # a join cannot be pushed below an aggregate: the orders in question are found first, and only their
-    # units and fulfilments are summed
-    ids = o.join(f, o.order_id == f.f_order_id, "left_semi")
-    only = _wanted_buyers(cohort if cohort_how != "left" else None, buyers)
-    if only:
-        of_buyer = t.mk_buyer_store.select(F.col("id").alias("w_id"), "unique_id")
-        for wanted in only:
-            of_buyer = wanted(of_buyer)
-        of_transaction = tr.join(of_buyer, tr.buyer_store_id == F.col("w_id"), "left_semi")
-        ids = ids.join(of_transaction, ids.transaction_id == of_transaction.t_id, "left_semi")
-    ids = ids.select("order_id")
-    gmv = order_gmv(t, orders=ids) if grain == "order" else order_item_gmv(t, orders=ids)
+    # a join cannot be pushed below an aggregate: the orders of listed buyers are found first, once, and only
+    # their units and fulfilments are summed. A date window prunes by partition, a cohort may hold most buyers.
+    ids = None
+    if buyers is not None:
+        o = _of_buyers(o, t, buyers, months)
+        ids = o.select("order_id")
+    gmv = order_gmv(t, orders=ids, months=months) if grain == "order" else order_item_gmv(t, orders=ids, months=months)
     gmv = gmv.withColumnRenamed("order_id", "g_order_id")
     if cap is not None:
         cap_lit = F.lit(cap)
         gmv = gmv.where(F.col("GMV_order") <= cap_lit if cap_inclusive else F.col("GMV_order") < cap_lit)
-    pay = t.mk_payment.select(F.col("transaction_id").alias("p_t_id"), "payment_method_detail_type")
+    pay = in_order_months(t.mk_payment, months).select(F.col("transaction_id").alias("p_t_id"), "payment_method_detail_type")
 
     # order-keyed part first: order ⨝ fulfilment ⨝ GMV share the order-id partitioning
     x = o.join(f, o.order_id == f.f_order_id).join(gmv, o.order_id == gmv.g_order_id)

@@ -23,6 +23,7 @@ from lastmile.plans import params as P
 from lastmile.plans import reports as R
 from lastmile.plans.reports import money
 from lastmile.session import configure
+from lastmile.sources import namespaces
 from lastmile.sources.domain import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -241,18 +242,6 @@ def _d12(t):
     return s.withColumn("gmv_percentile", money("gmv_percentile"))
 
 
-@query("top_decile_summary_having")
-def _d12h(t):
-    """D12 with HAVING, thresholds from the literal window form (checks window = distributed)."""
-    return R.province_coverage_gmv(t, P.OPEN_ADOPTION_FROM, P.ORDERS_AFTER, P.HAVING_MIN_GMV)
-
-
-@query("top_decile_leads")
-def _d13(t):
-    """D13 by order count with window thresholds."""
-    return R.leads_by_orders(t, P.ADOPTION_FROM, P.ADOPTION_TO, P.ORDERS_AFTER, P.ORDERS_BEFORE, P.VALUE_CAP)
-
-
 @query("top_decile_leads_anti")
 def _d13a(t):
     """D13 by GMV as an anti-join on the cohort."""
@@ -531,6 +520,19 @@ def _w4(t):
     return x.select("delivery_id", "batch_id", money("tot_gmv"), money("batch_total"))
 
 
+@query("search_path")
+def _s2(t):
+    """One statement by unqualified name, and the other system's table of that name: orders per buyer in both."""
+    namespaces.publish(t.spark, t.sf_dir)
+    bought = namespaces.resolve(t.spark, namespaces.MARKET, """
+        SELECT s.unique_id AS buyer_code, count(*) AS bought, max(o.created_at) AS last_order
+        FROM `order` o JOIN `transaction` t ON t.id = o.transaction_id JOIN store s ON s.id = t.buyer_store_id GROUP BY 1""")
+    brought = namespaces.resolve(t.spark, namespaces.FLEET, """
+        SELECT a.buyer_code, count(*) AS brought, count(DISTINCT o.priority) AS priorities
+        FROM `order` o JOIN delivery_address a ON a.id = o.delivery_address_id GROUP BY 1""")
+    return bought.join(brought, "buyer_code", "full")
+
+
 @query("mixed_sort")
 def _o3(t):
     ab = R.gmv_buyers(t, P.OPEN_ADOPTION_FROM, P.ORDERS_AFTER)

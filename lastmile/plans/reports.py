@@ -26,6 +26,7 @@ from lastmile.operators.offers import active_offers, best_offer, buyer_basket, p
 from lastmile.operators.orders import order_fact
 from lastmile.session import reuse
 from lastmile.sources.domain import Tables
+from lastmile.sources.stored import MONTH, in_order_months
 
 
 def money(col: str | Column, name: str | None = None) -> Column:
@@ -87,7 +88,7 @@ def order_buyers(t: Tables, month_from: str, month_to: str, start, end, cap) ->
     return _persist(buyer_order_count(market_fact(fact), MARKET_BUYER_KEYS + ["delivery_method"]))
 
 
-def leads_by_gmv(t: Tables, month_from: str, start, buyer: str | None = None, method: str = "distributed") -> DataFrame:
+def leads_by_gmv(t: Tables, month_from: str, start, buyer: str | None = None, method: str = "bracket") -> DataFrame:
     """Non-adopter buyers whose delivered GMV (per buyer × method) is above their province's
     0.9-decile threshold; optional single buyer."""
     ab = gmv_buyers(t, month_from, start)
@@ -100,7 +101,7 @@ def leads_by_gmv(t: Tables, month_from: str, start, buyer: str | None = None, me
     ).orderBy(F.col("gmv_per_buyer").desc_nulls_first())
 
 
-def leads_by_orders(t: Tables, month_from: str, month_to: str, start, end, cap, method: str = "distributed") -> DataFrame:
+def leads_by_orders(t: Tables, month_from: str, month_to: str, start, end, cap, method: str = "bracket") -> DataFrame:
     """Non-adopter buyers whose distinct order count (per buyer × method) is above their
     province's 0.9-decile threshold."""
     ab = order_buyers(t, month_from, month_to, start, end, cap)
@@ -113,7 +114,7 @@ def leads_by_orders(t: Tables, month_from: str, month_to: str, start, end, cap,
     ).orderBy(F.col("count_order").desc_nulls_first())
 
 
-def province_coverage_gmv(t: Tables, month_from: str, start, having_min: int | None, method: str = "distributed") -> DataFrame:
+def province_coverage_gmv(t: Tables, month_from: str, start, having_min: int | None, method: str = "bracket") -> DataFrame:
     """M4 on R4: per province the buyers above the GMV threshold, adopters / non-adopters and their
     ratio, kept when adopters above it > ``having_min``."""
     ab = gmv_buyers(t, month_from, start)
@@ -126,7 +127,7 @@ def province_coverage_gmv(t: Tables, month_from: str, start, having_min: int | N
 
 
 def province_coverage_orders(
-    t: Tables, month_from: str, month_to: str, start, end, cap, having_min: int | None, method: str = "distributed"
+    t: Tables, month_from: str, month_to: str, start, end, cap, having_min: int | None, method: str = "bracket"
 ) -> DataFrame:
     """M4 on R7: as ``province_coverage_gmv`` on order counts; counts use ``>=``, HAVING uses ``>``."""
     ab = order_buyers(t, month_from, month_to, start, end, cap)
@@ -151,7 +152,7 @@ def region_buyers(t: Tables, month_from: str, after, sides) -> DataFrame:
 
 
 def region_coverage(
-    t: Tables, month_from: str, after, sides: dict[str, str] | None = None, method: str = "distributed",
+    t: Tables, month_from: str, after, sides: dict[str, str] | None = None, method: str = "bracket",
     distinct_buyers: bool = False,
 ) -> DataFrame:
     """Per (delivery region, side) the 0.9-decile buyer GMV threshold, buyers above it split into
@@ -169,7 +170,7 @@ def region_coverage(
     return s.select(*cols).orderBy(F.col("all_buyer").desc_nulls_first())
 
 
-def region_leads(t: Tables, month_from: str, after, sides: dict[str, str] | None = None, method: str = "distributed") -> DataFrame:
+def region_leads(t: Tables, month_from: str, after, sides: dict[str, str] | None = None, method: str = "bracket") -> DataFrame:
     """M5: the dormant buyer-list tail of R3 — non-adopters above their region's threshold."""
     ab = region_buyers(t, month_from, after, sides)
     thr = decile_threshold(ab, ["province_region", "regional_seller"], "gmv_per_buyer", "gmv_percentile", method=method)
@@ -206,21 +207,26 @@ def cod_escrow(
     ``with_tax`` the fee's tax base and VAT (M1). The ride/batch/region joins of the report feed no
     output column and are planned only for ``detailed`` (J19).
     """
-    d = t.lg_delivery.where(F.col("deleted").isNull() & (F.col("status") == F.lit(delivery_status))).select(
+    d = t.lg_delivery
+    by_month = [c for c in d.columns if c == MONTH]
+    d = d.where(F.col("deleted").isNull() & (F.col("status") == F.lit(delivery_status))).select(
         F.col("id").alias("delivery_id"), F.col("order_id"), "pickup_address_id", "delivery_address_id",
-        F.col("status").alias("delivery_status"), "delivery_tag_id", "batch_id",
+        F.col("status").alias("delivery_status"), "delivery_tag_id", "batch_id", *by_month,
     )
-    o = t.lg_order.select(
-        F.col("id").alias("o_id"), "delivery_date", "payment_type", "delivery_fee_value",
+    months = (None, None) if delivery_date is None else (f"{delivery_date:%Y-%m}",) * 2
+    d = in_order_months(d, months)
+    o = in_order_months(t.lg_order, months)
+    o = o.select(
+        F.col("id").alias("o_id"), "delivery_date", *[F.col(c).alias(MONTH) for c in o.columns if c == MONTH], "payment_type", "delivery_fee_value",
         *(["store_name"] if detailed else []),
     )
     if cod_only:
         o = o.where(is_cod("payment_type"))
     if delivery_date is not None:
         o = o.where(F.to_date("delivery_date") == F.lit(delivery_date))
-    x = d.join(o, d.order_id == o.o_id)
+    x = d.join(o.drop(MONTH), F.col("order_id") == F.col("o_id"))
     # lines of the kept orders only
-    ol = shipped_gmv(t, orders=x.select("order_id")).where(F.col("qty") > 0).select(F.col("order_id").alias("ol_order_id"), "order_gmv", "tot_gmv")
+    ol = shipped_gmv(t, orders=o.select(F.col("o_id").alias("order_id"), *[c for c in o.columns if c == MONTH])).where(F.col("qty") > 0).select(F.col("order_id").alias("ol_order_id"), "order_gmv", "tot_gmv")
     x = x.join(ol, x.order_id == ol.ol_order_id, "left")
     pa = t.lg_pickup_address.select(F.col("id").alias("pa_id"), "seller_code", F.col("name").alias("seller_name"))
     x = x.join(pa, x.pickup_address_id == pa.pa_id, "left")

@@ -1,11 +1,19 @@
-"""Stored domain tables: bucketed by order id, same report results, no shuffle in order-keyed steps."""
+"""Stored domain tables: bucketed by order id, partitioned by month, same results, no shuffle in order-keyed steps."""
 
+import datetime as dt
+import re
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from lastmile.operators import orders as O
+from lastmile.operators import deliveries as DL
+from lastmile.plans import params as P
+from lastmile.plans import reports as R
 from lastmile.plans.catalog import plans
 from lastmile.sources.domain import Tables
-from lastmile.sources.stored import StoredTables, save_domain
+from lastmile.sources.stored import StoredTables, order_months, save_domain
 from tools.plan_report import walk
 
 from conftest import SMOKE_DIR
@@ -27,3 +35,62 @@ def test_stored_tables_match_and_skip_order_shuffles(spark, tmp_path):
     acc = Counter()
     walk(gmv._jdf.queryExecution().executedPlan(), acc, [])
     assert acc["Exchange"] == 0  # per-order sums and fulfilment counts read co-bucketed files
+
+
+@pytest.fixture(scope="module")
+def by_month(spark, tmp_path_factory):
+    save_domain(Tables(spark, SMOKE_DIR), "t_months", str(tmp_path_factory.mktemp("months")), 2, by_month=True)
+    return StoredTables(spark, "t_months", SMOKE_DIR)
+
+
+def scans(df):
+    """(table, partition filters) of every file scan of a plan."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    found = re.findall(r"FileScan parquet \S*?t_months_(\w+)\[.*?PartitionFilters: \[(.*?), PushedFilters", text)
+    assert found
+    return found
+
+
+ORDER_KEYED = ("mk_transaction", "mk_payment", "mk_order", "mk_order_fulfilment", "mk_order_unit")
+
+
+def test_local_months_of_exclusive_utc_bounds():
+    assert order_months("19960101", "19960125") == ("1996-01", "1996-01")
+    assert order_months(dt.datetime(1996, 1, 31, 18), None) == ("1996-02", None)  # 01:00 of 1 February there
+
+
+def test_a_date_window_reads_its_months_only(spark, by_month):
+    report = R.buyer_orders(by_month, "19960105", "19960129", P.VALUE_CAP)
+    keyed = [(name, filters) for name, filters in scans(report) if name in ORDER_KEYED]
+    assert {name for name, _ in keyed} == set(ORDER_KEYED)
+    assert all("order_month" in filters and "1996-01" in filters for _, filters in keyed)
+    derived = Tables(spark, SMOKE_DIR)
+    assert _rows(report) == _rows(R.buyer_orders(derived, "19960105", "19960129", P.VALUE_CAP))
+    assert _rows(report)
+    # 31 January 18:00 UTC and later is February in local time
+    late = ("19960131", "19960205")
+    assert _rows(R.buyer_orders(by_month, *late, P.VALUE_CAP)) == _rows(R.buyer_orders(derived, *late, P.VALUE_CAP))
+
+
+def test_one_delivery_day_prunes_its_lines(spark, by_month):
+    day = R.cod_escrow(Tables(spark, SMOKE_DIR)).first()["delivery_date"]
+    report = R.cod_escrow(by_month, delivery_date=day)
+    kept = by_month.lg_order.where(F.to_date("delivery_date") == F.lit(day)).where(F.col("order_month") == f"{day:%Y-%m}")
+    lines = DL.shipped_gmv(by_month, orders=kept.select(F.col("id").alias("order_id"), "order_month"))
+    filters = dict(scans(lines))
+    assert f"{day:%Y-%m}" in filters["lg_order"]
+    assert all("order_month" in filters[name] and "dynam" in filters[name] for name in ("lg_order_line", "lg_delivery_line"))
+    assert _rows(report) == _rows(R.cod_escrow(Tables(spark, SMOKE_DIR), delivery_date=day)) != []
+    for name in ("method_mix", "region_coverage"):
+        assert _rows(plans()[name](by_month)) == _rows(plans()[name](Tables(spark, SMOKE_DIR))), name
+        spark.catalog.clearCache()
+
+
+def test_the_chain_of_rides_is_planned_once(spark, by_month):
+    counted = Counter(name for name, _ in scans(DL.delivery_fact(by_month, P.DELIVERIES_AFTER)))
+    assert counted["lg_task"] == counted["lg_ride"] == counted["lg_route"] == counted["lg_batch"] == counted["lg_delivery"] == 1
+    counted = Counter(name for name, _ in scans(R.buyer_orders(by_month, "19960101", "20000101", P.VALUE_CAP)))
+    assert counted["mk_order"] == counted["mk_transaction"] == counted["mk_order_unit"] == 1
+    # the orders of listed buyers are found once, before units and fulfilments are read
+    counted = Counter(name for name, _ in scans(R.buyer_orders(by_month, "19960101", "20000101", P.VALUE_CAP, buyers=P.SELECTED_BUYERS)))
+    assert counted["mk_order"] == 0 and counted["mk_order_unit"] == 1
