@@ -7,7 +7,9 @@ exactly those characters; in Spark expressions ``words`` does.
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +27,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder the cluster names; a scratch folder only for an unconfigured local session."""
-    if spark.sparkContext.master.startswith("local") and not (
+    # a local cluster's executors do not share the driver's scratch folder
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) and not (
         spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     ):
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lastmile-ckpt-"))
@@ -38,6 +41,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: as ``cut``, compressed and read by column."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def trimmed(text: Column) -> Column:
     return F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
 

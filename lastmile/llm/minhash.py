@@ -15,14 +15,16 @@
    components of a bucket is left out, whatever its size.
 
 Defined cases: a null or blank text has an empty set and is linked with nothing; fewer than five words
-make one shingle; rows of one id are one document; rows without an id are linked through equal sets only
-and always kept; ties go to the smallest id; an empty table gives no rows; further
+make one shingle; rows of one id are one document; rows without an id link like others, one document for each text, and are
+always kept: their component is null where no document with an id is in it; ids are below 2**62; ties go to the
+smallest id; an empty table gives no rows; further
 columns pass through ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lastmile.llm.common import cut, table
+from lastmile.llm import id_filter
+from lastmile.llm.common import cut, stored, table
 from lastmile.llm.components import components
 from lastmile.llm.word_hashes import WordHashes, runs, scrambled
 
@@ -141,7 +144,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(kept, pa.int64())) for k in (0, 1)], names=["a", "b"])
 
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    held = texts.join(wanted, "id", "left_semi")
+    held = id_filter.only(texts, wanted, "id")
     joined = pairs.join(held.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(
         held.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"
     )
@@ -173,7 +176,7 @@ def sets_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
             digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["id", "digest", "shingles"])
 
-    return texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(cut_up, "id long, digest binary, shingles array<long>")
+    return id_filter.only(texts, ids, "id").select("id", "text").mapInArrow(cut_up, "id long, digest binary, shingles array<long>")
 
 
 def across(members: DataFrame, bits: DataFrame, sets: DataFrame) -> DataFrame:
@@ -211,14 +214,20 @@ def without(pairs: DataFrame, tried: DataFrame) -> DataFrame:
     return pairs.join(tried.unionByName(turned), ["a", "b"], "left_anti")
 
 
+NO_ID = 1 << 62  # nodes from here on stand for texts of rows without an id: greater than any id, so never a group's smallest
+
+
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
-    signed = cut(sign(docs, key, text))
+    nameless = F.xxhash64(text).bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID)
+    docs = docs.select(F.coalesce(F.col(key).cast("long"), nameless).alias("node"), F.col(text).alias("text"))
+    key = "node"
+    signed = cut(sign(docs, key, "text"))
     classes = cut(signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    reps = classes.where(F.col("rep").isNotNull()).select("digest", F.col("rep").alias("doc_id"))
+    reps = classes.select("digest", F.col("rep").alias("doc_id"))
     heads = cut(signed.join(reps, ["digest", "doc_id"]).select(F.col("doc_id").alias("id"), "digest", "bands", "bits").dropDuplicates(["id", "digest"]))
     bits = heads.select("id", "digest", "bits")
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    texts = docs.select(F.col(key).alias("id"), "text")
 
     members = heads.select("id", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
@@ -246,27 +255,35 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     rows = rows.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
-    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    named = F.col("doc_id") < NO_ID
+    return rows.select(
+        F.when(named, F.col("doc_id")).alias("doc_id"),
+        "n_shingles",
+        F.when(component < NO_ID, component).alias("component_id"),
+        F.when(named, F.col("doc_id") == component).otherwise(F.lit(True)).alias("kept"),
+    )
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each group the one with the smallest id."""
-    dropped = link(docs, key, text).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, docs[key].cast("long") == dropped["_dropped"], "left_anti")
+    dropped = cut(link(docs, key, text).where(~F.col("kept")).select("doc_id"))
+    return id_filter.without(docs, dropped, key)
 
 
 def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group: the smallest id, rows without an id last.
 
     Every row is a document of its own, whatever its id, so rows that repeat an id and rows without one are
-    linked like others. The rows are checkpointed with their number: it has to be the same in all joins.
+    linked like others. The rows are stored with their number: it has to be the same in all joins.
     """
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    groups = link(rows, "_row", text).select(F.col("doc_id").alias("_row"), "component_id")
-    place = F.struct(F.col(key).isNull().alias("no_id"), F.col(key).cast("long").alias("id"), F.col("_row").alias("row"))
-    first = rows.select("_row", place.alias("place")).join(groups, "_row").groupBy("component_id").agg(F.min("place").alias("place"))
-    return rows.join(first.select(F.col("place.row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    row = f"x{uuid.uuid4().hex}"  # no column of ``docs``
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = cut(link(rows, row, text).select(F.col("doc_id").alias("row"), "component_id"))
+    place = F.struct(F.col(key).isNull().alias("no_id"), F.col(key).cast("long").alias("id"), F.col(row).alias("row"))
+    placed = rows.select(place.alias("place")).join(groups, F.col("place.row") == F.col("row"))
+    first = placed.groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place.row").alias("row"))
+    dropped = cut(groups.select("row").join(first, "row", "left_anti"))
+    return id_filter.without(rows, dropped, row).select(*docs.columns)
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

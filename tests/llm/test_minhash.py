@@ -86,3 +86,12 @@ def test_every_text_of_an_id_is_compared_in_a_divided_bucket(spark):
     sets = M.sets_of(bits.select("id").distinct(), docs.withColumnRenamed("doc_id", "id"))
     members = spark.createDataFrame([(1, k, 3, k) for k in (10, 20, 30)], "bucket long, id long, n long, component long")
     assert sorted(map(tuple, M.across(members, bits, sets).collect())) == [(20, 10), (30, 10)]
+
+
+def test_a_row_without_id_bridges_two_documents(spark):
+    words = [f"w{k}" for k in range(200)]
+    first, middle, last = words[:], words[12:] + ["x"] * 12, words[24:] + ["x"] * 12 + ["y"] * 12
+    rows = [(1, " ".join(first)), (None, " ".join(middle)), (2, " ".join(last)), (3, "alone with these five words")]
+    docs = spark.createDataFrame([*rows, (None, "quite another text that nobody has")], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in M.link(docs).collect()}
+    assert got == {(1, 1, True), (None, 1, True), (2, 1, False), (3, 3, True), (None, None, True)}
