@@ -41,4 +41,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_license_scan": twins.license_scan()}
+    return {
+        "op1_substring_dedup": twins.repeated_windows(),
+        "op6_minhash_dedup": twins.near_duplicates(),
+        "op12_license_scan": twins.license_scan(),
+    }

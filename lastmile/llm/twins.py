@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lastmile.llm import minhash, substring_dedup
 from lastmile.llm.license_scan import INDEX_WORDS, LEAST_SHARE, NOTICES, PHRASES
 
 
@@ -46,3 +47,41 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, las
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
 FROM docs LEFT JOIN base USING (r) LEFT JOIN per_doc USING (r)
 """
+
+
+def near_duplicates() -> str:
+    """Shingle sets, links of every two sets that share a shingle, and what can be reached over links."""
+    k = minhash.SHINGLE
+    return rf"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' ')) END) AS shingle FROM docs),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * shared.n >= {minhash.PERCENT} * (x.n + y.n - shared.n)),
+reach AS (SELECT doc_id, doc_id AS other FROM docs UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM docs JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
+
+def repeated_windows() -> str:
+    """Windows that stand at two places or more, and the words that none of them covers."""
+    n = substring_dedup.WINDOW
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+places AS (SELECT r, w, unnest(range(1, len(w) - {n} + 2)) AS i FROM docs),
+windows AS (SELECT r, i, md5(array_to_string(w[i:i + {n} - 1], ' ')) AS seen FROM places),
+often AS (SELECT seen FROM windows GROUP BY seen HAVING count(*) > 1),
+covered AS (SELECT DISTINCT r, unnest(range(i, i + {n})) AS i FROM windows WHERE seen IN (SELECT seen FROM often)),
+tokens AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS body FROM tokens ANTI JOIN covered USING (r, i) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""
