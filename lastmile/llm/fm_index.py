@@ -14,16 +14,20 @@ import numpy as np
 
 DEPTH = 48
 PROBE = 8
+MOST_TRIPLED = 1 << 21  # symbols of which three make one key
+PIECE_WINDOWS = 96  # windows of a pattern that are sought in one go
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first ``depth`` symbols or more, by prefix doubling from three symbols on."""
+    """Suffixes in the order of their first ``depth`` symbols or more, by prefix doubling from three symbols on.
+
+    With so many different symbols that three do not fit into 63 bits, from two on.
+    """
     padded = np.concatenate((text.astype(np.int64) + 1, [0, 0]))
     base = int(padded.max()) + 1
-    if base >= 1 << 20:
-        raise ValueError("too many symbols for one index")
-    rank = (padded[:-2] * base + padded[1:-1]) * base + padded[2:]
-    sorted_by = 3
+    rank, sorted_by = padded[:-2] * base + padded[1:-1], 2
+    if base <= MOST_TRIPLED:
+        rank, sorted_by = rank * base + padded[2:], 3
     while True:
         order = np.argsort(rank)
         ordered = rank[order]
@@ -178,10 +182,23 @@ class FMIndex:
         return self.weight[ranges[1]] - self.weight[ranges[0]]
 
 
+def in_pieces(start: np.ndarray, end: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, start and end of pieces of the patterns. Every run of ``least`` symbols of a pattern lies whole in a piece.
+
+    All patterns go on together, one numpy step per symbol, so a few very long ones would cost as many steps nearly alone.
+    """
+    windows = np.maximum(end - start - (least - 1), 1)
+    many = -(-windows // PIECE_WINDOWS)
+    owner = np.repeat(np.arange(len(start)), many)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+    low = start[owner] + number * PIECE_WINDOWS
+    return owner, low, np.minimum(low + PIECE_WINDOWS + least - 1, end[owner])
+
+
 def matched(index: FMIndex, stream: np.ndarray, start: np.ndarray, end: np.ndarray, need: np.ndarray, least: int) -> np.ndarray:
     """Which symbols of the stream lie in a match of at least ``least`` symbols that occurs ``need`` times or more.
 
-    Pattern k is ``stream[start[k]:end[k]]``; a negative symbol is unknown to the index. Its matching statistics
+    Pattern k is ``stream[start[k]:end[k]]``, sought in overlapping pieces; a negative symbol is unknown to the index. Its matching statistics
     are found from the right: a match is extended to the left as far as it occurs often enough; then the right
     end moves to the next place from which a match of ``least`` symbols is still open. Where a match stopped short,
     the few symbols from the stopping place on are tried first: mostly they do not occur either, and
@@ -189,6 +206,8 @@ def matched(index: FMIndex, stream: np.ndarray, start: np.ndarray, end: np.ndarr
     """
     if not PROBE < least <= DEPTH:
         raise ValueError(f"matches must be longer than {PROBE} and at most {DEPTH} symbols long")
+    owner, start, end = in_pieces(start, end, least)
+    need = need[owner]
     change = np.zeros(len(stream) + 1, np.int64)
     active = np.flatnonzero(end - start >= least)
     lower, right, need = start[active], end[active], need[active]

@@ -7,7 +7,8 @@ import pytest
 
 from llm_cases import edge_docs, edge_rows, no_docs  # noqa: F401
 from lastmile.llm import substring_dedup as S
-from lastmile.llm.fm_index import FMIndex, Wavelet, matched
+from lastmile.llm import fm_index
+from lastmile.llm.fm_index import FMIndex, Wavelet, matched, suffix_order
 
 
 def brute(texts, window):
@@ -33,7 +34,18 @@ def test_wavelet_rank_counts_symbols():
     assert tree.rank(symbol, place).tolist() == want
 
 
-def test_matches_are_those_that_occur_often_enough():
+def test_suffixes_sort_alike_with_very_many_symbols(monkeypatch):
+    text = np.random.default_rng(4).integers(0, 40, 2000).astype(np.int32)
+    order = suffix_order(text, 48)
+    monkeypatch.setattr(fm_index, "MOST_TRIPLED", 1)
+    assert suffix_order(text, 48).tolist() == order.tolist()
+    many = np.random.default_rng(5).permutation(1 << 21).astype(np.int32)
+    assert (many[suffix_order(many, 48)] == np.arange(1 << 21)).all()
+
+
+@pytest.mark.parametrize("piece", [1, 7, 96])
+def test_matches_are_those_that_occur_often_enough(monkeypatch, piece):
+    monkeypatch.setattr(fm_index, "PIECE_WINDOWS", piece)
     rng = np.random.default_rng(2)
     parts = [rng.integers(1, 4, rng.integers(1, 60)) for _ in range(30)]
     text = np.concatenate([np.append(p, 0) for p in parts])
