@@ -48,6 +48,21 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def held_name(name: str) -> str:
+    """The name that ``held`` gives a column."""
+    return f"of{name}"
+
+
+def held(docs: DataFrame) -> DataFrame:
+    """``docs`` with every column renamed, so that no name begins with an underscore: those are free for temporaries."""
+    return docs.toDF(*[held_name(c) for c in docs.columns])
+
+
+def given_back(rows: DataFrame, names: list[str], *more: str | Column) -> DataFrame:
+    """The columns ``names`` of a frame made from ``held`` under their own names again, and ``more``."""
+    return rows.select(*[F.col(f"`{held_name(c)}`").alias(c) for c in names], *more)
+
+
 def trimmed(text: Column) -> Column:
     return F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lastmile.llm.common import bucket_of, table, utf8_crc32, words
+from lastmile.llm.common import bucket_of, given_back, held, held_name, table, utf8_crc32, words
 
 WEIGHTS = (3, 1, 2)  # by place of the source, repeating
 SHARE = 1.5  # of all sizes
@@ -59,6 +59,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
 
 def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", ranges: int = RANGES) -> DataFrame:
     """``docs`` with a struct ``_mix``: size, source_size, target, taken (words, repeats counted)."""
+    names = [c for c in docs.columns if c != "_mix"]
+    docs, source, key, text = held(docs), *map(held_name, (source, key, text))
     keyed = (
         docs.withColumn("_src", source_key(F.col(source)))
         .withColumn("_size", F.size(words(F.col(text))).cast("long"))
@@ -79,32 +81,23 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str
     before = F.col("_start") + F.col("_run") - F.col("_size")
     rest = budget - epochs * F.col("_source_size") - before
     taken = epochs * F.col("_size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("_size"), rest))
-    return (
-        keyed.withColumn("_run", F.sum("_size").over(inside))
-        .join(starts, ["_src", "_range"])
-        .withColumn(
-            "_mix",
-            F.struct(
-                F.col("_size").alias("size"),
-                F.col("_source_size").alias("source_size"),
-                F.col("_target").alias("target"),
-                taken.alias("taken"),
-            ),
-        )
-        .select(*docs.columns, "_mix")
-    )
+    mixed = keyed.withColumn("_run", F.sum("_size").over(inside)).join(starts, ["_src", "_range"])
+    numbers = F.struct(F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"))
+    return given_back(mixed.withColumn("_mix", numbers), names, "_mix")
 
 
-def take(docs: DataFrame, text: str = "text", **names) -> DataFrame:
+def take(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of the mix: one per repeat, the last one holding a document's leading words where the budget cuts it."""
-    mixed = mix(docs, text=text, **names)
+    names = docs.columns
+    source, key, text = map(held_name, (source, key, text))
+    mixed = mix(held(docs), source, key, text)
     size, taken = F.col("_mix.size"), F.col("_mix.taken")
     whole = F.floor(taken / F.greatest(size, F.lit(1))).cast("int")
     rest = (taken - whole * size).cast("int")
     copies = F.when(taken > 0, F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>"))))
     rows = mixed.withColumn("_words", F.explode(copies))
     cut_text = F.when(F.col("_words") < 0, F.col(text)).otherwise(F.array_join(F.slice(words(F.col(text)), 1, F.greatest("_words", F.lit(1))), " "))
-    return rows.withColumn(text, cut_text).select(*docs.columns)
+    return given_back(rows.withColumn(text, cut_text), names)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lastmile.llm.common import bucket_of, table, utf8_crc32
+from lastmile.llm.common import bucket_of, given_back, held, held_name, table, utf8_crc32
 
 SHARDS = 24
 SLOT_BUCKETS = 1024  # hash ranges a shard is numbered in, so that no task holds a whole shard
@@ -42,6 +42,8 @@ def number_slots(df: DataFrame, shard: str, order: list[str], slot: str, buckets
     Rows are counted per (shard, hash range), the counts are summed up along the ranges, and rows are
     numbered within their range; so a task sorts one range of a shard, never the shard.
     """
+    names = [c for c in df.columns if c != slot]
+    df, shard, order = held(df), held_name(shard), [held_name(c) for c in order]
     df = df.withColumn("_bucket", bucket_of(F.xxhash64(*order), buckets))
     starts = (
         df.groupBy(shard, "_bucket")
@@ -50,12 +52,8 @@ def number_slots(df: DataFrame, shard: str, order: list[str], slot: str, buckets
         .drop("_n")
     )
     within = F.row_number().over(Window.partitionBy(shard, "_bucket").orderBy(*order))
-    return (
-        df.withColumn("_within", within)
-        .join(starts, [shard, "_bucket"])
-        .withColumn(slot, F.col("_start") + F.col("_within") - 1)
-        .drop("_bucket", "_within", "_start")
-    )
+    numbered = df.withColumn("_within", within).join(starts, [shard, "_bucket"])
+    return given_back(numbered, names, (F.col("_start") + F.col("_within") - 1).alias(slot))
 
 
 def place(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS) -> DataFrame:

@@ -18,7 +18,7 @@ block is indexed and streamed against every other, so no shard grows with one an
 
 Defined cases: null, empty and blank texts have no words; fewer words than a window are never removed;
 rows with equal text are copies of each other and lose all their windows, whatever their ids; an empty table
-gives no rows; further columns pass through ``remove_repeats``.
+gives no rows; further columns pass through ``remove_repeats``, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lastmile.llm.common import cut, table
+from lastmile.llm.common import cut, given_back, held, held_name, table
 from lastmile.llm.fm_index import FMIndex, matched
 from lastmile.llm.word_hashes import WordHashes, runs
 
@@ -251,9 +251,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         return pd.Series(out, dtype=object)
 
     spans = repeats(docs, key, text, window).select(F.col("id").alias("_id"), F.col("crc").alias("_crc"), F.col("spans").alias("_spans"))
-    of_row = docs.withColumn("_id", F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))).withColumn("_crc", F.coalesce(F.xxhash64(text), F.lit(0)))
+    names, key, text = docs.columns, held_name(key), held_name(text)
+    of_row = held(docs).withColumn("_id", F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))).withColumn("_crc", F.coalesce(F.xxhash64(text), F.lit(0)))
     joined = of_row.join(spans, ["_id", "_crc"], "left")
-    return joined.withColumn(text, F.when(F.col("_spans").isNotNull(), shorter(F.when(F.col("_spans").isNotNull(), F.col(text)), "_spans")).otherwise(F.col(text))).select(*docs.columns)
+    left = F.when(F.col("_spans").isNotNull(), shorter(F.when(F.col("_spans").isNotNull(), F.col(text)), "_spans")).otherwise(F.col(text))
+    return given_back(joined.withColumn(text, left), names)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
