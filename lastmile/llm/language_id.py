@@ -16,12 +16,12 @@ table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,14 +33,13 @@ SMOOTHING = 0.5
 FOLDS, HELD_OUT = 3, 1
 FIT_STEPS = 12
 REFIT_STEPS = 8
-MOST_CANDIDATES = 5
 LEAST_SHARE = 0.02  # a language needs this proportion in the first fit to be a candidate
 OVERLAP = 3  # neighbouring trigrams share letters: this many count as one observation
 PENALTY = 3.0  # times log of the number of observations, per language added
 
 #: Letters in lower case, other bytes of UTF-8 characters as they are, all else a space.
 FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")  # fractions, superscripts and enclosed or Roman numerals are none
 
 
 def grams(text: str) -> np.ndarray:
@@ -101,7 +100,7 @@ def infer(found: np.ndarray, model: np.ndarray) -> tuple[int, float]:
     chosen = [int(singles.argmax())]
     share, best = np.ones(1), singles[chosen[0]]
     first, _ = fit(likelihood, weight, FIT_STEPS)
-    order = [int(k) for k in np.argsort(-first, kind="stable")[:MOST_CANDIDATES] if first[k] >= LEAST_SHARE]
+    order = [int(k) for k in np.argsort(-first, kind="stable") if first[k] >= LEAST_SHARE]
     cost = PENALTY * np.log(max(len(found) / OVERLAP, 2.0))
     for k in order:
         if k in chosen:

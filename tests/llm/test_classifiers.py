@@ -21,11 +21,12 @@ def test_languages_and_mixtures(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     langs, model = L.learn(docs.where(~L.held_out(F.col("doc_id"))))
     mixed = prose(rnd, "aa", 60) + " " + prose(rnd, "bb", 20)
-    asked = spark.createDataFrame([*[r[:2] for r in rows], (900, mixed), (901, None), (902, "12 !! "), (903, "")], "doc_id long, text string")
+    asked = spark.createDataFrame([*[r[:2] for r in rows], (900, mixed), (901, None), (902, "12 !! "), (903, ""), (904, "½ ② Ⅷ² 12 "), (905, "漢")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in L.predict(asked, langs, model).collect()}
     assert sum(got[k]["lang_pred"] == lang for k, _, lang in rows) >= 118
     assert got[900]["lang_pred"] == "aa" and 0.5 < got[900]["score"] < 0.95
-    assert all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k in (901, 902, 903))
+    assert all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k in (901, 902, 903, 904))
+    assert got[905]["lang_pred"] in SYLLABLES
 
 
 def test_language_edge_cases(spark, edge_docs, no_docs, tmp_path):
