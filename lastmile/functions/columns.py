@@ -82,9 +82,9 @@ def cod_fee(payment_type: str | Column, fee: str | Column) -> Column:
 
 
 def cod_tax_split(fee: str | Column) -> tuple[Column, Column]:
-    """M1: (tax base, VAT) of a VAT-inclusive fee: base = fee / 1.1, VAT = base * 0.1, as unrounded
-    decimals; a caller that needs cents rounds them."""
-    base = _c(fee) / F.lit(VAT_DIVISOR).cast("decimal(2,1)")
+    """M1: (tax base, VAT) of a VAT-inclusive fee: base = fee / 1.1, VAT = base * 0.1, as decimals
+    of fifteen places or more, not rounded to cents."""
+    base = _c(fee).cast("decimal(30,12)") / F.lit(VAT_DIVISOR).cast("decimal(2,1)")
     return base, base * F.lit(VAT_RATE).cast("decimal(2,1)")
 
 

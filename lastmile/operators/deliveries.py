@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lastmile.functions.columns import date_literal, is_false, region_side
 from lastmile.operators.joins import partition_total
 from lastmile.sources.domain import Tables
-from lastmile.sources.stored import MONTH, in_order_months
+from lastmile.sources.stored import ADDRESS, MONTH, RIDE, in_order_months
 
 
 def shipped_gmv(t: Tables, full: bool = True, orders: DataFrame | None = None) -> DataFrame:
@@ -55,18 +55,40 @@ def manifest_link(t: Tables) -> DataFrame:
 
 
 def pickup_manifests(t: Tables) -> DataFrame:
-    """Pick-up tasks with their pick-up (report: ``task LEFT JOIN pickup WHERE pickup_id IS NOT NULL``)."""
+    """Pick-up tasks with their pick-up (report: ``task LEFT JOIN pickup WHERE pickup_id IS NOT NULL``).
+
+    Stored pick-ups name their ride and are bucketed by it: the ride is the join's only key there (a further key would
+    ask for an exchange by both), and the pick-up is compared among those of the ride.
+    """
     tk = t.lg_task.where(F.col("pickup_id").isNotNull()).select(F.col("ride_id").alias("tp_ride_id"), "pickup_id")
     p = t.lg_pickup.select(
-        F.col("id").alias("p_id"), F.col("pickup_address_id").alias("tp_pickup_address_id"), F.col("rpb_number")
+        F.col("id").alias("p_id"), F.col("pickup_address_id").alias("tp_pickup_address_id"), F.col("rpb_number"),
+        *[c for c in t.lg_pickup.columns if c == RIDE],
     )
-    return tk.join(p, tk.pickup_id == p.p_id, "left").select(
+    same = tk.pickup_id == p.p_id
+    if RIDE in p.columns:
+        same = (tk.tp_ride_id == p[RIDE]) & tk.pickup_id.between(p.p_id, p.p_id)
+    return tk.join(p, same, "left").select(
         "tp_ride_id", "pickup_id", "tp_pickup_address_id", F.col("rpb_number").alias("manifest_no")
     )
 
 
+def linked_tasks(t: Tables) -> DataFrame:
+    """Stored delivery tasks with the manifest of their ride at their delivery's pick-up address, joined where rides lie."""
+    tk = t.lg_task.where(F.col("delivery_id").isNotNull()).select(F.col("delivery_id").alias("tk_delivery_id"), "ride_id", "driver_id", ADDRESS)
+    tp = pickup_manifests(t)
+    same = (tk.ride_id == tp.tp_ride_id) & tk[ADDRESS].between(tp.tp_pickup_address_id, tp.tp_pickup_address_id)
+    return tk.join(tp, same, "left").drop(ADDRESS, "tp_ride_id", "tp_pickup_address_id")
+
+
 def attach_manifest(d: DataFrame, t: Tables) -> DataFrame:
-    """Left join a delivery-keyed frame (delivery_id, pickup_address_id, ...) to its task and manifest."""
+    """Left join a delivery-keyed frame (delivery_id, pickup_address_id, ...) to its task and manifest.
+
+    ``pickup_address_id`` is the delivery's own; stored tasks hold it too, and deliveries then join the linked tasks.
+    """
+    if ADDRESS in t.lg_task.columns:
+        tk = linked_tasks(t)
+        return d.join(tk, d.delivery_id == tk.tk_delivery_id, "left").drop("tk_delivery_id")
     tk = t.lg_task.select(F.col("delivery_id").alias("tk_delivery_id"), "ride_id", "driver_id")
     x = d.join(tk, d.delivery_id == tk.tk_delivery_id, "left")
     tp = pickup_manifests(t)

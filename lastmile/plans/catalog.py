@@ -353,7 +353,7 @@ def _m1(t):
     o = t.lg_order
     fee = C.cod_fee("payment_type", "delivery_fee_value")
     base, vat = C.cod_tax_split(fee)
-    return o.select("id", money(fee, "cod_fee"), money(F.round(base, 2), "fee_base"), money(F.round(vat, 2), "fee_vat"))
+    return o.select("id", money(fee, "cod_fee"), money(base, "fee_base"), money(vat, "fee_vat"))
 
 
 @query("seller_fees")
@@ -450,11 +450,8 @@ def _j11(t):
 @query("composite_key_join")
 def _j10(t):
     d = t.lg_delivery.select(F.col("id").alias("delivery_id"), "pickup_address_id")
-    tk = t.lg_task.where(F.col("delivery_id").isNotNull()).select(F.col("delivery_id").alias("tk_d"), "ride_id")
-    tp = DL.pickup_manifests(t)
-    x = d.join(tk, d.delivery_id == tk.tk_d).join(
-        tp, (F.col("ride_id") == tp.tp_ride_id) & (F.col("pickup_address_id") == tp.tp_pickup_address_id))
-    return x.select("delivery_id", "ride_id", "manifest_no")
+    # only a match has a pick-up, so the left joins become inner ones
+    return DL.attach_manifest(d, t).where(F.col("pickup_id").isNotNull()).select("delivery_id", "ride_id", "manifest_no")
 
 
 @query("is_false_filter")

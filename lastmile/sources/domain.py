@@ -43,6 +43,7 @@ FULFILMENT_STATUS = {"F": "COMPLETED", "O": "OPEN", "P": "PARTIAL"}
 PAYMENT_DETAIL = {"1": "BANK_TRANSFER_A", "2": "BANK_TRANSFER_B", "3": "VIRTUAL_ACCOUNT_A", "4": None, "5": "CARD"}
 DELIVERY_TAG_STATUS = {"A": "accepted", "N": "pending", "R": "returned"}
 RIDE_ID_SPAN = 1_000_000  # ride id = supplier * 1e6 + yyyymm
+DELIVERY_ID_SPAN = 10_000_000  # delivery id = order * 1e7 + supplier
 BATCH_ID_SPAN = 1_000  # batch id = yyyymm * 1000 + region
 
 
@@ -244,7 +245,7 @@ class Tables:
         sr = self._supplier_region
         base = g.join(o, g.l_orderkey == o.o_orderkey, "left").join(sr, g.l_suppkey == sr.s_suppkey, "left")
         return _keep(base.select(
-            F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_suppkey").cast("string")).alias("id"),
+            (F.col("l_orderkey") * DELIVERY_ID_SPAN + F.col("l_suppkey")).alias("id"),
             F.col("l_orderkey").alias("order_id"),
             F.col("l_suppkey").alias("supplier"),
             F.when(F.col("o_orderstatus") == "F", F.lit("done")).otherwise(F.lit("open")).alias("status"),
@@ -253,7 +254,7 @@ class Tables:
             ),
             F.col("o_custkey").alias("delivery_address_id"),
             F.col("tag").alias("delivery_tag_id"),
-            # 64-bit surrogate ids: ride = (supplier, month), batch = (month, region)
+            # 64-bit surrogate ids, as the delivery's: ride = (supplier, month), batch = (month, region)
             (F.col("l_suppkey") * RIDE_ID_SPAN + yyyymm).alias("ride_id"),
             F.concat_ws("-", F.col("l_suppkey").cast("string"), month).alias("manifest_no"),
             month.alias("ride_month"),
@@ -354,7 +355,7 @@ class Tables:
             F.col("supplier").alias("driver_id"),
         )
         pick_up = self._rides.select(
-            _null("string").alias("delivery_id"),
+            _null("bigint").alias("delivery_id"),
             "ride_id",
             F.col("ride_id").alias("pickup_id"),
             F.col("supplier").alias("driver_id"),

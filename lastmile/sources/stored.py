@@ -34,6 +34,13 @@ BUCKET_KEYS = {
     "lg_provider_order_mappings": "order_id",
 }
 
+#: Column that a stored task has besides: the pick-up address of its delivery.
+ADDRESS = "delivery_pickup_address_id"
+#: Column that a stored pick-up has besides: the ride that serves it.
+RIDE = "pickup_ride_id"
+# ride-keyed tables and their ride key
+RIDE_KEYS = {"lg_ride": "id", "lg_task": "ride_id", "lg_pickup": RIDE}
+
 DOMAIN_TABLES = tuple(n for n in dir(Tables) if n.startswith(("mk_", "lg_")))
 
 #: Partition column of the order-keyed tables: the month of the order, in the reports' local time.
@@ -72,19 +79,37 @@ def with_order_month(t: Tables, name: str) -> DataFrame:
     return rows.join(orders, rows[BUCKET_KEYS[name]] == orders["__of"], "left").drop("__of")
 
 
+def with_ride_columns(t: Tables, name: str) -> DataFrame:
+    """A ride-keyed table with what the manifest link compares: tasks their delivery's address, pick-ups their ride.
+
+    A pick-up that several rides serve has a row for each, one that none serves a row without a ride.
+    """
+    rows = getattr(t, name)
+    if name == "lg_task":
+        to = t.lg_delivery.select(F.col("id").alias("__of"), F.col("pickup_address_id").alias(ADDRESS))
+        return rows.join(to, F.col("delivery_id") == F.col("__of"), "left").drop("__of")
+    if name == "lg_pickup":
+        by = t.lg_task.where(F.col("pickup_id").isNotNull()).select(F.col("pickup_id").alias("__of"), F.col("ride_id").alias(RIDE))
+        return rows.join(by.distinct(), F.col("id") == F.col("__of"), "left").drop("__of")
+    return rows
+
+
 def save_domain(t: Tables, prefix: str, location: str, buckets: int, names=DOMAIN_TABLES, by_month: bool = False) -> None:
     """Write the domain tables of ``t`` as catalog tables ``<prefix>_<name>`` stored under ``location``.
 
     ``by_month`` also partitions the order-keyed tables by the month of their order, which is carried into every
     one of them: a report's date window then reads only its months, of units and lines as of orders. Rows are
     dealt by the bucket key first, so a month has one file per bucket. Meant for months of many gigabytes.
+
+    Rides, tasks and pick-ups are bucketed by ride id, so the manifest link joins them where they are.
     """
     for name in names:
         key = BUCKET_KEYS.get(name)
-        rows = with_order_month(t, name).repartition(buckets, key) if key and by_month else getattr(t, name)
+        rows = with_order_month(t, name).repartition(buckets, key) if key and by_month else with_ride_columns(t, name)
         writer = rows.write.mode("overwrite").option("path", f"{location.rstrip('/')}/{name}")
         if key and by_month:
             writer = writer.partitionBy(MONTH)
+        key = key or RIDE_KEYS.get(name)
         if key:
             writer = writer.bucketBy(buckets, key).sortBy(key)
         writer.saveAsTable(f"{prefix}_{name}")

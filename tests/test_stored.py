@@ -94,3 +94,39 @@ def test_the_chain_of_rides_is_planned_once(spark, by_month):
     # the orders of listed buyers are found once, before units and fulfilments are read
     counted = Counter(name for name, _ in scans(R.buyer_orders(by_month, "19960101", "20000101", P.VALUE_CAP, buyers=P.SELECTED_BUYERS)))
     assert counted["mk_order"] == 0 and counted["mk_order_unit"] == 1
+
+
+def test_the_manifest_link_joins_rides_where_they_lie(spark, tmp_path):
+    names = ("lg_delivery", "lg_task", "lg_pickup", "lg_ride")
+    derived = Tables(spark, SMOKE_DIR)
+    save_domain(derived, "t_rides", str(tmp_path), 4, names=names)
+    stored = StoredTables(spark, "t_rides")
+    for name in ("manifest_link", "composite_key_join"):
+        assert _rows(plans()[name](stored)) == _rows(plans()[name](derived)) != [], name
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        linked = DL.linked_tasks(stored)
+        linked.collect()
+        acc = Counter()
+        walk(linked._jdf.queryExecution().executedPlan(), acc, [])
+        assert acc["SortMergeJoin Inner"] == acc["SortMergeJoin LeftOuter"] == 1 and acc["Exchange"] == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+
+
+def test_a_ride_with_several_pickups_and_a_pickup_of_two_rides(spark, tables, tmp_path):
+    t = tables(
+        lg_delivery=("id long, order_id long, pickup_address_id long", [(1, 10, 7), (2, 11, 9), (3, 12, 5), (4, 13, None), (5, 14, 7)]),
+        lg_task=("delivery_id long, ride_id long, pickup_id long, driver_id long",
+                 [(1, 100, None, 1), (2, 100, None, 1), (3, 100, None, 1), (4, 100, None, 1), (1, 200, None, 2),
+                  (None, 100, 50, 1), (None, 100, 60, 1), (None, 200, 50, 2), (None, 300, 80, 3)]),
+        lg_pickup=("id long, pickup_address_id long, rpb_number string", [(50, 7, "M-1"), (60, 9, None), (70, 5, "M-3")]),
+        lg_ride=("id long", [(100,), (200,), (300,)]),
+    )
+    save_domain(t, "t_several", str(tmp_path), 2, names=("lg_delivery", "lg_task", "lg_pickup", "lg_ride"))
+    stored = StoredTables(spark, "t_several")
+    want = [(1, 10, 100, 50, "M-1"), (1, 10, 200, 50, "M-1"), (2, 11, 100, 60, None), (3, 12, 100, None, None),
+            (4, 13, 100, None, None), (5, 14, None, None, None)]
+    assert _rows(DL.manifest_link(stored)) == _rows(DL.manifest_link(t)) == sorted(map(str, want))
+    assert _rows(plans()["composite_key_join"](stored)) == sorted(map(str, [(1, 100, "M-1"), (1, 200, "M-1"), (2, 100, None)]))
