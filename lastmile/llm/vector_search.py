@@ -6,13 +6,17 @@ Every vector is put into the list of its nearest centroid and, if it lies near a
 of other centroids hardly further away.
 
 Search. A query walks the centroid graph, and reads the lists whose centroids are not much further away than
-its nearest (distance ratio). Lists and the queries that read them are dealt out in blocks of bounded
-size, so a list with a third of all vectors is searched by many tasks. Each block gives its best per query;
-these are merged.
+its nearest (distance ratio), however many these are, and goes on to the next ones while those read hold too
+few ids for a full answer. The ratio is the one at which a few queries reach nearly all neighbours that they have in the fitting sample. Lists and the
+queries that read them are dealt out in blocks of bounded size, so a long list is searched by many tasks.
+Each block gives its best per query; these are merged.
+
+Equal vectors. They tie with every query, and ties go to smaller ids: of each vector the smallest ids, one more than
+an answer has, are put into lists. No answer changes, and a vector that a third of all rows share fills no lists.
 
 The largest inner product is found as the least distance: vectors get one more component that
-brings them all to the same norm; queries get zero there. Scores are inner products of the given vectors in
-double precision.
+brings them all to the same norm; queries are brought to that norm and get zero there. Scores are inner products of the
+given vectors in double precision.
 
 Defined cases: vectors null, zero, with null or non-finite components or with another number of components
 than most have take no part, nor do rows without an id; repeated ids count once, with their best
@@ -22,7 +26,7 @@ further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lastmile.llm.common import cut, table
+from lastmile.llm.common import cut, stored, table
 
 NEIGHBOURS = 20
 QUERY_STEP = 20
@@ -41,8 +45,8 @@ DEGREE = 16  # edges of a centroid in the graph
 BEAM = 96  # centroids that a walk keeps
 MOST_COPIES = 4
 COPY_RATIO = 1.06  # a vector is also put into lists at up to this times its least distance
-MOST_LISTS = 64
-READ_RATIO = 1.25  # a query reads lists at up to this times its least distance
+FITTED_QUERIES = 256  # queries that the reading ratio is fitted on
+REACHED = 0.98  # share of their neighbours in the sample that the reading ratio reaches
 BLOCK = 4096  # vectors, and queries, of a list that one task compares
 
 
@@ -64,6 +68,12 @@ def bisect(points: np.ndarray, lists: int, rng: np.random.Generator) -> np.ndarr
     return np.vstack([bisect(points[order[:cut_at]], left, rng), bisect(points[order[cut_at:]], lists - left, rng)])
 
 
+def merged(centroids: np.ndarray) -> np.ndarray:
+    """The centroids, those that coincide but for rounding once."""
+    scale = np.abs(centroids).max() or 1.0
+    return centroids[np.sort(np.unique(np.round(centroids / scale, 9), axis=0, return_index=True)[1])]
+
+
 class CentroidGraph:
     """Centroids, each joined to its nearest ones and a few at random, and a beam search over them."""
 
@@ -84,8 +94,12 @@ class CentroidGraph:
         dots = np.einsum("qd,qcd->qc", points, self.centroids[which])
         return np.maximum((points**2).sum(axis=1)[:, None] + self.square[which] - 2 * dots, 0)
 
-    def search(self, points: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest centroids found per point and their distances, nearest first."""
+    def search(self, points: np.ndarray, width: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest centroids found per point by a walk that keeps ``width``, and their distances, nearest first."""
+        if width >= len(self.centroids):
+            dist = np.maximum((points**2).sum(axis=1)[:, None] + self.square - 2 * points @ self.centroids.T, 0)
+            order = np.argsort(dist, axis=1, kind="stable")
+            return order, np.sqrt(np.take_along_axis(dist, order, axis=1))
         rows = np.arange(len(points))
         beam = np.tile(self.entries, (len(points), 1))
         seen = np.zeros((len(points), len(self.centroids)), bool)
@@ -103,40 +117,85 @@ class CentroidGraph:
             seen[rows[:, None], after] = True
             far = np.where(fresh, self.distances(points, after), np.inf)
             beam, dist, walked = np.hstack([beam, after]), np.hstack([dist, far]), np.hstack([walked, ~fresh])
-            if beam.shape[1] > BEAM:
-                keep = np.argpartition(dist, BEAM, axis=1)[:, :BEAM]
+            if beam.shape[1] > width:
+                keep = np.argpartition(dist, width, axis=1)[:, :width]
                 beam, dist, walked = (np.take_along_axis(x, keep, axis=1) for x in (beam, dist, walked))
-        order = np.argsort(dist, axis=1, kind="stable")[:, :most]
+        order = np.argsort(dist, axis=1, kind="stable")
         return np.take_along_axis(beam, order, axis=1), np.sqrt(np.take_along_axis(dist, order, axis=1))
 
+    def homes(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(point, list) for each list that a vector is put into."""
+        near, far = (x[:, :MOST_COPIES] for x in self.search(points))
+        row, col = np.nonzero((far <= far[:, :1] * COPY_RATIO + 1e-12) & np.isfinite(far))
+        return row, near[row, col]
+
+    def read_by(self, points: np.ndarray, ratio: float, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(point, list) for each list that a query reads: all within the ratio, and the next ones while fewer ids than
+        an answer and the query's own are in those before. A walk whose last centroid is still wanted is repeated wider."""
+        todo, width, out = np.arange(len(points)), BEAM, [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        while len(todo):
+            near, far = self.search(points[todo], width)
+            found = np.isfinite(far)
+            held = np.cumsum(np.where(found, sizes[near], 0), axis=1)
+            within = found & (far <= far[:, :1] * ratio + 1e-12)
+            short = np.hstack([np.ones((len(todo), 1), bool), held[:, :-1] <= NEIGHBOURS])
+            done = (held[:, -1] > NEIGHBOURS) & ~within[:, -1] if width < len(self.centroids) else np.ones(len(todo), bool)
+            row, col = np.nonzero((within | (short & found)) & done[:, None])
+            out.append((todo[row], near[row, col]))
+            todo, width = todo[~done], 4 * width
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def fitted_ratio(graph: CentroidGraph, queries: pa.Table, sample: pa.Table, norm: float, count: int) -> float:
+    """The distance ratio at which the queries reach their neighbours in the sample, as near as an answer's are among ``count``."""
+    depth = min(max(1, -(-NEIGHBOURS * len(sample) // count)), len(sample) - 1)
+    if depth < 1 or not len(queries):
+        return 1.0
+    vectors, wanted = columns(sample), columns(queries)
+    scores = wanted @ vectors.T
+    scores[queries["vec_id"].to_numpy()[:, None] == sample["vec_id"].to_numpy()] = -np.inf
+    near = np.argpartition(-scores, depth - 1, axis=1)[:, :depth].ravel()
+    query, home = graph.homes(lifted(vectors[near], norm))
+    points = asked(wanted, norm)
+    dist = np.sqrt(graph.distances(points[query // depth], home[:, None])[:, 0])
+    dist = np.minimum.reduceat(dist, np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1]))))  # of a neighbour's lists the nearest
+    least = graph.search(points, len(graph.centroids))[1][:, 0]
+    return float(max(1.0, np.quantile(dist / np.maximum(np.repeat(least, depth), 1e-12), REACHED)))
+
 
 def lifted(vectors: np.ndarray, norm: float) -> np.ndarray:
     rest = np.maximum(norm**2 - (vectors**2).sum(axis=1), 0)
     return np.hstack([vectors, np.sqrt(rest)[:, None]])
 
 
+def asked(queries: np.ndarray, norm: float) -> np.ndarray:
+    """Queries brought to ``norm``, which changes no order of their neighbours, with a zero component."""
+    length = np.sqrt((queries**2).sum(axis=1, keepdims=True))
+    return np.hstack([queries * (norm / length), np.zeros((len(queries), 1))])
+
+
 def stacked(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def listed(vectors: DataFrame, centroids, norm: float, most: int, ratio: float, is_query: bool) -> DataFrame:
-    """(list, vec_id, vector): a row for each list that a vector is put into, or that a query reads."""
+def columns(rows: pa.Table) -> np.ndarray:
+    return stacked(rows["vector"].combine_chunks())
+
+
+def listed(vectors: DataFrame, kind: str, lists_of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(list, vec_id, vector): a row for each list that ``lists_of`` names for a vector."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = CentroidGraph(centroids.value)
         for whole in batches:
             for k in range(0, len(whole), 512):
                 batch = whole.slice(k, 512)
-                points = stacked(batch.column(1))
-                points = np.hstack([points, np.zeros((len(points), 1))]) if is_query else lifted(points, norm)
-                near, far = graph.search(points, most)
-                row, col = np.nonzero((far <= far[:, :1] * ratio + 1e-12) & np.isfinite(far))
+                row, where = lists_of(stacked(batch.column(1)))
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(near[row, col].astype(np.int32)), batch.column(0).take(take), batch.column(1).take(take)], names=["list", "vec_id", "vector"]
+                    [pa.array(where.astype(np.int32)), batch.column(0).take(take), batch.column(1).take(take)], names=["list", "vec_id", "vector"]
                 )
 
-    return vectors.select("vec_id", "vector").mapInArrow(place, "list int, vec_id long, vector array<double>")
+    return vectors.select("vec_id", "vector").mapInArrow(place, f"list int, vec_id long, vector array<{kind}>")
 
 
 def compare(lists: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
@@ -144,11 +203,11 @@ def compare(lists: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
     out = {"query_id": [], "vec_id": [], "score": []}
     if len(lists) and len(queries):
         lists = lists.sort_values("vec_id", kind="stable")
-        vectors, ids = np.stack(lists["vector"].to_numpy()), lists["vec_id"].to_numpy()
+        vectors, ids = np.stack(lists["vector"].to_numpy()).astype(np.float64), lists["vec_id"].to_numpy()
         of_id = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
         for k in range(0, len(queries), 256):
             part = queries.iloc[k : k + 256]
-            wanted = np.stack(part["vector"].to_numpy())
+            wanted = np.stack(part["vector"].to_numpy()).astype(np.float64)
             rough = wanted @ vectors.T
             for query, vector, scores in zip(part["vec_id"].to_numpy(), wanted, rough, strict=True):
                 scores[ids == query] = -np.inf
@@ -168,36 +227,47 @@ def compare(lists: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
 
 def nearest(table_of: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest rows found for each row that is a query."""
+    kind = "float" if table_of.schema[vector].dataType.elementType.typeName() == "float" else "double"
     rows = table_of.where(F.col(key).isNotNull() & usable(F.col(vector))).select(
-        F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"), is_query.alias("is_query")
+        F.col(key).cast("long").alias("vec_id"), F.col(vector).cast(f"array<{kind}>").alias("vector"), is_query.alias("is_query")
     )
-    sizes = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    empty = "query_id long, rank int, vec_id long, score double"
+    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    sizes = rows.groupBy(F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("count"), F.sqrt(F.max(square)).alias("norm"))
+    sizes = sizes.orderBy(F.desc("count"), "size").first()
+    spark = table_of.sparkSession
     if sizes is None:
-        return table_of.sparkSession.createDataFrame([], empty)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    norm = sizes["norm"]
     rows = rows.where(F.size("vector") == sizes["size"])
-    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    norm, count = rows.agg(F.sqrt(F.max(square)), F.count(F.lit(1))).first()
+    # a row number with a limit is applied before the shuffle too, so a vector of many rows meets as a few per task
+    place = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
+    candidates = stored(rows.select("vec_id", "vector").distinct().withColumn("place", place).where(F.col("place") <= NEIGHBOURS + 1).drop("place"))
+    count = candidates.count()
     drawn = F.shiftrightunsigned(F.xxhash64(F.lit(11), "vec_id"), 11) / F.lit(float(1 << 53))
-    sample = np.array([r["vector"] for r in rows.where(drawn < MOST_SAMPLE / count).select("vector").collect()]).reshape(-1, sizes["size"])
+    sample = candidates.where(drawn < MOST_SAMPLE / count).toArrow().sort_by("vec_id")
+    queries = rows.where("is_query").select("vec_id", "vector").distinct()
+    fitted = queries.orderBy(F.xxhash64(F.lit(13), "vec_id"), "vector").limit(FITTED_QUERIES).toArrow()
     lists = max(1, min(count // LIST_SIZE, len(sample) // SAMPLE_PER_LIST))
-    centroids = bisect(lifted(sample, norm), lists, np.random.default_rng(5)) if len(sample) else np.zeros((1, sizes["size"] + 1))
-    shared = table_of.sparkSession.sparkContext.broadcast(centroids)
-
-    postings = listed(rows, shared, norm, MOST_COPIES, COPY_RATIO, False)
-    readers = listed(rows.where("is_query"), shared, norm, MOST_LISTS, READ_RATIO, True)
+    graph = CentroidGraph(merged(bisect(lifted(columns(sample), norm), lists, np.random.default_rng(5))) if len(sample) else np.zeros((1, sizes["size"] + 1)))
+    ratio = fitted_ratio(graph, fitted, sample, norm, count)
+    shared = spark.sparkContext.broadcast(graph)
+
+    postings = cut(listed(candidates, kind, lambda points: shared.value.homes(lifted(points, norm))))
+    # every id counts in one of the lists that hold it, so lists with so many ids together hold as many different ones
+    of_list = dict(postings.groupBy("vec_id").agg(F.min("list").alias("list")).groupBy("list").count().collect())
+    ids_in = np.array([of_list.get(k, 0) for k in range(len(graph.centroids))])
+    readers = cut(listed(queries, kind, lambda points: shared.value.read_by(asked(points, norm), ratio, ids_in)))
     parts = lambda df, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
-    postings, readers = cut(postings), cut(readers)
     blocks = cut(parts(postings, "vector_blocks").join(parts(readers, "query_blocks"), "list"))
     own = lambda name: F.pmod(F.xxhash64("vec_id"), F.col(name)).cast("int")
     every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
     held = postings.join(blocks, "list").withColumn("i", own("vector_blocks")).withColumn("j", every("query_blocks"))
-    asked = readers.join(blocks, "list").withColumn("j", own("query_blocks")).withColumn("i", every("vector_blocks"))
+    reading = readers.join(blocks, "list").withColumn("j", own("query_blocks")).withColumn("i", every("vector_blocks"))
     block = ["list", "i", "j"]
     found = (
         held.select(*block, "vec_id", "vector")
         .groupBy(*block)
-        .cogroup(asked.select(*block, "vec_id", "vector").groupBy(*block))
+        .cogroup(reading.select(*block, "vec_id", "vector").groupBy(*block))
         .applyInPandas(lambda a, b: compare(a, b), "query_id long, vec_id long, score double")
     )
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

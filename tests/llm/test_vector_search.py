@@ -63,3 +63,46 @@ def test_repeated_rows_take_no_places(spark):
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
     assert {k: [x[1] for x in sorted(v)] for k, v in got.items()} == want
     assert all(len(v) == 20 for v in want.values())
+
+
+def test_a_third_of_equal_vectors_and_lists_with_too_few_ids(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(V, "LIST_SIZE", 9)  # fewer than an answer: every query goes on to further lists
+    monkeypatch.setattr(V, "SAMPLE_PER_LIST", 4)
+    rows = [(k, rng.normal(size=8).astype(np.float32).tolist(), 0) for k in range(1200)]
+    rows += [(1200 + k, rows[40][1], 0) for k in range(600)]
+    want = exact(rows, 20)
+    got = {}
+    for r in V.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert {k: len(v) for k, v in got.items()} == {k: 20 for k in want}
+    hit = sum(len({x[0] for x in found} & {x[1] for x in got[k]}) for k, found in want.items())
+    assert hit >= 0.95 * 20 * len(want)
+    for k in [40, *range(1200, 1800, 20)]:
+        assert [x[1] for x in sorted(got[k])] == [x[0] for x in want[k]]
+
+
+def test_lists_within_the_ratio_are_all_read():
+    rng = np.random.default_rng(2)
+    graph = V.CentroidGraph(rng.normal(size=(700, 6)))
+    points = rng.normal(size=(40, 6))
+    row, where = graph.read_by(points, 50.0, np.full(700, 100))  # wider than any walk's first beam
+    assert len(row) == 40 * 700
+    row, where = graph.read_by(points, 1.0, np.full(700, 1))  # one id a list: twenty and the query's own
+    assert np.bincount(row).tolist() == [V.NEIGHBOURS + 1] * 40
+    nearest = np.argsort(((points[:, None] - graph.centroids) ** 2).sum(axis=2), axis=1)[:, : V.NEIGHBOURS + 1]
+    assert np.mean([len(set(where[row == k]) & set(nearest[k])) for k in range(40)]) >= 0.95 * (V.NEIGHBOURS + 1)
+    row, _ = graph.read_by(points, 1.0, np.zeros(700, int))  # too few ids in all of them
+    assert len(row) == 40 * 700
+
+
+def test_coinciding_centroids_are_one():
+    c = np.array([[1.0, 2.0], [1.0, 2.0 + 1e-14], [3.0, 4.0], [1.0, 2.0]])
+    assert V.merged(c).tolist() == [[1.0, 2.0], [3.0, 4.0]]
+
+
+def test_clashing_columns_are_ignored(spark):
+    rows = [(k, [1.0 + k, 2.0], "x", 9, 9) for k in range(30)]
+    plain = V.nearest(spark.createDataFrame([r[:2] for r in rows], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0)
+    more = V.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, vector string, is_query int, place int"), F.col("vec_id") % 20 == 0)
+    assert sorted(plain.collect()) == sorted(more.collect()) != []
