@@ -44,9 +44,9 @@ SAMPLE_PER_LIST = 8  # fewer vectors of the sample make no centroid
 DEGREE = 16  # edges of a centroid in the graph
 BEAM = 96  # centroids that a walk keeps
 MOST_COPIES = 4
-COPY_RATIO = 1.06  # a vector is also put into lists at up to this times its least distance
+COPY_RATIO = 1.01  # a vector is also put into lists at up to this times its least distance
 FITTED_QUERIES = 256  # queries that the reading ratio is fitted on
-REACHED = 0.98  # share of their neighbours in the sample that the reading ratio reaches
+REACHED = 0.95  # share of their neighbours in the sample that the reading ratio reaches
 BLOCK = 4096  # vectors, and queries, of a list that one task compares
 
 
