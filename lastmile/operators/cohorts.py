@@ -30,7 +30,7 @@ def adoption_rows(
         F.col("id").alias("o_id"), "transaction_id", "created_at"
     )
     tr = t.mk_transaction.where(F.col("deleted").isNull()).select(F.col("id").alias("t_id"), "buyer_store_id")
-    b = t.mk_buyer_store.select(F.col("id").alias("b_id"), "unique_id")
+    b = t.mk_store.select(F.col("id").alias("b_id"), "unique_id")
     x = f.join(o, f.f_order_id == o.o_id).join(tr, F.col("transaction_id") == tr.t_id)
     return x.join(b, x.buyer_store_id == b.b_id, "left").select("unique_id", "created_at")
 

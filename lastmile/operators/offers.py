@@ -22,7 +22,7 @@ def active_offers(t: Tables, sellers: list[str] | DataFrame | None = None) -> Da
     inv = t.mk_inventory.where(F.col("is_active") & F.col("deleted").isNull()).select(
         F.col("id").alias("inv_id"), F.col("product_unit_id").alias("inv_pu"), "store_id"
     )
-    s = t.mk_seller_store.where(F.col("is_active")).select(F.col("id").alias("s_id"), F.col("unique_id").alias("store_code"))
+    s = t.mk_store.where(F.col("is_active")).select(F.col("id").alias("s_id"), F.col("unique_id").alias("store_code"))
     if sellers is not None:
         if isinstance(sellers, DataFrame):
             s = s.join(sellers.select(F.col("unique_id").alias("__code")), F.col("store_code") == F.col("__code"), "left_semi")

@@ -155,7 +155,7 @@ def with_area(df: DataFrame, t: Tables, city_id: str, city: str = "city", provin
 
 def _of_buyers(orders: DataFrame, t: Tables, buyers: list[str] | DataFrame, months: Months) -> DataFrame:
     """The orders of the listed buyers, kept once: units, fulfilments and the fact itself are joined to them."""
-    store = t.mk_buyer_store.select(F.col("id").alias("w_id"), "unique_id")
+    store = t.mk_store.select(F.col("id").alias("w_id"), "unique_id")
     if isinstance(buyers, DataFrame):
         store = store.join(buyers.select("unique_id"), "unique_id", "left_semi")
     else:
@@ -227,7 +227,7 @@ def order_fact(
     # the reports read FROM transaction, so an order without its transaction drops (inner)
     x = x.join(tr, x.transaction_id == tr.t_id).join(pay, F.col("t_id") == pay.p_t_id, "left")
 
-    s = t.mk_buyer_store.select(
+    s = t.mk_store.select(
         F.col("id").alias("s_id"), "unique_id", "address_city_id", "address_latitude", "address_longitude", "fee_group_id"
     )
     x = x.join(s, x.buyer_store_id == s.s_id, "left")
@@ -235,7 +235,7 @@ def order_fact(
     x = x.join(fg, x.fee_group_id == fg.fg_id, "left")
     x = with_area(x, t, "address_city_id")
     if with_seller:
-        sel = t.mk_seller_store.select(F.col("id").alias("sel_id"), F.col("unique_id").alias("seller_unique_id"))
+        sel = t.mk_store.select(F.col("id").alias("sel_id"), F.col("unique_id").alias("seller_unique_id"))
         x = x.join(sel, x.seller_store_id == sel.sel_id, "left")
 
     if buyers is not None:

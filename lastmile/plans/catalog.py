@@ -316,7 +316,7 @@ def _d20(t):
 @query("acquisition_channel")
 def _d21(t):
     tr = t.mk_transaction.select(F.col("id").alias("order_id"), "buyer_store_id")
-    s = t.mk_buyer_store.select(F.col("id").alias("s_id"), "fee_group_id")
+    s = t.mk_store.select(F.col("id").alias("s_id"), "fee_group_id")
     fg = t.mk_fee_group.select(F.col("id").alias("fg_id"), F.col("name").alias("fee_group"))
     x = tr.join(s, tr.buyer_store_id == s.s_id, "left").join(fg, F.col("fee_group_id") == fg.fg_id, "left")
     return x.select("order_id", "fee_group", C.acquisition_channel("fee_group").alias("acquisition_channel"))
@@ -337,7 +337,7 @@ def _d23(t):
 
 @query("area_hierarchy")
 def _d24(t):
-    s = t.mk_buyer_store.select("id", "unique_id", "address_city_id")
+    s = t.mk_store.select("id", "unique_id", "address_city_id")
     return O.with_area(s, t, "address_city_id").select("id", "unique_id", "city", "province")
 
 
@@ -406,14 +406,14 @@ def _j9(t):
 
 @query("semi_join_cohort")
 def _j4(t):
-    s = t.mk_buyer_store.select("id", "unique_id")
+    s = t.mk_store.select("id", "unique_id")
     c = CO.adopter_cohort(t, P.ADOPTION_FROM, P.ADOPTION_TO)
     return s.join(c, "unique_id", "left_semi").select("id", "unique_id")
 
 
 @query("anti_join_cohort")
 def _j6(t):
-    s = t.mk_buyer_store.select("id", "unique_id")
+    s = t.mk_store.select("id", "unique_id")
     c = CO.adopter_cohort(t, P.ADOPTION_FROM, P.ADOPTION_TO)
     return s.join(c, "unique_id", "left_anti").select("id", "unique_id")
 
@@ -423,7 +423,7 @@ def _j7(t):
     fu = CO.first_use_cohort(t, P.ADOPTION_FROM, P.ADOPTION_TO)
     tr = t.mk_transaction.select(F.col("id").alias("t_id"), "buyer_store_id")
     o = t.mk_order.select(F.col("id").alias("order_id"), "transaction_id", "created_at")
-    s = t.mk_buyer_store.select(F.col("id").alias("s_id"), "unique_id")
+    s = t.mk_store.select(F.col("id").alias("s_id"), "unique_id")
     x = o.join(tr, o.transaction_id == tr.t_id).join(s, F.col("buyer_store_id") == s.s_id)
     x = x.join(fu, (x.unique_id == fu.unique_id) & (x.created_at >= fu.order_date)).drop(fu.unique_id)
     return x.select("order_id", "unique_id", "created_at", F.col("order_date").alias("first_use"))
@@ -443,7 +443,7 @@ def _j11(t):
         F.col("id").alias("city_id"), "parent_area_id", F.col("name").alias("city_name"))
     p = t.mk_address_area.select(F.col("id").alias("p_id"), F.col("name").alias("province_name"))
     x = a.join(p, a.parent_area_id == p.p_id, "left")
-    s = t.mk_buyer_store.select(F.col("id").alias("store_id"), "address_city_id")
+    s = t.mk_store.select(F.col("id").alias("store_id"), "address_city_id")
     return s.join(x, s.address_city_id == x.city_id, "left").select("store_id", "city_name", "province_name")
 
 

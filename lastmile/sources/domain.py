@@ -42,6 +42,7 @@ FULFILMENT_METHODS = {"A": "PLATFORM", "N": "SELF_PICKUP", "R": "STORE_COURIER"}
 FULFILMENT_STATUS = {"F": "COMPLETED", "O": "OPEN", "P": "PARTIAL"}
 PAYMENT_DETAIL = {"1": "BANK_TRANSFER_A", "2": "BANK_TRANSFER_B", "3": "VIRTUAL_ACCOUNT_A", "4": None, "5": "CARD"}
 DELIVERY_TAG_STATUS = {"A": "accepted", "N": "pending", "R": "returned"}
+SELLER_STORES_FROM = 1_000_000_000_000  # store id of a buyer = customer key, of a seller = 1e12 + supplier key
 RIDE_ID_SPAN = 1_000_000  # ride id = supplier * 1e6 + yyyymm
 DELIVERY_ID_SPAN = 10_000_000  # delivery id = order * 1e7 + supplier
 BATCH_ID_SPAN = 1_000  # batch id = yyyymm * 1000 + region
@@ -63,6 +64,10 @@ def _keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def _seller_store(supplier: str) -> Column:
+    return F.col(supplier) + F.lit(SELLER_STORES_FROM)
+
+
 def _money(col: str | Column) -> Column:
     return (F.col(col) if isinstance(col, str) else col).cast(MONEY)
 
@@ -92,12 +97,12 @@ class Tables:
 
     @cached_property
     def mk_order(self) -> DataFrame:
-        seller = self.star.lineitem.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("seller_store_id"))
+        seller = self.star.lineitem.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("first_seller"))
         o = self.star.orders.select("o_orderkey", "o_orderdate")
         return o.join(seller, o.o_orderkey == seller.l_orderkey, "left").select(
             F.col("o_orderkey").alias("id"),
             F.col("o_orderkey").alias("transaction_id"),
-            F.col("seller_store_id"),
+            _seller_store("first_seller").alias("seller_store_id"),
             F.col("o_orderdate").alias("created_at"),
             _null(NTZ).alias("deleted"),
         )
@@ -126,28 +131,23 @@ class Tables:
         )
 
     @cached_property
-    def mk_buyer_store(self) -> DataFrame:
-        return self.star.customer.select(
-            F.col("c_custkey").alias("id"),
-            F.col("c_name").alias("unique_id"),
-            F.col("c_nationkey").cast("bigint").alias("address_city_id"),
-            F.col("c_acctbal").alias("address_latitude"),
-            (-F.col("c_acctbal")).alias("address_longitude"),
-            F.col("c_mktsegment").alias("fee_group_id"),
-            F.lit(True).alias("is_active"),
-        )
+    def mk_store(self) -> DataFrame:
+        """All stores, those that buy and those that sell; orders and offers name both by their store id."""
 
-    @cached_property
-    def mk_seller_store(self) -> DataFrame:
-        return self.star.supplier.select(
-            F.col("s_suppkey").alias("id"),
-            F.col("s_name").alias("unique_id"),
-            F.col("s_nationkey").cast("bigint").alias("address_city_id"),
-            F.col("s_acctbal").alias("address_latitude"),
-            (-F.col("s_acctbal")).alias("address_longitude"),
-            _null("string").alias("fee_group_id"),
-            (F.col("s_suppkey") % 10 != 9).alias("is_active"),
-        )
+        def stores(rows: DataFrame, prefix: str, store_id: Column, fee_group: Column, is_active: Column) -> DataFrame:
+            return rows.select(
+                store_id.alias("id"),
+                F.col(f"{prefix}_name").alias("unique_id"),
+                F.col(f"{prefix}_nationkey").cast("bigint").alias("address_city_id"),
+                F.col(f"{prefix}_acctbal").alias("address_latitude"),
+                (-F.col(f"{prefix}_acctbal")).alias("address_longitude"),
+                fee_group.alias("fee_group_id"),
+                is_active.alias("is_active"),
+            )
+
+        buyers = stores(self.star.customer, "c", F.col("c_custkey"), F.col("c_mktsegment"), F.lit(True))
+        sellers = stores(self.star.supplier, "s", _seller_store("s_suppkey"), _null("string"), F.col("s_suppkey") % 10 != 9)
+        return buyers.unionByName(sellers)
 
     @cached_property
     def mk_fee_group(self) -> DataFrame:
@@ -212,7 +212,7 @@ class Tables:
         return _keep(g.select(
             F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("id"),
             F.col("l_partkey").alias("product_unit_id"),
-            F.col("l_suppkey").alias("store_id"),
+            _seller_store("l_suppkey").alias("store_id"),
             _money("price").alias("unit_price"),
             ((F.col("l_partkey") + F.col("l_suppkey")) % 10 != 0).alias("is_active"),
         ))

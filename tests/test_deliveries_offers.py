@@ -72,7 +72,7 @@ def test_offers_price_gap(tables):
         mk_inventory=("id string, product_unit_id long, store_id long, is_active boolean, deleted timestamp_ntz",
                       [("i1", 1, 10, True, None), ("i2", 1, 11, True, None), ("i3", 2, 10, False, None),
                        ("i4", 3, 12, True, None)]),
-        mk_seller_store=("id long, unique_id string, is_active boolean", [(10, "S10", True), (11, "S11", True), (12, "S12", False)]),
+        mk_store=("id long, unique_id string, is_active boolean", [(10, "S10", True), (11, "S11", True), (12, "S12", False)]),
         mk_price_tier=("inventory_id string, unit_price decimal(18,2), is_active boolean, deleted timestamp_ntz",
                        [("i1", Dec("8.00"), True, None), ("i2", Dec("12.00"), True, None), ("i3", Dec("1.00"), True, None),
                         ("i4", Dec("1.00"), True, None)]),

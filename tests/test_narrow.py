@@ -7,6 +7,7 @@ from conftest import SMOKE_DIR
 from lastmile.operators.deliveries import shipped_gmv
 from lastmile.plans import params as P
 from lastmile.plans import reports as R
+from lastmile.plans.catalog import plans
 from lastmile.sources.domain import Tables
 
 
@@ -47,3 +48,10 @@ def test_lines_join_on_the_line_id_alone(tables):
     kept = t.lg_order_line.where("order_id = 1").select("order_id")
     got = [(r["order_id"], int(r["order_qty"]), int(r["tot_gmv"])) for r in shipped_gmv(t, orders=kept).collect()]
     assert got == [(1, 5, 6)]
+
+
+def test_the_mixed_sort_is_in_order(spark):
+    rows = plans()["mixed_sort"](Tables(spark, SMOKE_DIR)).collect()
+    # texts ascending with nulls first, values descending with nulls first
+    key = [((r[0] is not None, r[0] or ""), (r[1] is not None, r[1] or ""), (r[2] is not None, -(r[2] or 0))) for r in rows]
+    assert len(rows) > 1 and key == sorted(key)

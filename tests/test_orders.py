@@ -93,7 +93,7 @@ def test_cohort_month_edges_and_first_use(tables):
                   [(i, i, ts(2021, 1, 20 + i), None) for i in range(1, 6)]),
         mk_transaction=("id long, buyer_store_id long, deleted timestamp_ntz",
                         [(1, 100, None), (2, 100, None), (3, 300, None), (4, 400, None), (5, 500, ts(2021, 1, 1))]),
-        mk_buyer_store=("id long, unique_id string", [(100, "A"), (300, "C"), (400, "D"), (500, "E")]),
+        mk_store=("id long, unique_id string", [(100, "A"), (300, "C"), (400, "D"), (500, "E")]),
     )
     assert sorted(r[0] for r in CO.adopter_cohort(t, "2021-02", "2021-03").collect()) == ["A"]
     assert sorted(r[0] for r in CO.adopter_cohort(t, "2021-02").collect()) == ["A", "C"]
@@ -101,6 +101,26 @@ def test_cohort_month_edges_and_first_use(tables):
     assert fu == {"A": ts(2021, 1, 21)}
 
 
+def test_one_store_table_in_both_roles(tables):
+    day = dt.datetime(2021, 2, 3)
+    t = tables(
+        mk_transaction=("id long, buyer_store_id long, deleted timestamp_ntz", [(1, 100, None), (2, 200, None), (3, 100, None), (4, 900, None)]),
+        mk_order=("id long, transaction_id long, seller_store_id long, created_at timestamp_ntz, deleted timestamp_ntz",
+                  [(1, 1, 200, day, None), (2, 2, 100, day, None), (3, 3, 100, day, None), (4, 4, None, day, None)]),
+        mk_order_fulfilment=(FUL, [(k, "COMPLETED", "PLATFORM", day, None) for k in (1, 2, 3, 4)]),
+        mk_payment=("transaction_id long, payment_method_detail_type string", [(1, None)]),
+        mk_store=("id long, unique_id string, address_city_id long, address_latitude double, address_longitude double, fee_group_id string, is_active boolean",
+                  [(100, "A", 7, 1.0, 2.0, "x", True), (200, "B", 8, 3.0, 4.0, None, True)]),
+        mk_fee_group=("id string, name string", [("x", "ONLINE")]),
+        mk_address_area=("id long, name string, parent_area_id long", [(7, "seven", 70), (8, "eight", None), (70, "seventy", None)]),
+        mk_order_unit=(UNIT, [(k, 10, Dec(1), Dec(1), Dec(1), Dec(1), Dec(0), Dec(0), Dec(0)) for k in (1, 2, 3, 4)]),
+    )
+    got = O.order_fact(t, None, with_seller=True).select("order_id", "unique_id", "city", "province", "seller_unique_id").collect()
+    # stores that buy and sell, from themselves too; an unknown store or none leaves nulls
+    assert sorted(map(tuple, got)) == [(1, "A", "seven", "seventy", "B"), (2, "B", "eight", None, "A"), (3, "A", "seven", "seventy", "A"),
+                                       (4, None, None, None, None)]
+
+
 def test_method_share_counts_rows_and_intdiv(spark):
     # one buyer: 2 orders, one of them repeated by 2 payments -> platform rows 3 > orders 2 (share > 100, T6)
     fact = spark.createDataFrame(

@@ -96,6 +96,18 @@ def test_the_chain_of_rides_is_planned_once(spark, by_month):
     assert counted["mk_order"] == 0 and counted["mk_order_unit"] == 1
 
 
+def test_both_roles_read_the_one_store_table(spark, by_month):
+    fact = O.order_fact(by_month, "19960101", "20000101", with_seller=True).select("order_id", "unique_id", "seller_unique_id")
+    read = re.findall(r"t_months_mk_store\[([^\]]*)\]", fact._jdf.queryExecution().executedPlan().toString())
+    # one table, each role with its own columns: the city and fee group are the buyer's
+    assert sorted(re.sub(r"#\d+L?", "", columns) for columns in read) == ["id,unique_id", "id,unique_id,address_city_id,fee_group_id"]
+    both = {r["unique_id"] for r in by_month.mk_store.collect()}
+    rows = fact.collect()
+    assert rows and {r["unique_id"] for r in rows} <= both and {r["seller_unique_id"] for r in rows} <= both
+    stores = by_month.mk_store
+    assert stores.count() == stores.select("id").distinct().count()
+
+
 def test_the_manifest_link_joins_rides_where_they_lie(spark, tmp_path):
     names = ("lg_delivery", "lg_task", "lg_pickup", "lg_ride")
     derived = Tables(spark, SMOKE_DIR)
