@@ -7,9 +7,10 @@ of other centroids hardly further away.
 
 Search. A query walks the centroid graph, and reads the lists whose centroids are not much further away than
 its nearest (distance ratio), however many these are, and goes on to the next ones while those read hold too
-few ids for a full answer. The ratio is the one at which a few queries reach nearly all neighbours that they have in the fitting sample. Lists and the
-queries that read them are dealt out in blocks of bounded size, so a long list is searched by many tasks.
-Each block gives its best per query; these are merged.
+few ids for a full answer. The ratio is the one at which a few queries reach nearly all neighbours that they have in the fitting sample. Lists that
+follow each other, and so lie near each other, share a shelf. Shelves and the queries that read them are dealt out in
+blocks of bounded size, so a long list is searched by many tasks. Each block gives its best per query, from the lists that
+the query reads; these are merged.
 
 Equal vectors. They tie with every query, and ties go to smaller ids: of each vector the smallest ids, one more than
 an answer has, are put into lists. No answer changes, and a vector that a third of all rows share fills no lists.
@@ -47,7 +48,8 @@ MOST_COPIES = 4
 COPY_RATIO = 1.01  # a vector is also put into lists at up to this times its least distance
 FITTED_QUERIES = 256  # queries that the reading ratio is fitted on
 REACHED = 0.95  # share of their neighbours in the sample that the reading ratio reaches
-BLOCK = 4096  # vectors, and queries, of a list that one task compares
+BLOCK = 4096  # vectors, and queries, of a shelf that one task compares
+SHELF = BLOCK // LIST_SIZE  # lists of a shelf, a bit of its rows' masks each
 
 
 def usable(vector: Column) -> Column:
@@ -182,33 +184,45 @@ def columns(rows: pa.Table) -> np.ndarray:
     return stacked(rows["vector"].combine_chunks())
 
 
+def shelved(row: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shelf, mask) of (row, list) pairs: once per row and shelf, with a bit for each of its lists."""
+    shelves = int(where.max(initial=0)) // SHELF + 1
+    key, at = np.unique(row * shelves + where // SHELF, return_inverse=True)
+    mask = np.zeros(len(key), np.int64)
+    np.bitwise_or.at(mask, at, np.left_shift(1, where % SHELF))
+    return key // shelves, key % shelves, mask
+
+
 def listed(vectors: DataFrame, kind: str, lists_of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(list, vec_id, vector): a row for each list that ``lists_of`` names for a vector."""
+    """(shelf, mask, vec_id, vector): a row for each shelf with lists that ``lists_of`` names for a vector."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, len(whole), 512):
                 batch = whole.slice(k, 512)
-                row, where = lists_of(stacked(batch.column(1)))
+                row, shelf, mask = shelved(*lists_of(stacked(batch.column(1))))
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(where.astype(np.int32)), batch.column(0).take(take), batch.column(1).take(take)], names=["list", "vec_id", "vector"]
+                    [pa.array(shelf.astype(np.int32)), pa.array(mask), batch.column(0).take(take), batch.column(1).take(take)],
+                    names=["shelf", "mask", "vec_id", "vector"],
                 )
 
-    return vectors.select("vec_id", "vector").mapInArrow(place, f"list int, vec_id long, vector array<{kind}>")
+    return vectors.select("vec_id", "vector").mapInArrow(place, f"shelf int, mask long, vec_id long, vector array<{kind}>")
 
 
 def compare(lists: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    """The best ids of a block of a list, each with its best row, for each query of a block of its readers."""
+    """The best ids of a block of a shelf, each with its best row, for each query of a block of its readers."""
     out = {"query_id": [], "vec_id": [], "score": []}
     if len(lists) and len(queries):
         lists = lists.sort_values("vec_id", kind="stable")
         vectors, ids = np.stack(lists["vector"].to_numpy()).astype(np.float64), lists["vec_id"].to_numpy()
+        shelf_mask = lists["mask"].to_numpy()
         of_id = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
         for k in range(0, len(queries), 256):
             part = queries.iloc[k : k + 256]
             wanted = np.stack(part["vector"].to_numpy()).astype(np.float64)
             rough = wanted @ vectors.T
+            rough[(part["mask"].to_numpy()[:, None] & shelf_mask) == 0] = -np.inf  # in none of the lists read
             for query, vector, scores in zip(part["vec_id"].to_numpy(), wanted, rough, strict=True):
                 scores[ids == query] = -np.inf
                 per_id = np.maximum.reduceat(scores, of_id)
@@ -254,20 +268,21 @@ def nearest(table_of: DataFrame, is_query: Column, key: str = "vec_id", vector:
 
     postings = cut(listed(candidates, kind, lambda points: shared.value.homes(lifted(points, norm))))
     # every id counts in one of the lists that hold it, so lists with so many ids together hold as many different ones
-    of_list = dict(postings.groupBy("vec_id").agg(F.min("list").alias("list")).groupBy("list").count().collect())
+    least = F.col("shelf") * SHELF + F.bit_count(F.col("mask").bitwiseAND(-F.col("mask")) - 1)
+    of_list = dict(postings.groupBy("vec_id").agg(F.min(least).alias("list")).groupBy("list").count().collect())
     ids_in = np.array([of_list.get(k, 0) for k in range(len(graph.centroids))])
     readers = cut(listed(queries, kind, lambda points: shared.value.read_by(asked(points, norm), ratio, ids_in)))
-    parts = lambda df, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
-    blocks = cut(parts(postings, "vector_blocks").join(parts(readers, "query_blocks"), "list"))
+    parts = lambda df, name: df.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    blocks = cut(parts(postings, "vector_blocks").join(parts(readers, "query_blocks"), "shelf"))
     own = lambda name: F.pmod(F.xxhash64("vec_id"), F.col(name)).cast("int")
     every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-    held = postings.join(blocks, "list").withColumn("i", own("vector_blocks")).withColumn("j", every("query_blocks"))
-    reading = readers.join(blocks, "list").withColumn("j", own("query_blocks")).withColumn("i", every("vector_blocks"))
-    block = ["list", "i", "j"]
+    held = postings.join(blocks, "shelf").withColumn("i", own("vector_blocks")).withColumn("j", every("query_blocks"))
+    reading = readers.join(blocks, "shelf").withColumn("j", own("query_blocks")).withColumn("i", every("vector_blocks"))
+    block = ["shelf", "i", "j"]
     found = (
-        held.select(*block, "vec_id", "vector")
+        held.select(*block, "mask", "vec_id", "vector")
         .groupBy(*block)
-        .cogroup(reading.select(*block, "vec_id", "vector").groupBy(*block))
+        .cogroup(reading.select(*block, "mask", "vec_id", "vector").groupBy(*block))
         .applyInPandas(lambda a, b: compare(a, b), "query_id long, vec_id long, score double")
     )
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
