@@ -83,3 +83,38 @@ def test_a_language_without_reference_is_not_held_against_others(spark, monkeypa
     found = {r["doc_id"]: r["_quality"] for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert all(q["kept"] for q in found.values())
     assert found[0]["common_distance"] is not None and found[9]["common_distance"] is None
+
+
+def of_many_languages(spark):
+    """Plain texts of 40 languages, each with common words of its own; the rarest language has one odd text besides."""
+    rnd = random.Random(8)
+    rows = []
+    for k in range(40):
+        common = ["".join(rnd.choice("bcdfgjklmp") for _ in range(3)) for _ in range(8)]
+        for j in range(4 if k < 39 else 2):
+            rows.append((len(rows), " ".join(f"{rnd.choice(common)} {rnd.choice(common)} {'qrstvwxyz'[j] * 8}{rnd.randrange(10**6)}" for _ in range(60)), f"l{k:02d}"))
+    rows += [(len(rows), " ".join("".join(rnd.choice("=_/~^@+{}[]") for _ in range(8)) + str(j) for j in range(60)), "l39")]
+    rows += [(len(rows) + 1, rows[0][1], "l00"), (len(rows) + 2, None, "l00"), (len(rows) + 3, rows[-1][1], None), (len(rows) + 4, "few words", "l01")]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_every_language_of_many_has_a_reference(spark):
+    rows, docs = of_many_languages(spark)
+    found = {r["doc_id"]: r["_quality"] for r in Q.judge(docs).collect()}
+    assert len(found) == len(rows)
+    odd = next(k for k, t, _ in rows if t and t.startswith(tuple("=_/~^@+{}[]")))
+    assert found[odd]["class_distance"] is not None  # its language is not among the 32 with the most documents
+    assert all(found[k]["common_distance"] is not None for k, _, lang in rows if lang == "l39" and k != odd)
+
+
+def test_distances_by_join_are_those_by_plan(spark, monkeypatch):
+    _, docs = of_many_languages(spark)
+    by_join = {r["doc_id"]: r["_quality"] for r in Q.judge(docs).collect()}
+    monkeypatch.setattr(Q, "INLINE_LANGUAGES", 40)
+    by_plan = {r["doc_id"]: r["_quality"] for r in Q.judge(docs).collect()}
+    near = lambda x, y: x == y or (x is not None and y is not None and abs(x - y) < 1e-9)
+    assert by_join.keys() == by_plan.keys()
+    for k, q in by_join.items():
+        p = by_plan[k]
+        assert near(q["class_distance"], p["class_distance"]) and near(q["common_distance"], p["common_distance"]), (k, q, p)
+        assert (*q[:6], q["kept"]) == (*p[:6], p["kept"])
