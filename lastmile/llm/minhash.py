@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lastmile.llm import id_filter
-from lastmile.llm.common import cut, stored, table
+from lastmile.llm.common import FEW, cut, if_few, stored, table
 from lastmile.llm.components import components
 from lastmile.llm.word_hashes import WordHashes, runs, scrambled
 
@@ -145,7 +145,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     held = id_filter.only(texts, wanted, "id")
-    joined = pairs.join(held.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(
+    joined = if_few(pairs).join(held.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(
         held.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"
     )
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(similar, "a long, b long")
@@ -153,15 +153,15 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def near(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     """The pairs whose packed bits let them be similar enough."""
-    both = pairs.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("bits_a")), "a").join(
-        bits.select(F.col("id").alias("b"), F.col("bits").alias("bits_b")), "b"
-    )
+    lent = F.broadcast if pairs.count() <= FEW else lambda df: df
+    of_a, of_b = (bits.select(F.col("id").alias(name), F.col("bits").alias(f"bits_{name}")) for name in "ab")
+    both = lent(lent(pairs).join(of_a, "a")).join(of_b, "b")
     return both.where(estimate(F.col("bits_a"), F.col("bits_b")) >= PERCENT / 100 - MARGIN).select("a", "b")
 
 
 def open_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
     """Members of the buckets that lie in more than one component, with their own and their first's component."""
-    labelled = members.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = members.join(if_few(found).select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "id").alias("of_first"))
     return labelled.join(mixed.where(F.col("low") != F.col("high")).select("bucket", "of_first"), "bucket")
 
@@ -183,35 +183,40 @@ def across(members: DataFrame, bits: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of one bucket and different components that are similar enough.
 
     A bucket's members are dealt into blocks, and each pair of blocks is joined on its own, so no task holds more
-    than two blocks of a bucket. Pairs are compared by packed bits first, by their full sets where those allow
-    it, all inside the join: only links come out of it, not the pairs of a large group. Bits and sets go by
-    (id, digest), so each text of an id is compared with its own.
+    than two blocks of a bucket, and a member goes once to each pair that its block is in. Pairs are compared by
+    packed bits first, by their full sets where those allow it, all inside the join: only links come out of it,
+    not the pairs of a large group. Bits and sets go by (id, digest), so each text of an id is compared with its own.
     """
+    whole = members.select("bucket", "id", "component").distinct()
+    blocks = whole.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = (
-        members.distinct()
+        whole.join(blocks, "bucket")
         .join(bits, "id")
         .join(sets.dropDuplicates(["id", "digest"]), ["id", "digest"])
-        .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     )
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
 
-    def side(name: str, own: str, other: str) -> DataFrame:
+    def side(name: str, own: str, other: str, others: Column) -> DataFrame:
         kept = [F.col(c).alias(f"{c}_{name}") for c in ("component", "bits", "shingles")]
-        return placed.select("bucket", F.col("block").alias(own), every.alias(other), F.col("id").alias(name), *kept)
+        return placed.select("bucket", F.col("block").alias(own), F.explode(others).alias(other), F.col("id").alias(name), *kept)
 
-    left, right = side("a", "i", "j"), side("b", "j", "i")
+    left = side("a", "i", "j", F.sequence("block", F.col("blocks") - 1))
+    right = side("b", "j", "i", F.sequence(F.lit(0), F.col("block")))
     both = F.size(F.array_intersect("shingles_a", "shingles_b"))
     similar = both * (100 + PERCENT) >= (F.size("shingles_a") + F.size("shingles_b")) * PERCENT
-    apart = F.col("component_a") > F.col("component_b")
+    apart = F.col("component_a") != F.col("component_b")
+    once = (F.col("i") < F.col("j")) | (F.col("component_a") > F.col("component_b"))
     close = estimate(F.col("bits_a"), F.col("bits_b")) >= PERCENT / 100 - MARGIN
-    return left.join(right, ["bucket", "i", "j"]).where(apart & close & similar).select("a", "b").distinct()
+    pairs = left.join(right, ["bucket", "i", "j"]).where(apart & once & close & similar)
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def without(pairs: DataFrame, tried: DataFrame) -> DataFrame:
     """Pairs that were not tried in either order."""
-    turned = tried.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    return pairs.join(tried.unionByName(turned), ["a", "b"], "left_anti")
+    tried = if_few(tried)
+    for a, b in (("a", "b"), ("b", "a")):
+        pairs = pairs.join(tried.select(F.col(a).alias("a"), F.col(b).alias("b")), ["a", "b"], "left_anti")
+    return pairs
 
 
 NO_ID = 1 << 62  # nodes from here on stand for texts of rows without an id: greater than any id, so never a group's smallest
@@ -235,13 +240,13 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     # 1: each member against the smallest of all first members of its buckets
     tried = cut(shared.where(F.col("id") != F.col("first")).groupBy(F.col("id").alias("a")).agg(F.min("first").alias("b")))
-    links = cut(confirm(near(tried, bits), texts))
+    links = cut(confirm(cut(near(tried, bits)), texts))
     found = cut(components(links))
 
     # 2: where a bucket is still divided, its members against its first
     divided = cut(open_buckets(shared, found))
     more = divided.where(F.col("component") != F.col("of_first")).select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    more = cut(near(without(more, tried), bits))
+    more = cut(near(cut(without(more, tried)), bits))
     if not more.isEmpty():
         links = cut(links.unionByName(confirm(more, texts)))
         found = cut(components(links))
@@ -253,7 +258,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         found = cut(components(links.unionByName(confirm(more, texts))))
 
     rows = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-    rows = rows.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    rows = rows.join(if_few(found).select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
     named = F.col("doc_id") < NO_ID
     return rows.select(

@@ -95,3 +95,21 @@ def test_a_row_without_id_bridges_two_documents(spark):
     docs = spark.createDataFrame([*rows, (None, "quite another text that nobody has")], "doc_id long, text string")
     got = {(r["doc_id"], r["component_id"], r["kept"]) for r in M.link(docs).collect()}
     assert got == {(1, 1, True), (None, 1, True), (2, 1, False), (3, 3, True), (None, None, True)}
+
+
+def test_every_pair_of_a_bucket_of_many_blocks_is_found_once(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 4)
+    base = [f"w{k}" for k in range(120)]
+    docs = spark.createDataFrame([(k, " ".join([*base, f"x{k}"])) for k in range(40)], "doc_id long, text string")
+    bits = M.sign(docs).selectExpr("doc_id AS id", "digest", "bits")
+    sets = M.sets_of(bits.select("id"), docs.withColumnRenamed("doc_id", "id"))
+    members = spark.createDataFrame([(7, k, 40, k) for k in range(40)], "bucket long, id long, n long, component long")
+    assert sorted(map(tuple, M.across(members, bits, sets).collect())) == [(a, b) for a in range(40) for b in range(a)]
+
+
+def test_few_rows_are_joined_without_a_shuffle(spark):
+    pairs = M.cut(spark.createDataFrame([(2, 1), (3, 1)], "a long, b long"))
+    bits = M.cut(spark.createDataFrame([(k, b"", [5] * 32) for k in (1, 2, 3)], "id long, digest binary, bits array<long>"))
+    near = M.near(pairs, bits)
+    assert sorted(map(tuple, near.collect())) == [(2, 1), (3, 1)]
+    assert "Exchange hashpartitioning" not in near._jdf.queryExecution().toString()
