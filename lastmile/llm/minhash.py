@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lastmile.llm import id_filter
-from lastmile.llm.common import FEW, cut, if_few, stored, table
+from lastmile.llm.common import FEW, cut, if_few, mapped, stored, table
 from lastmile.llm.components import components
 from lastmile.llm.word_hashes import WordHashes, runs, scrambled
 
@@ -107,7 +107,7 @@ def sign(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 names=["doc_id", "n_shingles", "digest", "bands", "bits"],
             )
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(signed, SIGNED)
+    return mapped(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), signed, SIGNED)
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -148,7 +148,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     joined = if_few(pairs).join(held.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(
         held.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"
     )
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(similar, "a long, b long")
+    return mapped(joined.select("a", "b", "text_a", "text_b"), similar, "a long, b long")
 
 
 def near(pairs: DataFrame, bits: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def sets_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
             digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["id", "digest", "shingles"])
 
-    return id_filter.only(texts, ids, "id").select("id", "text").mapInArrow(cut_up, "id long, digest binary, shingles array<long>")
+    return mapped(id_filter.only(texts, ids, "id").select("id", "text"), cut_up, "id long, digest binary, shingles array<long>")
 
 
 def across(members: DataFrame, bits: DataFrame, sets: DataFrame) -> DataFrame:

@@ -34,13 +34,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lastmile.llm.common import cut, given_back, held, held_name, table
+from lastmile.llm.common import cut, given_back, held, held_name, mapped, table
 from lastmile.llm.fm_index import FMIndex, matched
 from lastmile.llm.word_hashes import WordHashes, runs
 
 WINDOW = 35
 ANCHOR = 8
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 500_000  # a task that indexes and searches them holds some 100 MB
 BLOCK_SEGMENTS = 20_000  # different segments of one anchor that are indexed together
 NO_ID = -(2**63)
 
@@ -107,7 +107,7 @@ def segments(rows: DataFrame, window: int) -> DataFrame:
                 names=["id", "crc", "anchor", "content", "start", "windows", "copies"],
             )
 
-    return rows.select("id", "crc", "text").mapInArrow(find, SEGMENTS)
+    return mapped(rows.select("id", "crc", "text"), find, SEGMENTS)
 
 
 def segment_words(rows: DataFrame, window: int) -> DataFrame:
@@ -131,7 +131,7 @@ def segment_words(rows: DataFrame, window: int) -> DataFrame:
         columns = zip(*found, strict=True) if found else [[]] * 5
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["anchor", "content", "weight", "blocks", "words"])
 
-    return rows.select("text", "parts").mapInArrow(cut_out, "anchor long, content long, weight long, blocks int, words binary")
+    return mapped(rows.select("text", "parts"), cut_out, "anchor long, content long, weight long, blocks int, words binary")
 
 
 def search(group: pd.DataFrame, window: int) -> pd.DataFrame:
@@ -234,7 +234,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
             )
 
     joined = keyed(docs, key, text).join(repeats(docs, key, text, window), ["id", "crc"], "left")
-    done = joined.select("id", "text", "spans").mapInArrow(digest, "id long, n_words long, n_removed long, kept_sha256 string")
+    done = mapped(joined.select("id", "text", "spans"), digest, "id long, n_words long, n_removed long, kept_sha256 string")
     return done.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 

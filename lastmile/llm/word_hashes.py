@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-REMEMBERED = 1_000_000  # words whose hash a task remembers at once
+REMEMBERED = 200_000  # words whose hash a task remembers at once, some 30 MB
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

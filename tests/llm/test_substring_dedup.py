@@ -3,11 +3,13 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm_cases import edge_docs, edge_rows, no_docs  # noqa: F401
 from lastmile.llm import substring_dedup as S
 from lastmile.llm import fm_index
+from lastmile.llm.common import AT_ONCE, BATCH_ROWS, mapped
 from lastmile.llm.fm_index import FMIndex, Wavelet, matched, suffix_order
 
 
@@ -86,3 +88,19 @@ def test_edge_cases(edge_docs, edge_rows, no_docs):
     assert shorter.columns == edge_docs.columns
     kept = Counter((r["doc_id"], hashlib.sha256(b" ".join((r["text"] or "").encode().split())).hexdigest()) for r in shorter.collect())
     assert kept == Counter((k[0], k[3]) for k in want.elements())
+
+
+def test_python_tasks_get_few_texts_at_once(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], names=["n"])
+
+    rows = spark.range(0, 3 * AT_ONCE + 1, numPartitions=1)
+    before = spark.conf.get(BATCH_ROWS, None)
+    try:
+        for held in (None, str(10 * AT_ONCE)):
+            spark.conf.unset(BATCH_ROWS) if held is None else spark.conf.set(BATCH_ROWS, held)
+            assert [r["n"] for r in mapped(rows, sizes, "n long").collect()] == [AT_ONCE] * 3 + [1]
+            assert spark.conf.get(BATCH_ROWS, None) == (held or str(AT_ONCE))
+    finally:
+        spark.conf.unset(BATCH_ROWS) if before is None else spark.conf.set(BATCH_ROWS, before)
