@@ -12,6 +12,10 @@ follow each other, and so lie near each other, share a shelf. Shelves and the qu
 blocks of bounded size, so a long list is searched by many tasks. Each block gives its best per query, from the lists that
 the query reads; these are merged.
 
+Rounds. A query reads its blocks in the order of their shelves, nearest first: one, then those up to the eighth, up to the 64th and
+so on. Its last answer of the rounds before is a bound, and a block gives no row below it, since such a row is in
+no answer. So the rows that blocks give for a query grow as the logarithm of the blocks it reads, not as their number.
+
 Equal vectors. They tie with every query, and ties go to smaller ids: of each vector the smallest ids, one more than
 an answer has, are put into lists. No answer changes, and a vector that a third of all rows share fills no lists.
 
@@ -35,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lastmile.llm.common import cut, stored, table
+from lastmile.llm.common import cut, if_few, stored, table
 
 NEIGHBOURS = 20
 QUERY_STEP = 20
@@ -50,6 +54,7 @@ FITTED_QUERIES = 256  # queries that the reading ratio is fitted on
 REACHED = 0.95  # share of their neighbours in the sample that the reading ratio reaches
 BLOCK = 4096  # vectors, and queries, of a shelf that one task compares
 SHELF = BLOCK // LIST_SIZE  # lists of a shelf, a bit of its rows' masks each
+ROUND = 8  # a round ends at this times the blocks that the one before ended at
 
 
 def usable(vector: Column) -> Column:
@@ -185,37 +190,49 @@ def columns(rows: pa.Table) -> np.ndarray:
 
 
 def shelved(row: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shelf, mask) of (row, list) pairs: once per row and shelf, with a bit for each of its lists."""
+    """(row, shelf, mask) of (row, list) pairs: once per row and shelf, with a bit for each of its lists; a row's shelves in the order of its pairs."""
     shelves = int(where.max(initial=0)) // SHELF + 1
-    key, at = np.unique(row * shelves + where // SHELF, return_inverse=True)
+    key, first, at = np.unique(row * shelves + where // SHELF, return_index=True, return_inverse=True)
     mask = np.zeros(len(key), np.int64)
     np.bitwise_or.at(mask, at, np.left_shift(1, where % SHELF))
-    return key // shelves, key % shelves, mask
+    order = np.lexsort((first, key // shelves))
+    key = key[order]
+    return key // shelves, key % shelves, mask[order]
+
 
+def passed(row: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of each pair the sum of the sizes of its row's pairs before it; the pairs of a row stand together."""
+    before = np.cumsum(size) - size
+    first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))[: len(row)]
+    return before - np.repeat(before[first], np.diff(np.append(first, len(row))))
 
-def listed(vectors: DataFrame, kind: str, lists_of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(shelf, mask, vec_id, vector): a row for each shelf with lists that ``lists_of`` names for a vector."""
+
+def listed(vectors: DataFrame, kind: str, lists_of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], blocks: np.ndarray | None = None) -> DataFrame:
+    """(shelf, mask, before, vec_id, vector): a row for each shelf with lists that ``lists_of`` names for a vector; ``before`` is
+    the number of ``blocks`` (by shelf) in its shelves named before."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, len(whole), 512):
                 batch = whole.slice(k, 512)
                 row, shelf, mask = shelved(*lists_of(stacked(batch.column(1))))
+                before = passed(row, np.ones(len(row), np.int64) if blocks is None else blocks[shelf])
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shelf.astype(np.int32)), pa.array(mask), batch.column(0).take(take), batch.column(1).take(take)],
-                    names=["shelf", "mask", "vec_id", "vector"],
+                    [pa.array(shelf.astype(np.int32)), pa.array(mask), pa.array(before), batch.column(0).take(take), batch.column(1).take(take)],
+                    names=["shelf", "mask", "before", "vec_id", "vector"],
                 )
 
-    return vectors.select("vec_id", "vector").mapInArrow(place, f"shelf int, mask long, vec_id long, vector array<{kind}>")
+    return vectors.select("vec_id", "vector").mapInArrow(place, f"shelf int, mask long, before long, vec_id long, vector array<{kind}>")
 
 
 def compare(lists: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    """The best ids of a block of a shelf, each with its best row, for each query of a block of its readers."""
+    """The best ids of a block of a shelf, each with its best row, for each query of a block of its readers: those not below its bound."""
     out = {"query_id": [], "vec_id": [], "score": []}
     if len(lists) and len(queries):
         lists = lists.sort_values("vec_id", kind="stable")
         vectors, ids = np.stack(lists["vector"].to_numpy()).astype(np.float64), lists["vec_id"].to_numpy()
+        longest = np.sqrt((vectors**2).sum(axis=1).max())
         shelf_mask = lists["mask"].to_numpy()
         of_id = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
         for k in range(0, len(queries), 256):
@@ -223,13 +240,19 @@ def compare(lists: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
             wanted = np.stack(part["vector"].to_numpy()).astype(np.float64)
             rough = wanted @ vectors.T
             rough[(part["mask"].to_numpy()[:, None] & shelf_mask) == 0] = -np.inf  # in none of the lists read
-            for query, vector, scores in zip(part["vec_id"].to_numpy(), wanted, rough, strict=True):
+            bounds = part["bound"].to_numpy(np.float64, na_value=-np.inf)
+            # rows below are in no answer; a product of matrices rounds, so what is near the bound is kept until its exact score is known
+            low = bounds - 1e-9 * longest * np.sqrt((wanted**2).sum(axis=1))
+            rough[rough < low[:, None]] = -np.inf
+            some = np.flatnonzero(np.isfinite(rough.max(axis=1)))
+            for query, vector, scores, bound in zip(part["vec_id"].to_numpy()[some], wanted[some], rough[some], bounds[some], strict=True):
                 scores[ids == query] = -np.inf
                 per_id = np.maximum.reduceat(scores, of_id)
                 least = np.partition(per_id, -NEIGHBOURS)[-NEIGHBOURS] if len(per_id) > NEIGHBOURS else -np.inf
                 # a product of matrices may round equal vectors unequally: the order is settled by sums of one fixed order
                 at = np.flatnonzero((scores >= least - 1e-9 * abs(least)) & np.isfinite(scores)) if np.isfinite(least) else np.flatnonzero(np.isfinite(scores))
                 exact = (vectors[at] * vector).sum(axis=1)
+                at, exact = at[exact >= bound], exact[exact >= bound]
                 best = np.lexsort((ids[at], -exact))
                 first = np.sort(np.unique(ids[at[best]], return_index=True)[1])  # of an id its best row
                 best = best[first][:NEIGHBOURS]
@@ -266,28 +289,45 @@ def nearest(table_of: DataFrame, is_query: Column, key: str = "vec_id", vector:
     ratio = fitted_ratio(graph, fitted, sample, norm, count)
     shared = spark.sparkContext.broadcast(graph)
 
-    postings = cut(listed(candidates, kind, lambda points: shared.value.homes(lifted(points, norm))))
+    postings = cut(listed(candidates, kind, lambda points: shared.value.homes(lifted(points, norm))).drop("before"))
     # every id counts in one of the lists that hold it, so lists with so many ids together hold as many different ones
     least = F.col("shelf") * SHELF + F.bit_count(F.col("mask").bitwiseAND(-F.col("mask")) - 1)
     of_list = dict(postings.groupBy("vec_id").agg(F.min(least).alias("list")).groupBy("list").count().collect())
     ids_in = np.array([of_list.get(k, 0) for k in range(len(graph.centroids))])
-    readers = cut(listed(queries, kind, lambda points: shared.value.read_by(asked(points, norm), ratio, ids_in)))
+    shelf_blocks = np.zeros((len(graph.centroids) - 1) // SHELF + 1, np.int64)
+    for shelf, held_there in postings.groupBy("shelf").count().collect():
+        shelf_blocks[shelf] = -(-held_there // BLOCK)
+    readers = cut(listed(queries, kind, lambda points: shared.value.read_by(asked(points, norm), ratio, ids_in), shelf_blocks))
     parts = lambda df, name: df.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
     blocks = cut(parts(postings, "vector_blocks").join(parts(readers, "query_blocks"), "shelf"))
     own = lambda name: F.pmod(F.xxhash64("vec_id"), F.col(name)).cast("int")
     every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
     held = postings.join(blocks, "shelf").withColumn("i", own("vector_blocks")).withColumn("j", every("query_blocks"))
     reading = readers.join(blocks, "shelf").withColumn("j", own("query_blocks")).withColumn("i", every("vector_blocks"))
+    turn = F.col("before") + F.col("i")
     block = ["shelf", "i", "j"]
-    found = (
-        held.select(*block, "mask", "vec_id", "vector")
-        .groupBy(*block)
-        .cogroup(reading.select(*block, "mask", "vec_id", "vector").groupBy(*block))
-        .applyInPandas(lambda a, b: compare(a, b), "query_id long, vec_id long, score double")
-    )
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= NEIGHBOURS).select("query_id", "rank", "vec_id", "score")
+    last = reading.agg(F.max(turn)).first()[0] or 0
+    best, start, end = None, 0, 1
+    while best is None or start <= last:
+        now = reading.where((turn >= start) & (turn < end))
+        searched = held.join(now.select(*block).distinct(), block, "left_semi")
+        if best is None:
+            now = now.withColumn("bound", F.lit(None).cast("double"))
+        else:
+            bounds = best.where(F.col("rank") == NEIGHBOURS).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+            now = now.join(if_few(bounds), "vec_id", "left")
+        found = (
+            searched.select(*block, "mask", "vec_id", "vector")
+            .groupBy(*block)
+            .cogroup(now.select(*block, "mask", "vec_id", "vector", "bound").groupBy(*block))
+            .applyInPandas(lambda a, b: compare(a, b), "query_id long, vec_id long, score double")
+        )
+        if best is not None:
+            found = best.select(*found.columns).unionByName(found)
+        best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", rank).where(F.col("rank") <= NEIGHBOURS)
+        best, start, end = cut(best), end, end * ROUND
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lastmile.llm import vector_search as V
@@ -106,3 +107,40 @@ def test_clashing_columns_are_ignored(spark):
     plain = V.nearest(spark.createDataFrame([r[:2] for r in rows], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0)
     more = V.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, vector string, is_query int, place int"), F.col("vec_id") % 20 == 0)
     assert sorted(plain.collect()) == sorted(more.collect()) != []
+
+
+def test_a_block_gives_no_row_below_what_a_query_has():
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(300, 8))
+    lists = pd.DataFrame({"mask": 1, "vec_id": np.arange(300), "vector": list(vectors)})
+    score = np.sort((vectors * vectors[0]).sum(axis=1)[1:])[::-1]
+    ids = lambda bound: V.compare(lists, pd.DataFrame({"mask": [1], "vec_id": [0], "vector": [vectors[0]], "bound": [bound]}))
+    assert sorted(ids(None)["score"], reverse=True) == score[:20].tolist()
+    assert sorted(ids(score[4])["score"], reverse=True) == score[:5].tolist()  # a score equal to the bound may win by its id
+    assert len(ids(score[0] + 1)) == 0
+
+
+def test_blocks_are_counted_from_the_nearest_shelf():
+    row, where = np.array([0, 0, 0, 0, 2, 2]), np.array([40, 3, 41, 17, 5, 39])
+    row, shelf, mask = V.shelved(row, where)
+    assert (row.tolist(), shelf.tolist()) == ([0, 0, 0, 2, 2], [2, 0, 1, 0, 2])
+    assert mask.tolist() == [1 << 8 | 1 << 9, 1 << 3, 1 << 1, 1 << 5, 1 << 7]
+    assert V.passed(row, np.array([4, 1, 3])[shelf]).tolist() == [0, 3, 7, 0, 4]
+    assert V.passed(np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == []
+
+
+def test_many_rounds_find_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(V, "LIST_SIZE", 9)
+    monkeypatch.setattr(V, "SAMPLE_PER_LIST", 4)
+    monkeypatch.setattr(V, "BLOCK", 40)
+    rows = [(k, rng.normal(size=8).astype(np.float32).tolist(), 0) for k in range(1500)]
+    of = lambda: sorted(map(tuple, V.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0).collect()))
+    rounds = of()
+    monkeypatch.setattr(V, "ROUND", 1 << 30)  # the nearest block, then all others at once
+    assert of() == rounds
+    monkeypatch.setattr(V, "BLOCK", 4096)
+    assert of() == rounds
+    want = exact(rows, 20)
+    hit = sum(j in {x[0] for x in want[q]} for q, _, j, _ in rounds)
+    assert len(rounds) == 20 * len(want) and hit >= 0.95 * len(rounds)
