@@ -48,6 +48,7 @@ LIST_SIZE = 256  # vectors of the whole table per list, as far as the sample all
 SAMPLE_PER_LIST = 8  # fewer vectors of the sample make no centroid
 DEGREE = 16  # edges of a centroid in the graph
 BEAM = 96  # centroids that a walk keeps
+SCANNED = 512  # so few centroids are compared at once, which costs less than a walk
 MOST_COPIES = 4
 COPY_RATIO = 1.01  # a vector is also put into lists at up to this times its least distance
 FITTED_QUERIES = 256  # queries that the reading ratio is fitted on
@@ -102,8 +103,8 @@ class CentroidGraph:
         return np.maximum((points**2).sum(axis=1)[:, None] + self.square[which] - 2 * dots, 0)
 
     def search(self, points: np.ndarray, width: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest centroids found per point by a walk that keeps ``width``, and their distances, nearest first."""
-        if width >= len(self.centroids):
+        """The nearest centroids found per point by a walk that keeps ``width``, and their distances, nearest first; of few centroids all."""
+        if width >= len(self.centroids) or len(self.centroids) <= SCANNED:
             dist = np.maximum((points**2).sum(axis=1)[:, None] + self.square - 2 * points @ self.centroids.T, 0)
             order = np.argsort(dist, axis=1, kind="stable")
             return order, np.sqrt(np.take_along_axis(dist, order, axis=1))

@@ -144,3 +144,12 @@ def test_many_rounds_find_the_same(spark, monkeypatch):
     want = exact(rows, 20)
     hit = sum(j in {x[0] for x in want[q]} for q, _, j, _ in rounds)
     assert len(rounds) == 20 * len(want) and hit >= 0.95 * len(rounds)
+
+
+def test_few_centroids_are_all_compared():
+    rng = np.random.default_rng(4)
+    graph, points = V.CentroidGraph(rng.normal(size=(200, 6))), rng.normal(size=(30, 6))
+    near, far = graph.search(points)
+    want = np.sqrt(((points[:, None] - graph.centroids) ** 2).sum(axis=2))
+    assert near.shape == (30, 200) and np.allclose(far, np.sort(want, axis=1))
+    assert np.allclose(np.take_along_axis(want, near, axis=1), far)
