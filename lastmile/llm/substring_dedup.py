@@ -13,6 +13,9 @@ its runs of eight words; equal windows have equal anchors. Neighbouring windows
    backward search; matches of window length that occur twice or more, by weight, are reported.
 4. The reported spans go back to all documents that hold the segment, and their words are removed.
 
+Texts are large: in 2 and 4 only those that hold a wanted segment or have a span are shuffled, told by a bitmap of
+their hashes; the others never leave their task.
+
 An anchor with very many different segments (a very frequent run of eight words) is split into blocks; every
 block is indexed and streamed against every other, so no shard grows with one anchor and no occurrence is missed.
 
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lastmile.llm import id_filter
 from lastmile.llm.common import cut, given_back, held, held_name, mapped, table
 from lastmile.llm.fm_index import FMIndex, matched
 from lastmile.llm.word_hashes import WordHashes, runs
@@ -202,12 +207,25 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     blocks = F.coalesce(F.ceil(F.col("segments") / block), F.lit(1)).cast("int")
     part = F.struct("anchor", "content", "weight", "blocks", "start", "windows")
     parts = unique.join(many, "anchor", "left").withColumn("blocks", blocks).groupBy("id", "crc").agg(F.collect_list(part).alias("parts"))
-    pieces = dealt(segment_words(rows.join(parts, ["id", "crc"]), window), shards)
+    name = f"x{uuid.uuid4().hex}"
+    wanted = id_filter.marked(rows, unique.select("crc"), "crc", name).where(name).drop(name)
+    pieces = dealt(segment_words(wanted.join(parts, ["id", "crc"]), window), shards)
     spans = pieces.groupBy("shard").applyInPandas(lambda group: search(group, window), SPANS)
     span = F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
     return again.join(spans, ["anchor", "content"]).groupBy("id", "crc").agg(F.collect_set(span).alias("spans"))
 
 
+def with_spans(rows: DataFrame, spans: DataFrame, key: str, crc: str) -> DataFrame:
+    """``rows`` with the columns of ``spans`` (of ``repeats``, its first two named as ``key`` and ``crc``), null where there are none."""
+    name = f"x{uuid.uuid4().hex}"
+    spans = cut(spans)
+    all_rows = id_filter.marked(rows, spans.select(crc), crc, name)
+    maybe = all_rows.where(name).drop(name).join(spans, [key, crc], "left")
+    rest = all_rows.where(~F.col(name)).drop(name)
+    more = [F.lit(None).cast(spans.schema[c].dataType).alias(c) for c in spans.columns if c not in (key, crc)]
+    return rest.select("*", *more).unionByName(maybe)
+
+
 def gone(spans: list[dict] | None, n: int) -> np.ndarray:
     out = np.zeros(n, bool)
     for span in () if spans is None else spans:
@@ -233,7 +251,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
                 names=["id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    joined = keyed(docs, key, text).join(repeats(docs, key, text, window), ["id", "crc"], "left")
+    joined = with_spans(keyed(docs, key, text), repeats(docs, key, text, window), "id", "crc")
     done = mapped(joined.select("id", "text", "spans"), digest, "id long, n_words long, n_removed long, kept_sha256 string")
     return done.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
@@ -253,7 +271,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     spans = repeats(docs, key, text, window).select(F.col("id").alias("_id"), F.col("crc").alias("_crc"), F.col("spans").alias("_spans"))
     names, key, text = docs.columns, held_name(key), held_name(text)
     of_row = held(docs).withColumn("_id", F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))).withColumn("_crc", F.coalesce(F.xxhash64(text), F.lit(0)))
-    joined = of_row.join(spans, ["_id", "_crc"], "left")
+    joined = with_spans(of_row, spans, "_id", "_crc")
     left = F.when(F.col("_spans").isNotNull(), shorter(F.when(F.col("_spans").isNotNull(), F.col(text)), "_spans")).otherwise(F.col(text))
     return given_back(joined.withColumn(text, left), names)
 

@@ -104,3 +104,31 @@ def test_python_tasks_get_few_texts_at_once(spark):
             assert spark.conf.get(BATCH_ROWS, None) == (held or str(AT_ONCE))
     finally:
         spark.conf.unset(BATCH_ROWS) if before is None else spark.conf.set(BATCH_ROWS, before)
+
+
+def exchanges(node):
+    """The shuffles of an executed plan."""
+    name = node.nodeName()
+    inner = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if name.endswith("QueryStage") else []
+    found = [node] if name == "Exchange" else []
+    below = node.children()
+    for x in [*inner, *[below.apply(k) for k in range(below.size())]]:
+        found += exchanges(x)
+    return found
+
+
+def test_texts_without_a_repeat_are_not_shuffled(spark):
+    own = lambda k: " ".join(f"d{k}w{n}" for n in range(60))
+    both = " ".join(f"w{n}" for n in range(50))
+    texts = {k: own(k) for k in range(200)} | {200: f"{own(200)} {both}", 201: f"{both} {own(201)}", 202: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for done, want in ((S.remove_repeats(docs), {**texts, 200: own(200), 201: own(201)}), (S.digests(docs), None)):
+            got = {r[0]: r[1] for r in done.collect()}
+            assert len(got) == len(texts) and (want is None or got == want)
+            moved = [x.metrics().apply("shuffleRecordsWritten").value() for x in exchanges(done._jdf.queryExecution().executedPlan()) if "text#" in x.output().toString()]
+            assert moved and max(moved) <= 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
