@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lastmile.llm import id_filter
-from lastmile.llm.common import FEW, cut, if_few, mapped, stored, table
+from lastmile.llm.common import AT_ONCE, FEW, cut, if_few, mapped, of_size, stored, table
 from lastmile.llm.components import components
 from lastmile.llm.word_hashes import WordHashes, runs, scrambled
 
@@ -151,6 +151,11 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return mapped(joined.select("a", "b", "text_a", "text_b"), similar, "a long, b long")
 
 
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``confirm``, checkpointed, in tasks that have a batch of pairs each."""
+    return cut(confirm(pairs, texts), pairs.count(), AT_ONCE)
+
+
 def near(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     """The pairs whose packed bits let them be similar enough."""
     lent = F.broadcast if pairs.count() <= FEW else lambda df: df
@@ -228,45 +233,53 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     docs = docs.select(F.coalesce(F.col(key).cast("long"), nameless).alias("node"), F.col(text).alias("text"))
     key = "node"
     signed = cut(sign(docs, key, "text"))
-    classes = cut(signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    n_rows = signed.count()
+    classes = cut(signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep")), n_rows)
+    n_classes = classes.count()
     reps = classes.select("digest", F.col("rep").alias("doc_id"))
-    heads = cut(signed.join(reps, ["digest", "doc_id"]).select(F.col("doc_id").alias("id"), "digest", "bands", "bits").dropDuplicates(["id", "digest"]))
+    heads = cut(signed.join(reps, ["digest", "doc_id"]).select(F.col("doc_id").alias("id"), "digest", "bands", "bits").dropDuplicates(["id", "digest"]), n_classes, 10 * AT_ONCE)
     bits = heads.select("id", "digest", "bits")
     texts = docs.select(F.col(key).alias("id"), "text")
 
     members = heads.select("id", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
-    shared = cut(members.join(buckets.where(F.col("first") != F.col("last")), "bucket").select("bucket", "id", "first", "n"))
+    shared = cut(members.join(buckets.where(F.col("first") != F.col("last")), "bucket").select("bucket", "id", "first", "n"), BANDS * n_classes)
+    n_shared = shared.count()
 
     # 1: each member against the smallest of all first members of its buckets
-    tried = cut(shared.where(F.col("id") != F.col("first")).groupBy(F.col("id").alias("a")).agg(F.min("first").alias("b")))
-    links = cut(confirm(cut(near(tried, bits)), texts))
-    found = cut(components(links))
+    tried = cut(shared.where(F.col("id") != F.col("first")).groupBy(F.col("id").alias("a")).agg(F.min("first").alias("b")), min(n_classes, n_shared))
+    links = confirmed(cut(near(tried, bits), tried.count()), texts)
+    found = components(links, links.count())
 
     # 2: where a bucket is still divided, its members against its first
-    divided = cut(open_buckets(shared, found))
+    divided = cut(open_buckets(shared, found), n_shared)
+    n_divided = divided.count()
     more = divided.where(F.col("component") != F.col("of_first")).select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    more = cut(near(cut(without(more, tried)), bits))
+    more = cut(without(more, tried), n_divided)
+    more = cut(near(more, bits), more.count())
     if not more.isEmpty():
-        links = cut(links.unionByName(confirm(more, texts)))
-        found = cut(components(links))
+        links = links.unionByName(confirmed(more, texts))
+        found = components(links, links.count())
 
     # 3: where it still is, members of different components against each other
-    divided = cut(open_buckets(divided.where(F.col("n") > 2).select("bucket", "id", "first", "n"), found))
-    more = cut(across(divided, bits, cut(sets_of(divided.select("id").distinct(), texts))))
+    divided = cut(open_buckets(divided.where(F.col("n") > 2).select("bucket", "id", "first", "n"), found), n_divided)
+    asked = cut(divided.select("id").distinct(), divided.count())
+    more = cut(across(divided, bits, cut(sets_of(asked, texts), asked.count(), AT_ONCE)))
     if not more.isEmpty():
-        found = cut(components(links.unionByName(confirm(more, texts))))
+        links = links.unionByName(confirmed(more, texts))
+        found = components(links, links.count())
 
     rows = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     rows = rows.join(if_few(found).select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
     named = F.col("doc_id") < NO_ID
-    return rows.select(
+    rows = rows.select(
         F.when(named, F.col("doc_id")).alias("doc_id"),
         "n_shingles",
         F.when(component < NO_ID, component).alias("component_id"),
         F.when(named, F.col("doc_id") == component).otherwise(F.lit(True)).alias("kept"),
     )
+    return of_size(rows, n_rows)
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -284,10 +297,11 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text")
     row = f"x{uuid.uuid4().hex}"  # no column of ``docs``
     rows = stored(docs.withColumn(row, F.monotonically_increasing_id()))
     groups = cut(link(rows, row, text).select(F.col("doc_id").alias("row"), "component_id"))
+    n_rows = groups.count()
     place = F.struct(F.col(key).isNull().alias("no_id"), F.col(key).cast("long").alias("id"), F.col(row).alias("row"))
     placed = rows.select(place.alias("place")).join(groups, F.col("place.row") == F.col("row"))
     first = placed.groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place.row").alias("row"))
-    dropped = cut(groups.select("row").join(first, "row", "left_anti"))
+    dropped = cut(groups.select("row").join(first, "row", "left_anti"), n_rows)
     return id_filter.without(rows, dropped, row).select(*docs.columns)
 
 

@@ -195,14 +195,14 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     rows = keyed(docs, key, text)
     found = cut(segments(rows, window))
     often = found.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1")
-    again = cut(found.drop("copies").join(often, "anchor"))
+    again = cut(found.drop("copies").join(often, "anchor"), found.count())
     words = again.agg(F.sum(F.col("windows") + F.lit(window - 1))).first()[0] or 0
     shards = -(-words // SHARD_WORDS) or 1
 
     unique = again.groupBy("anchor", "content").agg(
         F.count(F.lit(1)).alias("weight"), F.max("n").alias("n"), *[F.first(c).alias(c) for c in ("id", "crc", "start", "windows")]
     )
-    unique = cut(unique)
+    unique = cut(unique, again.count())
     many = unique.where(F.col("n") > block).groupBy("anchor").agg(F.count(F.lit(1)).alias("segments")).where(F.col("segments") > block)
     blocks = F.coalesce(F.ceil(F.col("segments") / block), F.lit(1)).cast("int")
     part = F.struct("anchor", "content", "weight", "blocks", "start", "windows")

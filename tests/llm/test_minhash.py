@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 from llm_cases import edge_docs, edge_rows, no_docs  # noqa: F401
+from lastmile.llm import components as components_of
 from lastmile.llm import minhash as M
 
 
@@ -113,3 +114,28 @@ def test_few_rows_are_joined_without_a_shuffle(spark):
     near = M.near(pairs, bits)
     assert sorted(map(tuple, near.collect())) == [(2, 1), (3, 1)]
     assert "Exchange hashpartitioning" not in near._jdf.queryExecution().toString()
+
+
+def test_few_rows_go_to_few_checkpoint_files(spark, monkeypatch):
+    files, real = [], M.cut
+
+    def cut(*args):
+        done = real(*args)
+        files.append(done.rdd.getNumPartitions())
+        return done
+
+    monkeypatch.setattr(M, "cut", cut)
+    monkeypatch.setattr(components_of, "cut", cut)
+    rows = near_copies(3)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        done = M.link(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2))
+        assert {r["doc_id"]: tuple(r)[1:] for r in done.collect()} == brute(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) > 10 and sum(files) < 4 * 40
+    assert done.rdd.getNumPartitions() == 1
