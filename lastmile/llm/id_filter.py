@@ -30,7 +30,8 @@ def marked(rows: DataFrame, ids: DataFrame, key: str, name: str) -> DataFrame:
     joined = joined.join(F.broadcast(bitmaps), f"{name}_of", "left")
     byte = f"CAST(conv(hex(substring({name}_bits, CAST({name}_at % {IN_ONE} DIV 8 AS INT) + 1, 1)), 16, 10) AS INT)"
     value = F.expr(f"coalesce((shiftright({byte}, CAST({name}_at % 8 AS INT)) & 1) = 1, false)")
-    return joined.select(*rows.columns, value.alias(name))
+    quoted = [f"`{c.replace('`', '``')}`" for c in rows.columns]  # a name may hold a dot
+    return joined.select(*quoted, value.alias(name))
 
 
 def only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -99,7 +99,7 @@ def pack(sized: DataFrame, length: int = LENGTH, group: int = GROUP, room: int =
     count = waiting.count()
     while True:
         groups = -(-count // group) or 1
-        packed = cut(pack_round(waiting, groups, turn, length))
+        packed = cut(pack_round(waiting, groups, turn, length), 2 * groups, 1)
         full = packed.where(F.col("size") >= length - room)
         waiting = packed.where(F.col("size") < length - room)
         done = full if done is None else done.unionByName(full)

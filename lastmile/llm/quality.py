@@ -137,12 +137,16 @@ def language_classes(known: DataFrame) -> DataFrame:
     return counted.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *sums).select("lang", "n", shares.alias("shares"))
 
 
-def language_words(known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lang, word, n): how often each short word stands in each language; and the common words of all languages (word)."""
+def language_words(known: DataFrame, many: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(lang, word, n): how often each short word stands in each language; and the common words of all languages (word).
+
+    ``many``: how many documents there are, where that is known; there are seldom more rows.
+    """
     counts = cut(
         known.select("lang", F.explode(short_words(words(F.col("text")))).alias("word"))
         .groupBy("lang", F.lower("word").alias("word"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n")),
+        many,
     )
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     return counts, counts.withColumn("rank", rank).where(F.col("rank") <= COMMON_WORDS).select("word").distinct()
@@ -166,7 +170,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple
     langs = [r["lang"] for r in chosen]
     if not langs:
         return [], [], [], []
-    counts, ranked = language_words(known.where(F.col("lang").isin(langs)))
+    counts, ranked = language_words(known.where(F.col("lang").isin(langs)), sum(r["n"] for r in chosen))
     common = sorted(r["word"] for r in ranked.collect())
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     found = {(r["lang"], r["word"]): r["n"] for r in counts.where(F.col("word").isin(common)).collect()} if common else {}

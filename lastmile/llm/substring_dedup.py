@@ -212,13 +212,12 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     pieces = dealt(segment_words(wanted.join(parts, ["id", "crc"]), window), shards)
     spans = pieces.groupBy("shard").applyInPandas(lambda group: search(group, window), SPANS)
     span = F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
-    return again.join(spans, ["anchor", "content"]).groupBy("id", "crc").agg(F.collect_set(span).alias("spans"))
+    return cut(again.join(spans, ["anchor", "content"]).groupBy("id", "crc").agg(F.collect_set(span).alias("spans")), again.count())
 
 
 def with_spans(rows: DataFrame, spans: DataFrame, key: str, crc: str) -> DataFrame:
     """``rows`` with the columns of ``spans`` (of ``repeats``, its first two named as ``key`` and ``crc``), null where there are none."""
     name = f"x{uuid.uuid4().hex}"
-    spans = cut(spans)
     all_rows = id_filter.marked(rows, spans.select(crc), crc, name)
     maybe = all_rows.where(name).drop(name).join(spans, [key, crc], "left")
     rest = all_rows.where(~F.col(name)).drop(name)

@@ -118,3 +118,27 @@ def test_distances_by_join_are_those_by_plan(spark, monkeypatch):
         p = by_plan[k]
         assert near(q["class_distance"], p["class_distance"]) and near(q["common_distance"], p["common_distance"]), (k, q, p)
         assert (*q[:6], q["kept"]) == (*p[:6], p["kept"])
+
+
+def test_few_words_go_to_few_checkpoint_files(spark, monkeypatch):
+    from lastmile.llm import quality as Q
+
+    files, real = [], Q.cut
+
+    def cut(*args):
+        done = real(*args)
+        files.append(done.rdd.getNumPartitions())
+        return done
+
+    monkeypatch.setattr(Q, "cut", cut)
+    docs = spark.createDataFrame([(k, f"the cat sat on the mat with {k}", "en") for k in range(30)], "doc_id long, text string, lang string")
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert Q.references(docs)[0] == ["en"]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert files == [1]
